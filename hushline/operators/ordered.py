@@ -96,6 +96,27 @@ def previous_row(df: DataFrame, keys: list[str], order: list[Column], chunk: Col
     return last_value_before(df, keys, order, chunk, row, name, inclusive=False)
 
 
+def neighbour_rows(
+    df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: Column, n: int, name: str, after: bool
+) -> DataFrame:
+    """Array of up to n values of the next (or previous) rows, nearest first.
+
+    The rows at the edge of a chunk come from its neighbours: every chunk hands
+    on at most n values.  ``value`` must not be null.
+    """
+    df = df.withColumn(_CHUNK, chunk).withColumn("_v", value)
+    edge_order = order if after else [c.desc() for c in order]
+    rank = F.row_number().over(Window.partitionBy(*keys, _CHUNK).orderBy(*edge_order))
+    edge = df.withColumn("_rn", rank).filter(F.col("_rn") <= n)
+    summary = edge.groupBy(*keys, _CHUNK).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_v"))), lambda r: r["_v"]).alias("_edge"))
+    line = Window.partitionBy(*keys).orderBy(F.col(_CHUNK) if after else F.col(_CHUNK).desc()).rowsBetween(1, n)
+    summary = summary.withColumn("_beyond", F.flatten(F.collect_list("_edge").over(line))).drop("_edge")
+    frame = Window.partitionBy(*keys, _CHUNK).orderBy(*edge_order).rowsBetween(1, n)
+    out = df.withColumn(name, F.collect_list("_v").over(frame))
+    return _attach(out, summary, keys).withColumn(name, F.slice(F.concat(name, "_beyond"), 1, n)).drop("_beyond", "_v", _CHUNK)
+
+
 def merge_islands(df: DataFrame, keys: list[str], start: str, end: str, chunk_ms: int, touching: bool = True) -> DataFrame:
     """Union of overlapping intervals per key: (keys, start, end, n)."""
     order = [F.col(start), F.col(end)]

@@ -25,17 +25,18 @@ def word_timing(detected: DataFrame) -> DataFrame:
     add = lambda a, w: a + w["n"]
     df = detected.filter(F.size("matches") > 0).withColumn("_w", spoken)
     df = df.withColumn("_total", F.aggregate("_w", F.lit(0), add))
+
+    def timed(m):
+        at = m["start_idx"]
+        earlier = F.aggregate(F.filter("_w", lambda w: w["at"] < at), F.lit(0), add)
+        before = F.when(F.exists("_w", lambda w: w["at"] == at), earlier).otherwise(F.col("_total"))
+        return F.struct(m["word"].alias("word"), at.alias("start_idx"), m["end_idx"].alias("end_idx"),
+                        before.alias("syllables_before"), T.syllables(m["word"]).alias("word_syllables"))
+
     rows = df.select(
         *KEYS, F.col("start_ms").alias("cue_start_ms"), F.col("end_ms").alias("cue_end_ms"),
-        F.length("text").alias("text_length"), "_w", "_total", F.explode_outer("matches").alias("_m"))
-    at = F.col("_m.start_idx")
-    before = F.when(
-        F.exists("_w", lambda w: w["at"] == F.col("_m.start_idx")),
-        F.aggregate(F.filter("_w", lambda w: w["at"] < F.col("_m.start_idx")), F.lit(0), add)).otherwise(F.col("_total"))
+        F.length("text").alias("text_length"), "_total", F.inline_outer(F.transform("matches", timed)))
     length = F.col("cue_end_ms") - F.col("cue_start_ms")
-    rows = rows.select(
-        *KEYS, "cue_start_ms", "cue_end_ms", "text_length", "_total", F.col("_m.word").alias("word"), at.alias("start_idx"),
-        F.col("_m.end_idx").alias("end_idx"), before.alias("syllables_before"), T.syllables(F.col("_m.word")).alias("word_syllables"))
     per = length / F.col("_total")
     start = F.when(F.col("_total") == 0, F.col("cue_start_ms") + length * F.col("start_idx") / F.col("text_length")).otherwise(
         F.col("cue_start_ms") + F.col("syllables_before") * per)
