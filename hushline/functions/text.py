@@ -93,52 +93,40 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _running_starts(steps: Column) -> Column:
-    """Start offset of every step out of (gap before it, own length)."""
-    none = F.array().cast("array<int>")
+def sql_string(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def fold(some: Column, at: Column) -> Column:
-        return F.aggregate(
-            some, F.struct(at.alias("at"), none.alias("starts")),
-            lambda acc, s: F.struct(
-                (acc["at"] + s["g"] + s["w"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + s["g"])).alias("starts")))
 
-    # appending copies the array, so long texts are folded block by block
-    size = 64
+# start offset of every step out of (gap before it, own length); appending copies
+# the growing array, so long texts are folded block by block
+_FOLD = """aggregate({steps}, named_struct('at', {at}, 'starts', cast(array() AS array<int>)), (acc, s) -> named_struct(
+    'at', acc.at + s.g + s.w, 'starts', concat(acc.starts, array(acc.at + s.g))))"""
+_STARTS = """CASE WHEN size(steps) <= 64 THEN {short}.starts ELSE aggregate(
+    transform(sequence(0, cast(floor((size(steps) - 1) / 64) AS int)), b -> b * 64 + 1),
+    named_struct('run', named_struct('at', 0, 'starts', cast(array() AS array<int>)), 'done', cast(array() AS array<array<int>>)),
+    (blocks, first) -> named_struct('run', {block}, 'done', concat(blocks.done, array(blocks.run.starts))),
+    blocks -> flatten(concat(blocks.done, array(blocks.run.starts)))) END""".format(
+    short=_FOLD.format(steps="steps", at="0"), block=_FOLD.format(steps="slice(steps, first, 64)", at="blocks.run.at"))
 
-    def add_block(acc, first):
-        return F.struct(
-            fold(F.slice(steps, first, F.lit(size)), acc["run"]["at"]).alias("run"),
-            F.concat(acc["done"], F.array(acc["run"]["starts"])).alias("done"))
 
-    opened = F.struct(
-        F.struct(F.lit(0).alias("at"), none.alias("starts")).alias("run"), F.array().cast("array<array<int>>").alias("done"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / size).cast("int")), lambda b: b * size + 1)
-    long = F.aggregate(blocks, opened, add_block, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["run"]["starts"]))))
-    return F.when(F.size(steps) <= size, fold(steps, F.lit(0))["starts"]).otherwise(long)
-
-
-def spans(c: Column, pattern: str) -> Column:
-    """All matches of a pattern, left to right, with their offsets.
+def spans(name: str, pattern: str) -> Column:
+    """All matches of a pattern in a column, left to right, with their offsets.
 
     The engine returns matched strings only; the text between them comes from
     ``split`` with the same pattern, so a running sum of lengths gives offsets.
+    An array of one element binds a value that is used more than once.  Written
+    as SQL text, which is planned much faster than nested Python lambdas.
     """
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.split(c, pattern, -1)
-
-    def locate(z):
-        steps = F.zip_with(
-            F.slice(z["g"], F.lit(1), F.size(z["w"])), z["w"], lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
-        return F.zip_with(
-            z["w"], let(steps, _running_starts),
-            lambda w, at: F.struct(w.alias("word"), at.alias("start_idx"), (at + F.length(w)).alias("end_idx")))
-
-    return let(F.struct(found.alias("w"), gaps.alias("g")), locate)
+    p = sql_string(pattern)
+    return F.expr(f"""
+        element_at(transform(array(named_struct('w', regexp_extract_all({name}, {p}, 0), 'g', split({name}, {p}, -1))), z -> zip_with(
+            z.w,
+            element_at(transform(array(zip_with(slice(z.g, 1, size(z.w)), z.w, (g, w) -> named_struct('g', length(g), 'w', length(w)))), steps -> {_STARTS}), 1),
+            (w, at) -> named_struct('word', w, 'start_idx', at, 'end_idx', at + length(w)))), 1)""")
 
 
-def token_spans(c: Column) -> Column:
-    return spans(c, TOKEN)
+def token_spans(name: str) -> Column:
+    return spans(name, TOKEN)
 
 
 def space_words(c: Column) -> Column:

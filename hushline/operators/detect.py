@@ -29,7 +29,6 @@ _LETTERS = "A-Za-z'"
 _PIECE = rf"[{_LETTERS}]+|[{T.WS}\-]+|[^{_LETTERS}{T.WS}\-]"
 _GAP = rf"\A[{T.WS}\-]+\z"
 GUARD_LIMIT = 64
-_STEP_COLUMNS = ["_bare", "_raw", "_plain", "_p", "_r", "_t", "_h", "_fuzzy"]
 
 
 def _nothing() -> Column:
@@ -47,15 +46,20 @@ class Rules:
     context: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
 
-def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = None, rules: DataFrame | None = None, exempt: DataFrame | None = None) -> Rules:
+def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = None, rules: DataFrame | None = None, exempt: DataFrame | None = None) -> Rules | None:
+    """Rule tables as plan-time literals; None when the lexicon is too large for that."""
     out = Rules()
     if lexicon is not None:
-        for r in lexicon.select("norm_term", "kind").orderBy("ord").collect():
+        terms = lexicon.select("ord", "norm_term", "kind").limit(L.LITERAL_LIMIT + 1).collect()
+        if len(terms) > L.LITERAL_LIMIT:
+            return None
+        for r in sorted(terms):
             (out.phrases if r.kind == "phrase" else out.words).append(r.norm_term)
+    by_ord = lambda df: sorted(df.collect(), key=lambda r: r.ord)
     if patterns is not None:
-        out.patterns = [(r.term, T.ascii_pattern(r.pattern), r.letters) for r in patterns.orderBy("ord").collect()]
+        out.patterns = [(r.term, T.ascii_pattern(r.pattern), r.letters) for r in by_ord(patterns)]
     if rules is not None:
-        for r in rules.orderBy("ord").collect():
+        for r in by_ord(rules):
             of = out.context.setdefault(r.term.lower(), {"allowed": [], "profane": []})
             if r.kind in of:
                 of[r.kind].append(T.ascii_pattern(r.pattern, r.case_sensitive))
@@ -78,6 +82,17 @@ def _with_steps(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     return df
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """The same table with one column that later filters cannot be pushed through.
+
+    A filter on a computed column is otherwise rewritten into the expressions
+    below it, which would run the whole chain of steps a second time.
+    """
+    others = [c for c in df.columns if c != name]
+    boxed = F.explode_outer(F.array(F.struct(F.col(name).alias("v")))).alias("_box")
+    return df.select(*others, boxed).select(*others, F.col("_box.v").alias(name))
+
+
 def _match(text, word, start, end, kind: str, confidence: float, term) -> Column:
     return F.struct(
         word.alias("word"), start.alias("start_idx"), end.alias("end_idx"), F.lit(kind).alias("type"),
@@ -214,11 +229,13 @@ def pattern_steps(text: Column, patterns: list[tuple[str, str, str | None]]) ->
     bare = F.lower(F.translate(text, fillers, "")) if any(p[2] for p in patterns) else F.lit("")
 
     def of(term, pattern, letters):
-        as_match = lambda s: _match(text, s["word"], s["start_idx"], s["end_idx"], "regex", fv.PATTERN_CONFIDENCE, F.lit(term))
         maybe = F.col("_bare").contains(letters) if letters else F.lit(True)
-        return F.when(maybe & text.rlike(pattern), F.transform(T.spans(text, pattern), as_match)).otherwise(_nothing())
+        return F.when(maybe & text.rlike(pattern), F.transform(
+            T.spans("text", pattern), lambda s: F.struct(s["word"], s["start_idx"], s["end_idx"], F.lit(term).alias("term")))).otherwise(none)
 
-    found = F.concat(*[of(*p) for p in patterns]) if patterns else _nothing()
+    none = F.array().cast("array<struct<word:string,start_idx:int,end_idx:int,term:string>>")
+    as_match = lambda s: _match(text, s["word"], s["start_idx"], s["end_idx"], "regex", fv.PATTERN_CONFIDENCE, s["term"])
+    found = F.transform(F.concat(*[of(*p) for p in patterns]), as_match) if patterns else _nothing()
     return [("_bare", F.when(text.rlike(f"[_\\-.*@#$&%!?]"), bare).otherwise(F.lower(text))), ("_r", found)]
 
 
@@ -320,15 +337,15 @@ def detect_matches(
     fuzzy_threshold: float | None = None,
 ) -> DataFrame:
     """Cues with ``matches ARRAY<STRUCT>``, ``score`` and ``has_profanity``."""
-    if not L.fits(lexicon, L.LITERAL_LIMIT):
-        return _detect_by_joins(cues, lexicon, patterns, rules, exempt, sensitivity, use_context, fuzzy_threshold)
     found = read_rules(lexicon, patterns, rules, exempt)
+    if found is None:
+        return _detect_by_joins(cues, lexicon, patterns, rules, exempt, sensitivity, use_context, fuzzy_threshold)
     out, fuzzy = cues, None
     if fuzzy_threshold is not None:
         out = _with_fuzzy(cues, lexicon, found.words, fuzzy_threshold)
         fuzzy = F.col("_fuzzy")
     out = _with_steps(out, detect_columns(F.col("text"), found, sensitivity, use_context, fuzzy))
-    return score_columns(out.drop(*_STEP_COLUMNS), sensitivity)
+    return score_columns(_settled(out.select(*cues.columns, "matches"), "matches"), sensitivity)
 
 
 def match_table(detected: DataFrame) -> DataFrame:
@@ -347,7 +364,7 @@ def _explode_matches(cues: DataFrame, column: Column) -> DataFrame:
 
 def tokens(cues: DataFrame) -> DataFrame:
     """tokens(track_id, cue_id, pos, word, start_idx, end_idx)."""
-    rows = cues.select(*KEYS, F.posexplode_outer(T.token_spans(F.col("text"))).alias("pos", "t")).filter(F.col("pos").isNotNull())
+    rows = cues.select(*KEYS, F.posexplode_outer(T.token_spans("text")).alias("pos", "t")).filter(F.col("pos").isNotNull())
     return rows.select(*KEYS, "pos", "t.word", "t.start_idx", "t.end_idx")
 
 
@@ -376,10 +393,10 @@ def exact_matches(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def phrase_matches(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every place of every listed phrase; overlaps are left to ``drop_overlaps``."""
-    phrases = lexicon.filter("kind = 'phrase'")
-    if not L.fits(phrases, L.LITERAL_LIMIT):
+    found = read_rules(lexicon.filter("kind = 'phrase'"))
+    if found is None:
         return phrase_matches_joined(cues, lexicon)
-    return _explode_matches(_with_steps(cues, phrase_steps(F.col("text"), read_rules(phrases).phrases)), F.col("_p"))
+    return _explode_matches(_with_steps(cues, phrase_steps(F.col("text"), found.phrases)), F.col("_p"))
 
 
 def obfuscated_matches(cues: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -7,15 +7,35 @@ chunks add.  A key that holds a third of the table is thus spread over as many
 tasks as it has chunks.  ``chunk`` must not decrease along ``order``.
 
 The summary is ordered per key, but holds one row per chunk, not per input row.
+The input is read twice: pass a stored table, or ``materialize`` an expensive one.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _CHUNK = "_chunk"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a derived table once, so that steps which read it twice do not derive it twice.
+
+    The reliable checkpoint goes to the shared folder of ``spark.checkpoint.dir``;
+    a temporary folder is used only in local mode.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _local(keys: list[str], order: list[Column]):
     return Window.partitionBy(*keys, _CHUNK).orderBy(*order)
 
@@ -122,7 +142,7 @@ def merge_islands(df: DataFrame, keys: list[str], start: str, end: str, chunk_ms
     order = [F.col(start), F.col(end)]
     chunk = F.floor(F.col(start) / chunk_ms)
     # equal intervals are counted first, so copies never pile up in one task
-    packed = df.groupBy(*keys, start, end).agg(F.count(F.lit(1)).alias("_copies"))
+    packed = materialize(df.groupBy(*keys, start, end).agg(F.count(F.lit(1)).alias("_copies")))
     flagged = running_max_before(packed, keys, order, chunk, F.col(end), "_reach")
     opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") if touching else F.col(start) >= F.col("_reach"))
     numbered = running_sum(flagged, keys, order, chunk, F.when(opens, 1).otherwise(0), "_island")

@@ -81,7 +81,8 @@ def shift_cues(cues: DataFrame, aligned: DataFrame) -> DataFrame:
 
 def mute_transitions(states: DataFrame, key: str = "session_id", chunk_seconds: int = 86_400) -> DataFrame:
     """MUTE when a session enters a muted range, UNMUTE when it leaves it."""
-    df = _by_time(states, ["should_mute", "mute_cue_id"], "_prev", key, chunk_seconds)
+    needed = states.select(key, "event_id", "ts", "position_ms", "should_mute", "mute_cue_id", "mute_end_ms")
+    df = _by_time(ordered.materialize(needed), ["should_mute", "mute_cue_id"], "_prev", key, chunk_seconds)
     before = F.coalesce(F.col("_prev.should_mute"), F.lit(False))
     changed = df.filter(F.col("should_mute") != before)
     muted = F.col("should_mute")

@@ -20,7 +20,7 @@ def word_timing(detected: DataFrame) -> DataFrame:
     the match, all syllables count as spoken before it.  All work is done inside
     the row of the cue.
     """
-    spoken = F.transform(T.spans(F.col("text"), f"[^{T.WS}]+"), lambda s: F.struct(
+    spoken = F.transform(T.spans("text", f"[^{T.WS}]+"), lambda s: F.struct(
         s["start_idx"].alias("at"), T.syllables(s["word"]).alias("n")))
     add = lambda a, w: a + w["n"]
     df = detected.filter(F.size("matches") > 0).withColumn("_w", spoken)

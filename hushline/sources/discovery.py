@@ -145,7 +145,7 @@ def page_tracks(pages: DataFrame, link: str = r"[^\"]+\.(?:vtt|srt|ass)", kinds:
     field = rf'"(?:url|src|file)"\s*:\s*"({link})"'
     scripts = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1)), "\n")
     staged = pages.select("page_id", "url", scripts.alias("_s"))
-    hits = staged.select("page_id", "url", "_s", F.posexplode_outer(F.when(F.col("_s").rlike(field), T.spans(F.col("_s"), f"(?i){field}"))).alias("ord", "_h")).filter(F.col("ord").isNotNull())
+    hits = staged.select("page_id", "url", "_s", F.posexplode_outer(F.when(F.col("_s").rlike(field), T.spans("_s", f"(?i){field}"))).alias("ord", "_h")).filter(F.col("ord").isNotNull())
     before = F.substring(F.col("_s"), F.greatest(F.lit(0), F.col("_h.start_idx") - 100) + 1, F.least(F.lit(100), F.col("_h.start_idx")))
     language = _blank_null(F.regexp_extract(before, r'(?i)"language?"\s*:\s*"([^"]+)"', 1))
     from_scripts = hits.select(
