@@ -38,9 +38,9 @@ def interval_join(
     salt_of_point = F.pmod(F.xxhash64(*points.columns), F.lit(salt)) if salt > 1 else F.lit(0)
     left = points.withColumn("_b", F.floor(point / bucket_ms)).withColumn("_salt", salt_of_point)
     right = intervals.withColumn(
-        "_b", F.explode(F.sequence(F.floor(start / bucket_ms), F.greatest(F.floor(end / bucket_ms), F.floor(start / bucket_ms))))
+        "_b", F.explode_outer(F.sequence(F.floor(start / bucket_ms), F.greatest(F.floor(end / bucket_ms), F.floor(start / bucket_ms))))
     )
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else right.withColumn("_salt", F.lit(0))
+    right = right.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else right.withColumn("_salt", F.lit(0))
     keys = [*on, "_b"] + (["_salt"] if salt > 1 else [])
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in intervals.columns if c not in on])
     cond = condition

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from hushline.plans import catalog_detect, catalog_playback
+from hushline.plans import catalog_detect, catalog_playback, catalog_streams, catalog_tracks
 
-CASES = {**catalog_detect.CASES, **catalog_playback.CASES}
+CASES = {**catalog_detect.CASES, **catalog_playback.CASES, **catalog_tracks.CASES, **catalog_streams.CASES}

@@ -151,7 +151,10 @@ _TYPES = ["live", "vod", None, None, "live"]
 
 
 def segments(spark, sf):
-    hb = C.heartbeats(spark, sf)
+    return segments_of(C.heartbeats(spark, sf))
+
+
+def segments_of(hb):
     e = F.col("event_id")
     of = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (e % len(xs) + 1).cast("int"))
     first = (e * 7919) % 400_000
