@@ -61,17 +61,16 @@ def _(spark, sf):
 
 @case("detected_urls", """WITH r AS (SELECT event_id AS request_id, user_id, epoch_us(ts) // 1000 AS ts_ms, event_type, '/s/' || (event_id % 5) || '_en.vtt' AS p FROM events),
 g AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_ms, request_id ROWS UNBOUNDED PRECEDING) AS page FROM r)
-SELECT CAST(user_id AS VARCHAR) AS tab_id, ts_ms, 'https://h.test' || p AS url, 'en' AS language, 'vtt' AS format, row_number() OVER (PARTITION BY user_id, page, p ORDER BY ts_ms, request_id) = 1 AS is_new FROM g WHERE event_type IN ('view', 'click')""")
+SELECT CAST(user_id AS VARCHAR) AS tab_id, ts_ms, 'https://h.test' || p AS url, 'en' AS language, 'vtt' AS format, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY user_id, page, p ORDER BY ts_ms, request_id) >= 36000000, TRUE) AS is_new FROM g WHERE event_type IN ('view', 'click')""")
 def _(spark, sf):
     """Requests read off the events; a signup is a navigation."""
     hb = _beats(spark, sf)
     t = F.col("event_type")
     path = F.concat(F.lit("https://h.test/s/"), (F.col("event_id") % 5).cast("string"), F.lit("_en.vtt"))
     requests = hb.select(
-        F.col("event_id").alias("request_id"), F.col("session_id").alias("tab_id"), "ts_ms", F.when(t.isin("view", "click"), path).otherwise("https://h.test/page").alias("url"),
+        F.col("event_id").alias("request_id"), F.col("session_id").alias("tab_id"), "ts", F.when(t.isin("view", "click"), path).otherwise("https://h.test/page").alias("url"),
         F.lit("").alias("content_type"), F.when(t == "signup", "navigate").otherwise("request").alias("kind"))
-    # every tab is one batch here, so no state can outlive its time
-    return J.run_to_table(J.detected_urls(requests, ttl_ms=3_600_000), "urls")
+    return J.run_to_table(J.detected_urls(requests, ttl_ms=36_000_000), "urls")
 
 
 @case("align_stream", S.with_(SEGMENTS, then="SELECT segment_id, rising, alignment, shift_ms FROM aligned WHERE kept"))

@@ -98,7 +98,11 @@ def visits(heartbeats: DataFrame, gap: str = "30 minutes", delay: str = "10 seco
 
 
 class _InOrder(StatefulProcessor):
-    """Base: hand the rows of a key to ``on_row`` in event order, emit what it yields."""
+    """Base: hand the rows of a key to ``on_row`` in event order, emit what it yields.
+
+    Every state call is a round trip to the engine, so the state of a key is
+    loaded once per batch, changed in memory and saved once.
+    """
 
     order = ["ts_ms"]
     columns: list[str] = []
@@ -106,16 +110,24 @@ class _InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
 
-    def on_row(self, key, row, timers):
+    def load(self):
+        """State of the current key."""
+        raise NotImplementedError
+
+    def save(self, state) -> None:
+        raise NotImplementedError
+
+    def on_row(self, key, row, state):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        out = []
+        state, out = self.load(), []
         for row in batch.itertuples(index=False):
-            out.extend(self.on_row(key, row, timerValues))
+            out.extend(self.on_row(key, row, state))
+        self.save(state)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
@@ -132,52 +144,88 @@ class _UrlSightings(_InOrder):
 
     def init(self, handle):
         super().init(handle)
-        self.seen = handle.getMapState("seen", "url string", "ts_ms bigint", ttlDurationMs=self.ttl_ms)
+        self.seen = handle.getMapState("seen", "url string", "ts_ms bigint")
 
-    def on_row(self, key, row, timers):
-        if row.kind == "navigate":
+    def load(self):
+        known = {k[0]: v[0] for k, v in self.seen.iterator()}
+        return {"urls": known, "cleared": False, "changed": set()}
+
+    def save(self, state):
+        if state["cleared"]:
             self.seen.clear()
+        for url in state["changed"]:
+            self.seen.updateValue((url,), (state["urls"][url],))
+        if state["changed"]:
+            self.handle.registerTimer(max(state["urls"][u] for u in state["changed"]) + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Forget URLs whose time is over; nothing is emitted."""
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for url, ts in [(k[0], v[0]) for k, v in self.seen.iterator()]:
+            if ts + self.ttl_ms <= now:
+                self.seen.removeKey((url,))
+        return iter(())
+
+    def on_row(self, key, row, state):
+        if row.kind == "navigate":
+            state["urls"].clear()
+            state["changed"].clear()
+            state["cleared"] = True
             return
-        url = (row.url,)
-        new = not self.seen.containsKey(url)
-        self.seen.updateValue(url, (int(row.ts_ms),))
+        last = state["urls"].get(row.url)
+        new = last is None or row.ts_ms - last >= self.ttl_ms
+        state["urls"][row.url] = int(row.ts_ms)
+        state["changed"].add(row.url)
         yield (key[0], int(row.ts_ms), row.url, row.language, row.format, new)
 
 
-def detected_urls(requests: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
+def detected_urls(requests: DataFrame, ttl_ms: int = 300_000, delay: str = "0 seconds") -> DataFrame:
     """Sightings of subtitle URLs per tab; ``is_new`` tells the first one of a page.
 
-    ``requests(request_id, tab_id, ts_ms, url, content_type, kind)``.  State of a
-    URL vanishes after the time to live, and on navigation.
+    ``requests(request_id, tab_id, ts, url, content_type, kind)``.  A URL is
+    forgotten on navigation and when it was not seen for the time to live, in
+    event time, so that a replay gives the same result.
     """
     use_state_store(requests.sparkSession)
-    wanted = requests.filter((F.col("kind") == "navigate") | U.is_subtitle_url(F.col("url"))).select(
-        "request_id", "tab_id", "ts_ms", "kind", "url", G.url_language(F.col("url")).alias("language"),
+    wanted = requests.withWatermark("ts", delay).filter((F.col("kind") == "navigate") | U.is_subtitle_url(F.col("url"))).select(
+        "request_id", "tab_id", "ts", F.unix_millis("ts").alias("ts_ms"), "kind", "url", G.url_language(F.col("url")).alias("language"),
         U.url_format(F.col("url"), F.col("content_type")).alias("format"))
     return wanted.groupBy("tab_id").transformWithStateInPandas(
         _UrlSightings(ttl_ms), "tab_id string, ts_ms bigint, url string, language string, format string, is_new boolean",
-        "Append", "ProcessingTime")
+        "Append", "EventTime")
+
 
+class _OneValue(_InOrder):
+    """State of one value per key, kept in a list of at most one row."""
+
+    schema = ""
+
+    def init(self, handle):
+        super().init(handle)
+        self.value = handle.getValueState("value", self.schema)
 
-class _FirstCue(_InOrder):
+    def load(self):
+        return [self.value.get()] if self.value.exists() else []
+
+    def save(self, state):
+        if state:
+            self.value.update(tuple(state[0]))
+        else:
+            self.value.clear()
+
+
+class _FirstCue(_OneValue):
     order = ["arrival_ms", "segment_id"]
+    schema = "first_cue_ms bigint"
 
     def __init__(self, columns, synced):
         self.columns = columns
         self.synced = set(synced)
 
-    def init(self, handle):
-        super().init(handle)
-        self.last = handle.getValueState("last", "first_cue_ms bigint")
-
-    def on_row(self, key, row, timers):
+    def on_row(self, key, row, state):
         trusted = row.source in self.synced
-        before = self.last.get() if self.last.exists() else None
-        rising = not trusted and before is not None and row.first_cue_ms > before[0]
-        if trusted:
-            self.last.clear()
-        else:
-            self.last.update((int(row.first_cue_ms),))
+        rising = not trusted and bool(state) and row.first_cue_ms > state[0][0]
+        state[:] = [] if trusted else [(int(row.first_cue_ms),)]
         yield (*row, bool(rising), trusted)
 
 
@@ -203,47 +251,55 @@ class _Reasons(_InOrder):
         super().init(handle)
         self.reasons = handle.getMapState("reasons", "reason string", "expiry_ms bigint")
 
-    def _active(self):
-        return {k[0]: v[0] for k, v in self.reasons.iterator()}
-
-    def _expire(self, key, now):
-        """Reasons whose safety time has come, oldest first."""
-        active = self._active()
-        for reason, expiry in sorted(active.items(), key=lambda x: (x[1], x[0])):
+    def load(self):
+        self.before = {k[0]: v[0] for k, v in self.reasons.iterator()}
+        return dict(self.before)
+
+    def save(self, state):
+        for reason in self.before.keys() - state.keys():
+            self.reasons.removeKey((reason,))
+        for reason, expiry in state.items():
+            if self.before.get(reason) != expiry:
+                self.reasons.updateValue((reason,), (expiry,))
+                if expiry < sys.maxsize:
+                    self.handle.registerTimer(expiry)
+
+    @staticmethod
+    def expire(key, now, state):
+        """Drop reasons whose safety time has come, oldest first."""
+        for reason, expiry in sorted(state.items(), key=lambda x: (x[1], x[0])):
             if expiry <= now:
-                self.reasons.removeKey((reason,))
-                del active[reason]
-                if not active:
+                del state[reason]
+                if not state:
                     yield (key[0], int(expiry), "UNMUTED", f"safety:{reason}", 0)
 
-    def on_row(self, key, row, timers):
+    def on_row(self, key, row, state):
         now = int(row.ts_ms)
-        yield from self._expire(key, now)
-        active = self._active()
+        yield from self.expire(key, now, state)
+        was_muted = bool(state)
         if row.kind == "mute":
-            valid = row.expected_unmute_ms is not None and row.expected_unmute_ms == row.expected_unmute_ms and row.expected_unmute_ms >= 0
-            expected = int(row.expected_unmute_ms) if valid else now + INVALID_EXPECTED_MS
+            given = row.expected_unmute_ms
+            valid = given is not None and given == given and given >= 0
+            expected = int(given) if valid else now + INVALID_EXPECTED_MS
             # an end that has already passed gets no safety time
             delay = expected - now + SAFETY_EXTRA_MS
-            expiry = now + min(delay, SAFETY_MAX_MS) if delay > 0 else sys.maxsize
-            self.reasons.updateValue((row.reason_id,), (expiry,))
-            if delay > 0:
-                self.handle.registerTimer(expiry)
-            if not active:
+            state[row.reason_id] = now + min(delay, SAFETY_MAX_MS) if delay > 0 else sys.maxsize
+            if not was_muted:
                 yield (key[0], now, "MUTED", row.reason_id, 1)
-        elif row.kind == "unmute" and active:
-            self.reasons.removeKey((row.reason_id,))
-            active.pop(row.reason_id, None)
-            if not active:
-                yield (key[0], now, "UNMUTED", row.reason_id, 0)
-        elif row.kind == "reset" and active:
-            self.reasons.clear()
-            yield (key[0], now, "UNMUTED", "reset", 0)
+        elif was_muted:
+            if row.kind == "reset":
+                state.clear()
+            else:
+                state.pop(row.reason_id, None)
+            if not state:
+                yield (key[0], now, "UNMUTED", "reset" if row.kind == "reset" else row.reason_id, 0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        out = list(self._expire(key, expiredTimerInfo.getExpiryTimeInMs()))
+        state = self.load()
+        out = list(self.expire(key, expiredTimerInfo.getExpiryTimeInMs(), state))
+        self.save(state)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
@@ -261,24 +317,20 @@ def mute_sessions(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
         _Reasons(), "tab_id string, ts_ms bigint, action string, reason_id string, active int", "Append", "EventTime")
 
 
-class _Transitions(_InOrder):
+class _Transitions(_OneValue):
     order = ["ts_ms", "event_id", "mute_start_ms"]
     columns = ["session_id", "event_id", "ts_ms", "action", "cue_id"]
+    schema = "muted boolean, cue_id bigint, event_id bigint"
 
-    def init(self, handle):
-        super().init(handle)
-        self.muted = handle.getValueState("muted", "muted boolean, cue_id bigint, event_id bigint")
-
-    def on_row(self, key, row, timers):
-        before = self.muted.get() if self.muted.exists() else (False, -1, None)
-        if before[2] == row.event_id:
+    def on_row(self, key, row, state):
+        muted, last_cue, last_event = state[0] if state else (False, -1, None)
+        if last_event == row.event_id:
             return  # a further window that holds the same position
-        now = row.mute_cue_id == row.mute_cue_id and row.mute_cue_id is not None
+        now = row.mute_cue_id is not None and row.mute_cue_id == row.mute_cue_id
         cue = int(row.mute_cue_id) if now else -1
-        if now != bool(before[0]):
-            yield (key[0], int(row.event_id), int(row.ts_ms), "MUTE" if now else "UNMUTE", cue if now else int(before[1]))
-        kept = cue if now else -1
-        self.muted.update((bool(now), kept, int(row.event_id)))
+        if now != bool(muted):
+            yield (key[0], int(row.event_id), int(row.ts_ms), "MUTE" if now else "UNMUTE", cue if now else int(last_cue))
+        state[:] = [(bool(now), cue, int(row.event_id))]
 
 
 def mute_transitions_stream(heartbeats: DataFrame, windows: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
@@ -294,22 +346,19 @@ def mute_transitions_stream(heartbeats: DataFrame, windows: DataFrame, bucket_ms
         _Transitions(), "session_id string, event_id bigint, ts_ms bigint, action string, cue_id bigint", "Append", "None")
 
 
-class _Uploads(_InOrder):
+class _Uploads(_OneValue):
     order = ["ts_ms", "event_id"]
+    schema = "active boolean"
 
     def __init__(self, columns):
         self.columns = columns
 
-    def init(self, handle):
-        super().init(handle)
-        self.active = handle.getValueState("active", "active boolean")
-
-    def on_row(self, key, row, timers):
+    def on_row(self, key, row, state):
         if row.kind == "upload":
-            self.active.update((True,))
+            state[:] = [(True,)]
         elif row.kind in ("unload", "pick"):
-            self.active.clear()
-        elif row.user_source or not self.active.exists():
+            state.clear()
+        elif row.user_source or not state:
             yield tuple(row)
 
 
