@@ -334,15 +334,15 @@ def _(spark, sf):
     return I.ingest_report(files, I.ingest_cues(files))
 
 
-for _fmt, _reader in I.READERS.items():
-    def _one(fmt, reader):
+for _fmt in I.BRANCHES:
+    def _one(fmt):
         def run(spark, sf):
-            return reader(N.as_files(C.document_cues(spark, sf), fmt)).select("path", "ord", "start_ms", "end_ms", T.clean_text(F.col("text")).alias("text"))
+            return I.format_cues(N.as_files(C.document_cues(spark, sf), fmt), fmt).select("path", "ord", "start_ms", "end_ms", T.clean_text(F.col("text")).alias("text"))
 
         at = (lambda c: f"{c} // 10 * 10") if fmt == "ass" else (lambda c: c)
         return run, S.with_(S.CUES, then=f"SELECT track_id || '.{fmt}' AS path, cue_id AS ord, {at('start_ms')} AS start_ms, {at('end_ms')} AS end_ms, {S.clean('text')} AS text FROM cues")
 
-    CASES[f"{_fmt}_cues"] = _one(_fmt, _reader)
+    CASES[f"{_fmt}_cues"] = _one(_fmt)
 
 
 @case("timestamp_map", """SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 3 <> 0 THEN event_id * 90000 END AS mpeg_ts, CASE WHEN event_id % 3 <> 0 THEN (event_id % 60) * 1000 + 250 END AS local_ms, CASE WHEN event_id % 3 <> 0 THEN event_id * 1000 - ((event_id % 60) * 1000 + 250) END AS offset_ms FROM events""")

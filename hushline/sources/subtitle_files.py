@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hushline.functions import text as T
-from hushline.operators import ordered
 
 MAX_BYTES = 10 * 1024 * 1024
 BOM = chr(0xFEFF)
@@ -72,9 +71,9 @@ def _explode(files: DataFrame, cues: Column) -> DataFrame:
 _SRT_LINE = rf"(\d{{2}}:\d{{2}}:\d{{2}}[,.]\d{{3}})[{T.WS}]*-->[{T.WS}]*(\d{{2}}:\d{{2}}:\d{{2}}[,.]\d{{3}})"
 
 
-def srt_cues(files: DataFrame) -> DataFrame:
+def _srt(content: Column) -> Column:
     """Blocks between blank lines: optional number, times, text."""
-    blocks = F.transform(F.split(T.trim_space(F.col("content")), r"\r?\n\r?\n", -1), _lines)
+    blocks = F.transform(F.split(T.trim_space(content), r"\r?\n\r?\n", -1), _lines)
 
     def cue(lines):
         at = F.when(lines[0].rlike(r"\A\d+\z"), 2).otherwise(1)
@@ -83,14 +82,14 @@ def srt_cues(files: DataFrame) -> DataFrame:
         made = _cue(clock_ms(F.regexp_extract(clock, _SRT_LINE, 1)), clock_ms(F.regexp_extract(clock, _SRT_LINE, 2)), text)
         return F.when((F.size(lines) >= 2) & clock.rlike(_SRT_LINE) & (text != ""), made)
 
-    return _explode(files, F.array_compact(F.transform(blocks, cue)))
+    return F.array_compact(F.transform(blocks, cue))
 
 
 _VTT_CLOCK = r"(?:\d{2}:)?\d{2}:\d{2}\.\d{3}"
 _VTT_LINE = rf"({_VTT_CLOCK})[{T.WS}]*-->[{T.WS}]*({_VTT_CLOCK})"
 
 
-def vtt_cues(files: DataFrame, offset_ms: int = 0) -> DataFrame:
+def _vtt(content: Column, offset_ms: int = 0) -> Column:
     """A line with times opens a cue; its text runs to a blank line or a line with a time.
 
     Lines are marked and joined again inside the file's own row; nothing is shuffled.
@@ -100,7 +99,7 @@ def vtt_cues(files: DataFrame, offset_ms: int = 0) -> DataFrame:
         timed = line.rlike(r"\d{2}:\d{2}")
         return F.when(line.rlike(_VTT_LINE), "open").when(timed | T.is_blank(line), "end").otherwise("text")
 
-    lines = _lines(F.col("content"))
+    lines = _lines(content)
     marked = F.transform(lines, lambda l: F.struct(mark(l).alias("m"), T.trim_space(l).alias("l"), l.alias("raw")))
     # a control character separates cues, another one lines; neither survives in a text
     flat = F.transform(marked, lambda x: F.when(x["m"] == "open", F.concat(F.lit("\x1e"), x["raw"]))
@@ -115,33 +114,41 @@ def vtt_cues(files: DataFrame, offset_ms: int = 0) -> DataFrame:
         end = clock_ms(F.regexp_extract(head, _VTT_LINE, 2)) - max(offset_ms, 0)
         return F.when((text != "") & (start < end) & (start >= 0), _cue(start, end, text))
 
-    return _explode(files, F.array_compact(F.transform(blocks, cue)))
+    return F.array_compact(F.transform(blocks, cue))
 
 
-def ass_cues(files: DataFrame) -> DataFrame:
+def _ass(content: Column) -> Column:
     """Dialogue rows of the events section; columns by the format line, else at fields 1, 2, 9."""
-    lines = F.transform(_lines(F.col("content")), T.trim_space)
+    lines = F.transform(_lines(content), T.trim_space)
     # sections begin with a bracket; only the events section is kept
     sections = F.split(F.array_join(lines, "\n"), r"(?m)^(?=\[)", -1)
     events = F.flatten(F.transform(F.filter(sections, lambda s: s.rlike(r"(?i)\A\[Events\]")), lambda s: F.split(s, "\n", -1)))
-    df = files.select("path", events.alias("_l"))
-    formats = F.filter("_l", lambda l: l.rlike(r"(?i)\AFormat:"))
-    fields = F.transform(F.split(F.regexp_replace(F.element_at(formats, -1), r"(?i)\AFormat:", ""), ",", -1), lambda f: F.lower(T.trim_space(f)))
-    df = df.withColumn("_f", F.when(F.size(formats) > 0, fields).otherwise(F.array().cast("array<string>")))
-    place = {n: F.array_position("_f", n).cast("int") for n in ("start", "end", "text")}
-    known = (place["start"] > 0) & (place["end"] > 0) & (place["text"] > 0)
-    for n, usual in (("start", 2), ("end", 3), ("text", 10)):
-        df = df.withColumn(f"_{n}", F.when(known, place[n]).otherwise(usual))
+    return T.let(events, _dialogue)
 
+
+def _dialogue(events: Column) -> Column:
+    formats = F.filter(events, lambda l: l.rlike(r"(?i)\AFormat:"))
+    named = F.transform(F.split(F.regexp_replace(F.element_at(formats, -1), r"(?i)\AFormat:", ""), ",", -1), lambda f: F.lower(T.trim_space(f)))
+    fields = F.when(F.size(formats) > 0, named).otherwise(F.array().cast("array<string>"))
+    place = F.struct(*[F.array_position(fields, n).cast("int").alias(n) for n in ("start", "end", "text")])
+
+    def at(p):
+        known = (p["start"] > 0) & (p["end"] > 0) & (p["text"] > 0)
+        return F.struct(*[F.when(known, p[n]).otherwise(usual).alias(n) for n, usual in (("start", 2), ("end", 3), ("text", 10))])
+
+    return T.let(at(place), lambda p: _dialogue_rows(events, p))
+
+
+def _dialogue_rows(events: Column, place: Column) -> Column:
     def cue(line):
         parts = F.split(F.regexp_replace(line, rf"(?i)\ADialogue:[{T.WS}]*", ""), ",", -1)
-        text = F.array_join(F.slice(parts, F.col("_text"), F.size(parts)), ",")
+        text = F.array_join(F.slice(parts, place["text"], F.size(parts)), ",")
         text = F.regexp_replace(F.regexp_replace(text, r"\{\\[^}]*\}", ""), r"(?i)\\n", "\n")
-        made = _cue(clock_ms(F.get(parts, F.col("_start") - 1)), clock_ms(F.get(parts, F.col("_end") - 1)), text)
+        made = _cue(clock_ms(F.get(parts, place["start"] - 1)), clock_ms(F.get(parts, place["end"] - 1)), text)
         return F.when((F.size(parts) >= 10) & ~T.is_blank(text), made)
 
-    dialogue = F.filter("_l", lambda l: l.rlike(r"(?i)\ADialogue:"))
-    return _explode(df, F.array_compact(F.transform(dialogue, cue)))
+    dialogue = F.filter(events, lambda l: l.rlike(r"(?i)\ADialogue:"))
+    return F.array_compact(F.transform(dialogue, cue))
 
 
 def _attribute(element: Column, name: str) -> Column:
@@ -163,9 +170,8 @@ def xml_clock_ms(c: Column) -> Column:
         F.lit(0)).cast("bigint")
 
 
-def xml_cues(files: DataFrame) -> DataFrame:
+def _xml(c: Column) -> Column:
     """``<text start dur>`` elements, else ``<p begin end>`` elements."""
-    c = F.col("content")
     texts = F.regexp_extract_all(c, F.lit(rf"(?s)<text(?=[{T.WS}>])[^>]*>.*?</text>"), F.lit(0))
     paragraphs = F.regexp_extract_all(c, F.lit(rf"(?s)<p(?=[{T.WS}>])[^>]*>.*?</p>"), F.lit(0))
     inner = lambda e, tag: F.regexp_extract(e, rf"(?s)\A<{tag}[^>]*>(.*)</{tag}>\z", 1)
@@ -185,46 +191,56 @@ def xml_cues(files: DataFrame) -> DataFrame:
         return F.when((text != "") & (end > begin), _cue(begin, end, text))
 
     found = F.when(F.size(texts) > 0, F.transform(texts, timed)).otherwise(F.transform(paragraphs, paragraph))
-    return _explode(files, F.array_compact(found))
+    return F.array_compact(found)
 
 
-def json3_cues(files: DataFrame) -> DataFrame:
+def _json3(content: Column) -> Column:
+    """Events with text segments; times in milliseconds."""
     schema = "wireMagic string, events array<struct<tStartMs:bigint,dDurationMs:bigint,segs:array<struct<utf8:string>>>>"
-    df = files.select("path", F.from_json("content", schema).alias("_j"))
 
     def cue(e):
         text = T.trim_space(F.array_join(F.transform(e["segs"], lambda s: F.coalesce(s["utf8"], F.lit(""))), ""))
         start, dur = F.coalesce(e["tStartMs"], F.lit(0)), F.coalesce(e["dDurationMs"], F.lit(0))
         return F.when((text != "") & (dur > 0), _cue(start, start + dur, text))
 
-    return _explode(df.filter("_j.wireMagic = 'pb3'"), F.array_compact(F.transform("_j.events", cue)))
+    return T.let(F.from_json(content, schema), lambda j: F.when(j["wireMagic"] == "pb3", F.array_compact(F.transform(j["events"], cue))))
 
 
-def jellyfin_cues(files: DataFrame) -> DataFrame:
+def _jellyfin(content: Column) -> Column:
+    """Track events with times in ticks of 100 ns."""
     schema = "TrackEvents array<struct<Id:string,Text:string,StartPositionTicks:bigint,EndPositionTicks:bigint>>"
-    df = files.select("path", F.from_json("content", schema).alias("_j"))
 
     def cue(e):
         text = T.trim_space(e["Text"])
         start, end = F.floor(e["StartPositionTicks"] / 10_000), F.floor(e["EndPositionTicks"] / 10_000)
         return F.when((text != "") & (start < end), _cue(start, end, text))
 
-    return _explode(df, F.array_compact(F.transform("_j.TrackEvents", cue)))
+    return F.array_compact(F.transform(F.from_json(content, schema)["TrackEvents"], cue))
+
+
+BRANCHES = {"srt": _srt, "vtt": _vtt, "ass": _ass, "xml": _xml, "json3": _json3, "jellyfin": _jellyfin}
 
 
-READERS = {"srt": srt_cues, "vtt": vtt_cues, "ass": ass_cues, "xml": xml_cues, "json3": json3_cues, "jellyfin": jellyfin_cues}
+def format_cues(files: DataFrame, fmt: str, **options) -> DataFrame:
+    """Cues of files that are all of one format: (path, ord, start_ms, end_ms, text)."""
+    return _explode(files, BRANCHES[fmt](F.col("content"), **options))
 
 
 def ingest_cues(files: DataFrame, source: str = "file") -> DataFrame:
-    """All formats in one cue table: text cleaned, sorted by start, ids from 0 per file."""
+    """All formats in one cue table: text cleaned, sorted by start, ids from 0 per file.
+
+    The format decides the branch inside each row, so files are read once.  Ids
+    are given inside the row too: a file of at most 10 MB is sorted as an array.
+    """
     typed = files.withColumn("format", detect_format(F.col("content")))
-    parts = [reader(typed.filter(F.col("format") == name)).withColumn("format", F.lit(name)) for name, reader in READERS.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = rows.withColumn("text", T.clean_text(F.col("text"))).withColumn("source", F.lit(source))
-    numbered = ordered.row_numbers(rows, ["path"], [F.col("start_ms"), F.col("ord")], F.floor(F.col("start_ms") / 3_600_000), "_n")
-    return numbered.select(F.col("path").alias("track_id"), (F.col("_n") - 1).cast("int").alias("cue_id"), "start_ms", "end_ms", "text", "source", "format")
+    found = F.lit(None).cast(CUE_TYPE)
+    for name, branch in BRANCHES.items():
+        found = F.when(F.col("format") == name, branch(F.col("content"))).otherwise(found)
+    numbered = F.transform(found, lambda c, i: F.struct(c["start_ms"].alias("start_ms"), i.alias("ord"), c["end_ms"].alias("end_ms"), c["text"].alias("text")))
+    rows = typed.select("path", "format", F.posexplode_outer(F.sort_array(numbered)).alias("cue_id", "_c")).filter(F.col("cue_id").isNotNull())
+    return rows.select(
+        F.col("path").alias("track_id"), "cue_id", "_c.start_ms", "_c.end_ms", T.clean_text(F.col("_c.text")).alias("text"),
+        F.lit(source).alias("source"), "format")
 
 
 def ingest_report(files: DataFrame, cues: DataFrame) -> DataFrame:

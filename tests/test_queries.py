@@ -1,0 +1,27 @@
+"""A cross-section of registered queries against their SQL on the small tables."""
+
+import os
+
+import pytest
+
+SF = "/root/testdata/sf0.001"
+NAMES = ["document_cues", "tokens", "detect", "detect_by_joins", "censor", "mute_windows", "active_cue", "asof_position", "classify_jumps", "merge_cues", "dedupe_tracks", "ingest_cues", "url_predicates"]
+
+
+@pytest.fixture(scope="module")
+def con():
+    import duckdb
+
+    c = duckdb.connect()
+    for name in os.listdir(SF):
+        c.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
+    return c
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="given tables not present")
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_sql(spark, con, name):
+    import check
+
+    line, ok = check.compare(spark, con, name, SF)
+    assert ok, line
