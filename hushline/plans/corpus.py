@@ -40,8 +40,24 @@ ROOTS = ["thou", "th", "on", "ed", "de"]
 CUSTOM_LINES = ["ment=mint", "VON = van ", "nothing", "ment=meant", "=x", "sich="]
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when a small input would be read by few tasks.
+
+    Text work is heavy per byte.  An input with at least one split per core is
+    left alone, so large tables are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
 
 
 def lines_to_cues(df: DataFrame, track: Column, text: Column, source: Column, language: Column) -> DataFrame:
