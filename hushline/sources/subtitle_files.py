@@ -17,12 +17,15 @@ CUE_TYPE = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
 
 
 def read_subtitle_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """files(path, content, n_bytes, error): one row per file under a directory."""
+    """files(path, content, n_bytes, error): one row per file under a directory.
+
+    The file source itself leaves out files without content.
+    """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path))
     # too large a file is judged by its length; its content is not decoded
-    fits = (F.col("length") > 0) & (F.col("length") <= max_bytes)
+    fits = F.col("length") <= max_bytes
     text = F.decode(F.when(fits, F.col("content")), "UTF-8")
-    error = F.when(F.col("length") == 0, "empty file").when(F.col("length") > max_bytes, "file too large")
+    error = F.when(~fits, "file too large")
     return raw.select("path", strip_bom(text).alias("content"), F.col("length").alias("n_bytes"), error.alias("error"))
 
 

@@ -40,7 +40,7 @@ def test_phrases_patterns_and_censoring(spark, by_joins):
 
 
 def test_overlapping_phrases_keep_the_first(spark):
-    rows = run(spark, ["swear to god damn it"], ["swear to god", "god damn"])
+    rows = run(spark, ["swear to god damn it"], ["swear to god", "god damn"], patterns=False)
     assert [m.word for m in rows[0].matches] == ["swear to god"]
 
 
