@@ -287,7 +287,7 @@ def _(spark, sf):
 
 
 @case("sample_flagged", S.with_(*S.ALL, S.detected(), then=f"""
-SELECT track_id, cue_id, start_ms, at, excerpt, rank FROM (SELECT track_id, cue_id, start_ms, {S.format_time('start_ms')} AS at, substring(text, 1, 100) || CASE WHEN length(text) > 100 THEN '...' ELSE '' END AS excerpt,
+SELECT track_id, cue_id, start_ms, "at", excerpt, rank FROM (SELECT track_id, cue_id, start_ms, {S.format_time('start_ms')} AS at, substring(text, 1, 100) || CASE WHEN length(text) > 100 THEN '...' ELSE '' END AS excerpt,
  CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, cue_id) AS INTEGER) AS rank FROM scored WHERE has_profanity) WHERE rank <= 3"""))
 def _(spark, sf):
     return R.sample_flagged(detected(spark, sf), 3, per_track=True)
