@@ -39,4 +39,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-SQL = {"op5_line_rules": _LINE_RULES, "op7_line_dedup": _LINE_DEDUP}
+_FIVE_BITS = ", ".join(f"'{i:05b}'" for i in range(32))
+_FOUR_BITS = ", ".join(f"'{i:04b}'" for i in range(16))
+
+_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda j: [{_FOUR_BITS}][strpos('0123456789abcdef', hex[j])]), '') AS bits FROM h)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[list_position([{_FIVE_BITS}], substr(bits, 5 * i + 1, 5))]), '') AS payload_digest,
+       CASE WHEN first > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first > page_id THEN first END AS refers_to
+FROM b
+"""
+
+SQL = {"op4_warc": _WARC, "op5_line_rules": _LINE_RULES, "op7_line_dedup": _LINE_DEDUP}

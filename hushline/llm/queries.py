@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushline.llm import line_dedup, line_rules
+from hushline.llm import line_dedup, line_rules, url_filter, warc
 from hushline.llm.comparison_sql import SQL
 
 
@@ -12,6 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the registered query.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    visible = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    words = url_filter.unigrams(pages.select(F.concat_ws(" ", "url", visible).alias("text")), "text")
+    seeds = spark.createDataFrame([(w, 1) for w in url_filter.SEEDS], "word string, n bigint")
+    words = words.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    judged = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES), url_filter.stored(words, "words"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "log_odds")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judge_lines(_table(spark, sf_dir, "documents"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -25,4 +43,4 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_line_rules, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_warc, op5_line_rules, op7_line_dedup)}
