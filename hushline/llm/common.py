@@ -72,14 +72,17 @@ def sample_by_hash(rows: DataFrame, key: str, at_most: int, total: int) -> DataF
     return rows.where(F.crc32(F.concat(F.lit("sample"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")) < int(share * 2**32))
 
 
-def token_hashes(memo: dict, tokens: list[str], bits: int) -> list[int]:
-    """Hash of each token, below ``2 ** bits``; ``memo`` saves repeated work and is emptied when it grows large."""
-    if len(memo) > 500_000:
+def token_hashes(memo: dict, tokens: list[str], bits: int, shapes=None) -> list[int]:
+    """Hash of each token, below ``2 ** bits``, followed by those of ``shapes(token)``, a list of as many strings for any token.
+
+    ``memo`` saves repeated work and is emptied when it grows large.
+    """
+    if len(memo) > 300_000:
         memo.clear()
     out, mask = [], (1 << bits) - 1
     for t in tokens:
         h = memo.get(t)
         if h is None:
-            h = memo[t] = zlib.crc32(t.encode("utf-8", "surrogatepass")) * 2654435761 >> 7 & mask
-        out.append(h)
+            h = memo[t] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) * 2654435761 >> 7 & mask for x in ([t, *shapes(t)] if shapes else [t])]
+        out += h
     return out
