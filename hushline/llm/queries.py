@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushline.llm import line_dedup, line_rules, quality, toxicity, url_filter, warc
+from hushline.llm import line_dedup, line_rules, quality, simhash, toxicity, url_filter, warc
 from hushline.llm.common import held_out
 from hushline.llm.comparison_sql import SQL
 
@@ -38,6 +38,11 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~base & ~F.col("depleted")).alias("kept"), F.col("n_removed_words").cast("bigint").alias("n_removed_words"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     cleaned = line_dedup.LineIndex.build(docs).clean(docs)
@@ -56,4 +61,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_warc, op5_line_rules, op7_line_dedup, op8_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_warc, op5_line_rules, op6_simhash, op7_line_dedup, op8_quality, op10_toxicity)}
