@@ -52,4 +52,25 @@ SELECT page_id, octet_length(encode(body)) AS payload_bytes,
 FROM b
 """
 
-SQL = {"op4_warc": _WARC, "op5_line_rules": _LINE_RULES, "op7_line_dedup": _LINE_DEDUP}
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_DECONTAMINATION = f"""
+WITH b AS (SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, {_WORDS}) AS w FROM benchmark),
+bs AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS span
+  FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS u(i) WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents),
+ds AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS span
+  FROM d, (SELECT DISTINCT size FROM bs) AS s, unnest(range(1, len(w) - size + 2)) AS u(i)),
+hits AS (SELECT doc_id, i, ds.size AS size, item_id FROM ds JOIN bs ON ds.size = bs.size AND ds.span = bs.span),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + size)) AS u(p) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+SQL = {"op3_decontamination": _DECONTAMINATION, "op4_warc": _WARC, "op5_line_rules": _LINE_RULES, "op7_line_dedup": _LINE_DEDUP}
