@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushline.llm import decontaminate, line_dedup, line_rules, quality, simhash, toxicity, url_filter, warc
+from hushline.llm import decontaminate, line_dedup, line_rules, packing, quality, simhash, toxicity, url_filter, warc
 from hushline.llm.common import held_out
 from hushline.llm.comparison_sql import SQL
 
@@ -27,6 +27,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "log_odds")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def packed_digest(packed: DataFrame) -> DataFrame:
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(packing.pack(_table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
@@ -67,4 +81,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_decontamination, op4_warc, op5_line_rules, op6_simhash, op7_line_dedup, op8_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_decontamination, op4_warc, op5_line_rules, op6_simhash, op7_line_dedup, op8_quality, op10_toxicity)}
