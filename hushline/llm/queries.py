@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushline.llm import decontaminate, line_dedup, line_rules, packing, quality, simhash, toxicity, url_filter, warc
+from hushline.llm import decontaminate, line_dedup, line_rules, packing, pii, quality, simhash, toxicity, url_filter, warc
 from hushline.llm.common import held_out
 from hushline.llm.comparison_sql import SQL
 
@@ -75,10 +75,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.BASE], F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+                        pii.listed("spans").alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_decontamination, op4_warc, op5_line_rules, op6_simhash, op7_line_dedup, op8_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_decontamination, op4_warc, op5_line_rules, op6_simhash, op7_line_dedup, op8_quality, op9_pii, op10_toxicity)}
