@@ -37,24 +37,31 @@ def _paired(a: Column, b: Column, step: int, combine) -> Column:
     return F.zip_with(a, F.slice(b, step + 1, F.greatest(F.size(b) - step, F.lit(0))), combine)
 
 
-def _wide(base: Column, size: int, combine) -> Column:
-    """For every i, ``combine`` over base[i : i + size], by doubling; the last ``size - 1`` values are meaningless."""
-    out, have = base, 1
+def _wide(df: DataFrame, column: str, size: int, combine, out: str) -> DataFrame:
+    """Column ``out``: for every i, ``combine`` over column[i : i + size], by doubling; shorter arrays give an empty one.
+
+    Each doubling is a projection of its own: one expression would contain the one before twice, and so on down.
+    """
+    have, df = 1, df.withColumn(out, F.col(column))
     while have < size:
         step = min(have, size - have)
-        out, have = _paired(out, out, step, combine), have + step
-    return out
+        df, have = df.withColumn(out, _paired(F.col(out), F.col(out), step, combine)), have + step
+    return df.withColumn(out, F.slice(out, 1, F.greatest(F.size(column) - size + 1, F.lit(0))))
 
 
-def grams(hashes: Column, size: int) -> Column:
+def grams(df: DataFrame, hashes: str, size: int, out: str) -> DataFrame:
     """Hash of the ``size`` words from each position on.  Doubling may overlap, which still makes a hash of just these words."""
-    return F.slice(_wide(hashes, size, lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(hashes) - size + 1, F.lit(0)))
+    return _wide(df, hashes, size, lambda a, b: F.xxhash64(a, b), out)
 
 
-def fingerprints(gram: Column) -> Column:
-    """The distinct least hashes of all windows."""
-    least = F.slice(_wide(gram, WINDOW, lambda a, b: F.least(a, b)), 1, F.greatest(F.size(gram) - WINDOW + 1, F.lit(0)))
-    return F.array_distinct(least)
+def fingerprints(df: DataFrame, hashes: str, size: int, out: str) -> DataFrame:
+    """What represents a text among spans of ``size`` words: for full spans the distinct least gram hashes of all windows,
+    for the shorter spans of short items all grams."""
+    if size < SPAN:
+        df = grams(df, hashes, size, out)
+    else:
+        df = _wide(grams(df, hashes, K, out), out, WINDOW, lambda a, b: F.least(a, b), out + "_least").drop(out).withColumnRenamed(out + "_least", out)
+    return df.withColumn(out, F.array_distinct(out))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -84,17 +91,18 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     spans, sets = benchmark_spans(items, item_id, item_text)
     hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     sizes = sorted(r["size"] for r in spans.select("size").distinct().collect())  # at most SPAN numbers
-    span_hashes = hashed(F.split("span", " "))
-    of = lambda n: spans.where(F.col("size") == n)
     # (size, hash): fingerprints of long items, the single gram of each shorter one
-    test = [of(n).select(F.lit(n).alias("size"), F.explode(fingerprints(grams(span_hashes, K)) if n == SPAN else grams(span_hashes, n)).alias("hash")) for n in sizes]
+    test = [fingerprints(spans.where(F.col("size") == n).select(hashed(F.split("span", " ")).alias("h")), "h", n, "p").select(F.lit(n).alias("size"), F.explode("p").alias("hash")) for n in sizes]
     test = stored(reduce(DataFrame.union, test).distinct() if test else spark.createDataFrame([], "size int, hash bigint"), "test")
 
     # one pass over the texts
     row = docs.select(docs[id].alias("doc_id"), F.xxhash64(text_of(docs, text)).alias("text_hash"), words(text_of(docs, text)).alias("w"))
     row = row.select(*_ROW, F.size("w").alias("n_words"), hashed(F.col("w")).alias("h"))
-    prints = [F.struct(F.lit(n).alias("size"), (fingerprints(grams(F.col("h"), K)) if n == SPAN else F.array_distinct(grams(F.col("h"), n))).alias("hashes")) for n in sizes]
-    seen = stored(row.select(*_ROW, F.col("n_words").cast("bigint").alias("n_words"), (F.array(*prints) if prints else F.expr("cast(array() AS array<struct<size:int,hashes:array<bigint>>>)")).alias("prints")), "prints")
+    for n in sizes:
+        row = fingerprints(row, "h", n, f"p{n}")
+    prints = [F.struct(F.lit(n).alias("size"), F.col(f"p{n}").alias("hashes")) for n in sizes]
+    prints = F.array(*prints) if prints else F.expr("cast(array() AS array<struct<size:int,hashes:array<bigint>>>)")
+    seen = stored(row.select(*_ROW, F.col("n_words").cast("bigint").alias("n_words"), prints.alias("prints")), "prints")
     flat = seen.select(*_ROW, F.explode("prints").alias("p")).select(*_ROW, "p.size", F.explode("p.hashes").alias("hash"))
     found = stored(flat.join(_few(test), ["size", "hash"], "left_semi").select(*_ROW).distinct(), "candidates")
 
@@ -104,7 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     grammed = texts.select(*_ROW, hashed(F.col("w")).alias("h"))
     starts = []
     for n in sizes:
-        met = grammed.select(*_ROW, F.posexplode(grams(F.col("h"), K if n == SPAN else n)).alias("pos", "hash"))
+        met = grams(grammed, "h", K if n == SPAN else n, "g").select(*_ROW, F.posexplode("g").alias("pos", "hash"))
         met = met.join(_few(test.where(F.col("size") == n).select("hash")), "hash", "left_semi")
         reach = F.sequence(F.greatest(F.col("pos") - (SPAN - K), F.lit(0)), F.col("pos")) if n == SPAN else F.array("pos")
         starts.append(met.select(*_ROW, F.lit(n).alias("size"), reach.alias("reach")))
