@@ -92,8 +92,9 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     sizes = sorted(r["size"] for r in spans.select("size").distinct().collect())  # at most SPAN numbers
     # (size, hash): fingerprints of long items, the single gram of each shorter one
-    test = [fingerprints(spans.where(F.col("size") == n).select(hashed(F.split("span", " ")).alias("h")), "h", n, "p").select(F.lit(n).alias("size"), F.explode("p").alias("hash")) for n in sizes]
-    test = stored(reduce(DataFrame.union, test).distinct() if test else spark.createDataFrame([], "size int, hash bigint"), "test")
+    test = [fingerprints(spans.where(F.col("size") == n).select(hashed(F.split("span", " ")).alias("h")), "h", n, "p").select(F.lit(n).alias("size"), F.explode_outer("p").alias("hash")) for n in sizes]
+    # (outer, here and below: for an inner explode Spark adds a filter on the array's size below all projections, which makes the grams twice per level)
+    test = stored(reduce(DataFrame.union, test).where(F.col("hash").isNotNull()).distinct() if test else spark.createDataFrame([], "size int, hash bigint"), "test")
 
     # one pass over the texts
     row = docs.select(docs[id].alias("doc_id"), F.xxhash64(text_of(docs, text)).alias("text_hash"), words(text_of(docs, text)).alias("w"))
@@ -112,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     grammed = texts.select(*_ROW, hashed(F.col("w")).alias("h"))
     starts = []
     for n in sizes:
-        met = grams(grammed, "h", K if n == SPAN else n, "g").select(*_ROW, F.posexplode("g").alias("pos", "hash"))
+        met = grams(grammed, "h", K if n == SPAN else n, "g").select(*_ROW, F.posexplode_outer("g").alias("pos", "hash"))
         met = met.join(_few(test.where(F.col("size") == n).select("hash")), "hash", "left_semi")
         reach = F.sequence(F.greatest(F.col("pos") - (SPAN - K), F.lit(0)), F.col("pos")) if n == SPAN else F.array("pos")
         starts.append(met.select(*_ROW, F.lit(n).alias("size"), reach.alias("reach")))
