@@ -63,7 +63,7 @@ def cuckoo_add(table: np.ndarray, k1: np.ndarray, k2: np.ndarray, rounds: int =
         spot = np.argsort(~free[at[fits]], axis=1, kind="stable")[np.arange(fits.sum()), rank[fits]]
         table[at[fits], spot] = mark[fits]
         at, mark = at[~fits], mark[~fits]
-        if turn % 2:  # both buckets were full: one key of each bucket changes places with a random one
+        if turn:  # both buckets were full: one key of each bucket changes places with a random one, which then tries its other bucket
             _, first = np.unique(at, return_index=True)
             slot = rng.integers(0, SLOTS, len(first))
             out = table[at[first], slot].copy()
@@ -215,15 +215,16 @@ class LineIndex:
         return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
     def clean(self, docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-        """The documents with their text cleaned, and ``n_lines`` (before) and ``n_dropped``; other columns stay."""
+        """The documents with their text cleaned, and ``n_lines`` (before) and ``n_dropped``; other columns stay, but for those named so or ``dropped``."""
+        names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped")]
         lost = self.dropped_lines(docs, id, text, min_docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "dropped")
-        rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped")])
+        rows = docs.select(*names)
         rows = rows.join(lost, rows[id].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(rows, text)) == F.col("_hash")), "left")
         lines = F.split(text_of(rows, text), "\n")
         # the lines are bound to a variable once, so that taking out many of them stays linear
         kept = F.transform(F.array(lines), lambda all: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all) - 1), "dropped"), lambda i: F.get(all, i)))
         cleaned = F.when(F.col("dropped").isNull(), rows[text]).otherwise(F.array_join(F.get(kept, F.lit(0)), "\n"))
-        return rows.select(*[cleaned.alias(c) if c == text else rows[c] for c in docs.columns if c in rows.columns],
+        return rows.select(*[cleaned.alias(c) if c == text else rows[c] for c in names],
                            F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"))
 
 

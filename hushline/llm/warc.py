@@ -87,10 +87,11 @@ def _opens(part: bytes) -> bool:
     if len(part) < 7 or part[0] & 0xE0:
         return False
     try:
-        text = zlib.decompressobj(31).decompress(MAGIC + part[:4096], 64)
+        z = zlib.decompressobj(31)
+        text = z.decompress(MAGIC + part[:4096], 64)
     except zlib.error:
         return False
-    return text.startswith(b"WARC/") or len(part) < 64 and b"WARC/".startswith(text)  # or a magic within the first bytes
+    return text.startswith(b"WARC/") or not z.eof and len(part) < 64 and b"WARC/".startswith(text)  # or a magic within the first bytes
 
 
 class _Member:
@@ -132,8 +133,8 @@ _LOOSE = ["path", "block", "seq", "part"]
 
 def _frame(records: list[tuple], loose: list[tuple]) -> pd.DataFrame:
     """Records, and rows of parts that could not be placed within a range."""
-    full = pd.DataFrame(records, columns=_NAMES).reindex(columns=_NAMES + _LOOSE)
-    rest = pd.DataFrame(loose, columns=_LOOSE).reindex(columns=_NAMES + _LOOSE)
+    full = pd.DataFrame(records, columns=_NAMES, dtype=object).reindex(columns=_NAMES + _LOOSE)
+    rest = pd.DataFrame(loose, columns=_LOOSE, dtype=object).reindex(columns=_NAMES + _LOOSE)
     both = pd.concat([full, rest]) if records and loose else full if records else rest
     for c in ("page_id", "refers_to", "payload_bytes", "block", "seq"):
         both[c] = both[c].astype("Int64")
@@ -154,8 +155,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if member is None and _opens(part):
                 member, open_parts = _Member(), []
             if member is None:
-                # before the first record of a range: the rest of a member from the range before; after a complete one: an empty member
-                if part and part != EMPTY_MEMBER[3:]:
+                # not a start: bytes of a member that the range before has open, but for nothing before the file's first magic and empty members
+                if part != EMPTY_MEMBER[3:] and (part or block or seq > 1):
                     loose.append((path, block, seq, part))
                 continue
             open_parts.append((path, block, seq, part))
