@@ -85,7 +85,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, at_most: int, id: s
     """
     known = labels.where(~held_out(F.col(id)) & F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"))
     picked = F.broadcast(sample_by_hash(known, "_id", at_most, known.count()))
-    return docs.join(picked, docs[id] == F.col("_id")).select(F.xxhash64("_id").alias("ord"), F.col("_label").alias("label"), text_of(docs, text).alias("text"))
+    texts = docs.select(docs[id].alias("_doc"), text_of(docs, text).alias("text"))
+    return texts.join(picked, F.col("_doc") == F.col("_id")).select(F.xxhash64("_id").alias("ord"), F.col("_label").alias("label"), "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", at_most: int = MAX_TRAINING_ROWS, id: str = "doc_id", text: str = "text") -> np.ndarray:

@@ -91,7 +91,7 @@ def _opens(part: bytes) -> bool:
         text = z.decompress(MAGIC + part[:4096], 64)
     except zlib.error:
         return False
-    return text.startswith(b"WARC/") or not z.eof and len(part) < 64 and b"WARC/".startswith(text)  # or a magic within the first bytes
+    return text.startswith(b"WARC/") or not z.eof and not part[0] and len(part) < 64 and b"WARC/".startswith(text)  # or a magic within the first bytes
 
 
 class _Member:
