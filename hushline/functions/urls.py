@@ -58,10 +58,24 @@ def absolute_url(base: Column, ref: Column) -> Column:
         .when(ref.startswith("/"), F.concat(origin(base), ref))
         .when(ref.startswith("?"), F.concat(F.regexp_extract(base, r"\A([^?#]*)", 1), ref))
         .otherwise(F.concat(folder, ref)))
-    dotted = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(3):
-        dotted = F.regexp_replace(dotted, r"(?<![:/])/[^/?#:]+/\.\./", "/")
-    return F.when(ref.contains("./"), dotted).otherwise(joined)
+    return F.when(ref.rlike(r"(\A|/)\.\.?(/|\z|[?#])"), without_dots(joined)).otherwise(joined)
+
+
+def without_dots(url: Column) -> Column:
+    """The path's ``.`` and ``..`` steps carried out, any number of them; ``..`` at the root stays there."""
+    site = F.regexp_extract(url, r"\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.substr(url, F.length(site) + F.length(path) + 1)
+    steps = F.split(F.substr(path, F.lit(2)), "/", -1)
+
+    def walk(done: Column, step: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    # a path that ends in a dot step ends in its folder
+    ended = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    done = F.aggregate(ended, F.array().cast("array<string>"), walk)
+    return F.when(site != "", F.concat(site, F.lit("/"), F.array_join(done, "/"), rest)).otherwise(url)
 
 
 def is_subtitle_url(url: Column) -> Column:
@@ -144,8 +158,8 @@ def site_patterns(spark: SparkSession, rows: list[tuple[str, str]] | None = None
 
 
 def _patterns_of(patterns: DataFrame, name: str, order: str) -> list[tuple[str, str]]:
-    """Pattern rows as plan-time literals; tables of patterns are short lists."""
-    return [(r[name], r["pattern"]) for r in patterns.orderBy(order).limit(10_000).collect()]
+    """All pattern rows as plan-time literals, in order; tables of patterns are short lists."""
+    return [(r[name], r["pattern"]) for r in patterns.orderBy(order).collect()]
 
 
 def site_names(df: DataFrame, patterns: DataFrame, url: str = "url", every: bool = False) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
 from hushline.operators import lexicon as L
 from hushline.operators.detect import KEYS, MATCH_FIELDS
 
+#: More rows than this in a table of replacements are an error; nothing is cut off.
+MOST_REPLACEMENTS = 20_000
+
 
 def splice(text: Column, edits: Column) -> Column:
     """Replace spans (start_idx, end_idx, put), given in text order; the rest stays."""
@@ -40,52 +45,58 @@ def all_substitutions(terms: DataFrame, substitutions: DataFrame) -> DataFrame:
     return wanted.join(L.bounded_broadcast(substitutions), "term").select("term", "category", F.explode("options").alias("option"))
 
 
-def replacement_options(norms: DataFrame, substitutions: DataFrame, roots: DataFrame, custom: DataFrame, category: str) -> DataFrame:
-    """Per distinct normalised word: (norm, options, tail); no row when nothing fits.
-
-    Order: the caller's own replacement; emoji for ``monkeys``; the category list
-    or else the silly list; the first root that begins the word, with the rest
-    of the word after a dash.
-    """
-    wanted = category if category in fv.SUBSTITUTION_CATEGORIES else "silly"
-    silly = F.max(F.when(F.col("category") == "silly", F.col("options")))
-    own = F.max(F.when(F.col("category") == wanted, F.col("options")))
-    lists = substitutions.groupBy(F.lower("term").alias("norm")).agg(silly.alias("_silly"), own.alias("_own"))
-    lists = lists.select("norm", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_silly")).alias("options")).filter(F.size("options") > 0)
-    chosen = custom.select(F.col("term").alias("norm"), F.array("replacement").alias("_custom"))
-    out = norms.select("norm").distinct().join(L.bounded_broadcast(chosen), "norm", "left")
-    if category == "monkeys":
-        options = F.coalesce("_custom", F.array(*[F.lit(m) for m in fv.MONKEYS]))
-        return out.select("norm", options.alias("options"), F.lit("").alias("tail"))
-    out = out.join(L.bounded_broadcast(lists), "norm", "left")
-    known = out.filter(F.col("_custom").isNotNull() | F.col("options").isNotNull()).select(
-        "norm", F.coalesce("_custom", "options").alias("options"), F.lit("").alias("tail"))
-    # roots meet the other words by equality on every prefix of the word
-    with_lists = roots.join(lists.withColumnRenamed("norm", "root"), "root").withColumnRenamed("options", "_root_options")
-    rest = out.filter(F.col("_custom").isNull() & F.col("options").isNull() & (F.length("norm") > 1)).select(
-        "norm", F.explode(F.transform(F.sequence(F.lit(1), F.length("norm") - 1), lambda n: F.substring(F.col("norm"), F.lit(1), n))).alias("root"))
-    rest = rest.join(L.bounded_broadcast(with_lists), "root").groupBy("norm").agg(F.min_by(F.struct("root", "_root_options"), "root_ord").alias("_r"))
-    rest = rest.select("norm", F.col("_r._root_options").alias("options"),
-                       F.concat(F.lit("-"), F.expr("substring(norm, length(_r.root) + 1)")).alias("tail"))
-    return known.unionByName(rest)
-
-
 def pick(seed: str, options: Column, *key: Column) -> Column:
     """Repeatable choice: hash of seed and place, modulo the number of options."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in key])), 1, 8)
     return F.element_at(options, (F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.size(options)) + 1).cast("int"))
 
 
+@dataclass(frozen=True)
+class Replacements:
+    """What stands for a normalised word, read once on the driver: the caller's own replacement; emoji for ``monkeys``;
+    the category's list or else the silly one; the first root that begins the word, with the rest of it after a dash."""
+
+    own: dict[str, list[str]]
+    lists: dict[str, list[str]]
+    roots: list[str]
+    any_word: list[str] | None = None
+
+    @staticmethod
+    def read(substitutions: DataFrame, roots: DataFrame, custom: DataFrame, category: str) -> "Replacements":
+        own = {r.term: [r.replacement] for r in L.all_rows(custom, MOST_REPLACEMENTS)}
+        if category == "monkeys":
+            return Replacements(own, {}, [], list(fv.MONKEYS))
+        wanted, found = category if category in fv.SUBSTITUTION_CATEGORIES else "silly", {}
+        for r in L.all_rows(substitutions, MOST_REPLACEMENTS):
+            of = found.setdefault(r.term.lower(), {})
+            of[r.category] = max(of.get(r.category, []), r.options or [])
+        lists = {t: of.get(wanted) or of.get("silly") for t, of in found.items()}
+        lists = {t: o for t, o in lists.items() if o}
+        return Replacements(own, lists, [r.root for r in sorted(L.all_rows(roots, MOST_REPLACEMENTS), key=lambda r: r.root_ord) if r.root in lists])
+
+    def put(self, norm: Column, chosen) -> Column:
+        """The replacement of a word; null when nothing fits.  ``chosen`` picks one of an array."""
+        array = lambda options: F.array(*map(F.lit, options))
+        table = lambda lists: F.create_map(*[c for t, o in lists.items() for c in (F.lit(t), array(o))])
+        out = [chosen(F.try_element_at(table(lists), norm)) for lists in (self.own, self.lists) if lists]
+        if self.any_word is not None:
+            return F.coalesce(*out, chosen(array(self.any_word)))
+        for root in self.roots:
+            rest = F.concat(chosen(array(self.lists[root])), F.lit("-"), F.substr(norm, F.lit(len(root) + 1)))
+            out.append(F.when(norm.startswith(root) & (norm != root), rest))
+        return F.coalesce(*out, F.lit(None).cast("string"))
+
+
 def substitute(
     detected: DataFrame, substitutions: DataFrame, roots: DataFrame, custom: DataFrame, category: str = "silly", seed: str = "0",
 ) -> DataFrame:
-    """Every match replaced by a chosen word.  Only cues with a match are shuffled."""
-    dirty = detected.filter(F.size("matches") > 0)
-    rows = dirty.select(*KEYS, F.inline("matches")).select(*KEYS, "start_idx", "end_idx", T.normalize_text(F.col("word")).alias("norm"))
-    options = replacement_options(rows.select("norm"), substitutions, roots, custom, category)
-    rows = rows.join(L.bounded_broadcast(options), "norm", "left")
-    put = F.coalesce(F.concat(pick(seed, F.col("options"), F.col("track_id"), F.col("cue_id"), F.col("start_idx")), F.col("tail")), F.lit(fv.CENSOR_MARK))
-    edits = rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start_idx", "end_idx", put.alias("put")))).alias("_edits"))
-    done = dirty.join(edits, KEYS).withColumn("censored_text", splice(F.col("text"), F.col("_edits"))).drop("_edits")
-    clean = detected.filter(F.size("matches") == 0).withColumn("censored_text", F.col("text"))
-    return clean.unionByName(done)
+    """Every match replaced by a chosen word, inside the cue's own row: the tables become part of the plan."""
+    words, text = Replacements.read(substitutions, roots, custom, category), F.col("text")
+
+    def edit(m: Column) -> Column:
+        chosen = lambda options: pick(seed, options, F.col("track_id"), F.col("cue_id"), m["start_idx"])
+        put = F.coalesce(words.put(T.normalize_text(m["word"]), chosen), F.lit(fv.CENSOR_MARK))
+        return F.struct(m["start_idx"], m["end_idx"], put.alias("put"))
+
+    done = F.when(F.size("matches") == 0, text).otherwise(splice(text, F.transform("matches", edit)))
+    return detected.withColumn("censored_text", done)

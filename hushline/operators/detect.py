@@ -1,11 +1,9 @@
 """Detection: lexicon and pattern matches in cues, overlap and context rules, scores.
 
-Two exact ways lead to the same matches.
-
-* Lexicons of ordinary size are folded into the plan as literals.  A cue is then
-  judged inside its own row: no shuffle, no join, one pass over the text.
-* Larger lexicons stay tables: candidates are exploded and meet the lexicon in
-  a hash join; the overlap rules are applied per cue afterwards.
+``detect_matches`` folds the lexicon into the plan as hash sets, whatever its
+size: a cue is judged inside its own row, with no shuffle and no join, in batch and
+on a stream.  ``detect_by_joins`` gives the same matches for lexicons that should
+stay tables: candidates are exploded and meet the lexicon in a hash join.
 
 The operators below work on a match table with one row per match:
 ``track_id, cue_id, word, start_idx, end_idx, type, confidence, term, context``.
@@ -28,7 +26,8 @@ KEYS = ["track_id", "cue_id"]
 _LETTERS = "A-Za-z'"
 _PIECE = rf"[{_LETTERS}]+|[{T.WS}\-]+|[^{_LETTERS}{T.WS}\-]"
 _GAP = rf"\A[{T.WS}\-]+\z"
-GUARD_LIMIT = 64
+#: More rows than this in a rule table are an error; nothing is ever cut off.
+MOST_RULES = 1_000_000
 
 
 def _nothing() -> Column:
@@ -46,16 +45,13 @@ class Rules:
     context: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
 
-def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = None, rules: DataFrame | None = None, exempt: DataFrame | None = None) -> Rules | None:
-    """Rule tables as plan-time literals; None when the lexicon is too large for that."""
+def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = None, rules: DataFrame | None = None, exempt: DataFrame | None = None) -> Rules:
+    """Rule tables as plan-time literals."""
     out = Rules()
     if lexicon is not None:
-        terms = lexicon.select("ord", "norm_term", "kind").limit(L.LITERAL_LIMIT + 1).collect()
-        if len(terms) > L.LITERAL_LIMIT:
-            return None
-        for r in sorted(terms):
+        for r in sorted(L.all_rows(lexicon.select("ord", "norm_term", "kind"), MOST_RULES)):
             (out.phrases if r.kind == "phrase" else out.words).append(r.norm_term)
-    by_ord = lambda df: sorted(df.collect(), key=lambda r: r.ord)
+    by_ord = lambda df: sorted(L.all_rows(df, MOST_RULES), key=lambda r: r.ord)
     if patterns is not None:
         out.patterns = [(r.term, T.ascii_pattern(r.pattern), r.letters) for r in by_ord(patterns)]
     if rules is not None:
@@ -64,7 +60,7 @@ def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = No
             if r.kind in of:
                 of[r.kind].append(T.ascii_pattern(r.pattern, r.case_sensitive))
     if exempt is not None:
-        out.exempt = [r.term for r in exempt.collect()]
+        out.exempt = [r.term for r in L.all_rows(exempt, MOST_RULES)]
     return out
 
 
@@ -99,50 +95,47 @@ def _match(text, word, start, end, kind: str, confidence: float, term) -> Column
         F.lit(confidence).alias("confidence"), term.alias("term"), _around(text, start, end).alias("context"))
 
 
-def _loose(phrase: str) -> str:
-    """Pattern of a phrase with any gap between its words."""
-    special = set(r".^$*+?{}[]\|()")
-    return rf"[{T.WS}\-]+".join("".join("\\" + ch if ch in special else ch for ch in w) for w in phrase.split(" "))
+def _sql_set(words: list[str]) -> str:
+    """Words as a list in SQL text: parsed at once, where building a literal for each would take most of a run's time."""
+    return "(" + ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words) + ")"
+
 
+def word_steps(text: Column, words: list[str]) -> list[tuple[str, Column]]:
+    """Tokens whose normalised form is listed, in column ``_w``.
 
-def word_candidates(text: Column, words: list[str]) -> Column:
-    """Tokens whose normalised form is listed."""
+    Both tests look tokens up in a hash set.  The first is made on the normalised text as a whole and settles almost all
+    cues; offsets are worked out only in cues that pass it.  Tokens hold no look-alike characters but digits.  Two
+    characters change their number or kind in lower case; texts with them take the long way.
+    """
     if not words:
-        return _nothing()
-    found = T.words(text)
-    gaps = F.split(text, T.TOKEN, -1)
-    hit = lambda w: T.normalize_text(w).isin(words)
+        return [("_w", _nothing())]
+    digits = "".join(c for c in fv.LOOKALIKE_FROM if c.isdigit())
+    letters = "".join(t for c, t in zip(fv.LOOKALIKE_FROM, fv.LOOKALIKE_TO) if c.isdigit())
+    low, listed = F.lower(text), _sql_set(words)
+    plain = F.when(text.rlike(f"[{digits}]"), F.translate(low, digits, letters)).otherwise(low)
 
     def locate(z):
-        steps = F.zip_with(F.slice(z["g"], F.lit(1), F.size(z["w"])), z["w"], lambda g, w: F.struct(g.alias("g"), w.alias("w")))
+        steps = F.arrays_zip(F.slice(z["g"], F.lit(1), F.size(z["w"])).alias("g"), z["w"].alias("w"), z["h"].alias("h"))
 
         def walk(acc, s):
             at = acc["at"] + F.length(s["g"])
             end = at + F.length(s["w"])
             grown = F.concat(acc["out"], F.array(F.struct(s["w"].alias("word"), at.alias("start_idx"), end.alias("end_idx"))))
-            return F.struct(end.alias("at"), F.when(hit(s["w"]), grown).otherwise(acc["out"]).alias("out"))
+            return F.struct(end.alias("at"), F.when(s["h"], grown).otherwise(acc["out"]).alias("out"))
 
         hits = F.aggregate(
             steps, F.struct(F.lit(0).alias("at"), F.array().cast(T.SPAN_TYPE).alias("out")), walk, lambda acc: acc["out"])
         return F.transform(hits, lambda s: _match(
             text, s["word"], s["start_idx"], s["end_idx"], "exact", fv.EXACT_CONFIDENCE, F.lower(s["word"])))
 
-    # offsets are worked out for hits only, and only in cues that have one
-    return F.when(_any_listed(text, words), T.let(F.struct(found.alias("w"), gaps.alias("g")), locate)).otherwise(_nothing())
-
-
-def _any_listed(text: Column, words: list[str]) -> Column:
-    """Whether any token is listed, judged on the normalised text as a whole.
-
-    Tokens hold no look-alike characters but digits.  Two characters change
-    their number or kind in lower case; texts with them take the long way.
-    """
-    low = F.lower(text)
-    digits = "".join(c for c in fv.LOOKALIKE_FROM if c.isdigit())
-    letters = "".join(t for c, t in zip(fv.LOOKALIKE_FROM, fv.LOOKALIKE_TO) if c.isdigit())
-    plain = F.when(text.rlike(f"[{digits}]"), F.translate(low, digits, letters)).otherwise(low)
-    listed = F.array(*[F.lit(w) for w in words])
-    return F.arrays_overlap(T.words(plain), listed) | text.rlike(f"[{chr(0x130)}{chr(0x212A)}]")
+    found = T.let(F.struct(T.words(text).alias("w"), F.split(text, T.TOKEN, -1).alias("g"), F.col("_hit").alias("h")), locate)
+    return [
+        ("_low", T.words(plain)),
+        ("_any", F.expr(f"exists(_low, w -> w IN {listed})") | text.rlike(f"[{chr(0x130)}{chr(0x212A)}]")),
+        ("_norm", F.when(F.col("_any"), F.transform(T.words(text), T.normalize_text))),
+        ("_hit", F.expr(f"transform(_norm, w -> w IN {listed})")),
+        ("_w", F.when(F.col("_any"), found).otherwise(_nothing())),
+    ]
 
 
 def _phrase_pieces(phrase: str) -> tuple[str, int, str, str]:
@@ -158,24 +151,21 @@ def phrase_steps(text: Column, phrases: list[str]) -> list[tuple[str, Column]]:
 
     The text is cut into letter runs, gaps and single other characters; a run of
     pieces is looked up in a hash set, so the cost does not grow with the list.
+    Only texts that hold some phrase's first piece are cut.
     The pieces are columns of their own, so that they are cut only once.
     """
     if not phrases:
         return [("_p", _nothing())]
     known = [_phrase_pieces(p.strip()) for p in phrases]
     raw, plain = F.col("_raw"), F.col("_plain")
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    if len(known) <= GUARD_LIMIT:
-        # almost all cues are settled by one look
-        low, any_of = F.lower(text), F.lit(False)
-        for words in (k[0].split(" ") for k in known):
-            all_of = F.lit(True)
-            for w in words:
-                all_of = all_of & low.contains(w)
-            any_of = any_of | all_of
-        loose = "|".join(_loose(k[0]) for k in known)
-        any_of = any_of & text.rlike(rf"(?i)(?:{loose})")
-        pieces = F.when(any_of, pieces).otherwise(F.array().cast("array<string>"))
+    firsts = sorted({k[2] for k in known})
+    low, runs = F.lower(text), [f for f in firsts if _is_letter(f[0])]
+    # a letter run is whole between other characters, so tokens of letters show it; other first pieces are one character
+    any_of = F.exists(F.regexp_extract_all(low, F.lit(f"[{_LETTERS}]+"), F.lit(0)), lambda w: w.isin(runs)) if runs else F.lit(False)
+    for f in firsts:
+        if not _is_letter(f[0]):
+            any_of = any_of | low.contains(f)
+    pieces = F.when(any_of, F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = []
     for size in sorted({k[1] for k in known}):
         of_size = [k for k in known if k[1] == size]
@@ -308,10 +298,8 @@ def _exempt_condition(exempt: list[str]):
 
 def detect_columns(text: Column, rules: Rules, sensitivity: str, use_context: bool, fuzzy: Column | None = None) -> list[tuple[str, Column]]:
     """Steps of detection as named columns; each step reads the ones before it."""
-    tokens = word_candidates(text, rules.words)
-    if fuzzy is not None:
-        tokens = F.concat(tokens, F.coalesce(fuzzy, _nothing()))
-    steps = phrase_steps(text, rules.phrases) + pattern_steps(text, rules.patterns) + [("_t", tokens)]
+    tokens = F.col("_w") if fuzzy is None else F.concat("_w", F.coalesce(fuzzy, _nothing()))
+    steps = phrase_steps(text, rules.phrases) + pattern_steps(text, rules.patterns) + word_steps(text, rules.words) + [("_t", tokens)]
     dropped = []
     if sensitivity == "low" and rules.exempt:
         dropped.append(_exempt_condition(rules.exempt))
@@ -338,8 +326,6 @@ def detect_matches(
 ) -> DataFrame:
     """Cues with ``matches ARRAY<STRUCT>``, ``score`` and ``has_profanity``."""
     found = read_rules(lexicon, patterns, rules, exempt)
-    if found is None:
-        return _detect_by_joins(cues, lexicon, patterns, rules, exempt, sensitivity, use_context, fuzzy_threshold)
     out, fuzzy = cues, None
     if fuzzy_threshold is not None:
         out = _with_fuzzy(cues, lexicon, found.words, fuzzy_threshold)
@@ -394,8 +380,6 @@ def exact_matches(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
 def phrase_matches(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every place of every listed phrase; overlaps are left to ``drop_overlaps``."""
     found = read_rules(lexicon.filter("kind = 'phrase'"))
-    if found is None:
-        return phrase_matches_joined(cues, lexicon)
     return _explode_matches(_with_steps(cues, phrase_steps(F.col("text"), found.phrases)), F.col("_p"))
 
 
@@ -407,10 +391,12 @@ def fuzzy_vocabulary(vocabulary: DataFrame, lexicon: DataFrame, threshold: float
     """vocabulary(norm) to its first close lexicon entry: (norm, fuzzy_term, fuzzy_confidence).
 
     Every distinct word is judged once.  Words meet only entries whose length
-    is near enough, by equality on the length, and the distance is cut off early.
+    is near enough, by equality on the length.
     """
     near = F.floor(F.lit(threshold) * F.greatest(F.length("norm"), F.length("norm_term"))).cast("int")
-    reach = F.floor(F.col("_len") / (1 - threshold) + 1).cast("int") if threshold < 1 else F.lit(64)
+    if not 0 <= threshold < 1:
+        raise ValueError("a threshold of 1 or more fits every word")
+    reach = F.floor(F.col("_len") / (1 - threshold) + 1).cast("int")
     low = F.floor(F.col("_len") * (1 - threshold)).cast("int")
     entries = (
         lexicon.select("norm_term", "ord", F.length("norm_term").alias("_len"))
@@ -467,8 +453,8 @@ def context_allowed(matches: DataFrame, rules: DataFrame) -> DataFrame:
     return matches.filter(~context_hit(F.col("term"), F.col("context"), found, "allowed"))
 
 
-def context_confidence(matches: DataFrame, rules: DataFrame) -> DataFrame:
-    """Confidence of token matches after the context was looked at."""
+def context_confidence(matches: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """Confidence of token matches after the context was looked at; without rules all are certain."""
     found = read_rules(rules=rules).context
     as_match = {c: F.col(c) for c in ("term", "context")}
     return matches.withColumn("confidence", _context_confidence(as_match, found))
@@ -491,12 +477,15 @@ def score_cues(cues: DataFrame, matches: DataFrame, sensitivity: str = "medium")
     return out.withColumn("has_profanity", (F.col("n_matches") > 0) & (F.col("score") >= fv.FLAG_AT[sensitivity]))
 
 
-def _detect_by_joins(cues, lexicon, patterns, rules, exempt, sensitivity, use_context, fuzzy_threshold) -> DataFrame:
-    """The same result for lexicons that are too large to be literals."""
+def detect_by_joins(
+    cues: DataFrame, lexicon: DataFrame, patterns: DataFrame | None = None, rules: DataFrame | None = None,
+    exempt: DataFrame | None = None, sensitivity: str = "medium", use_context: bool = True, fuzzy_threshold: float | None = None,
+) -> DataFrame:
+    """The same result as ``detect_matches`` for lexicons that should stay tables; not for streams."""
     words = exact_matches(cues, lexicon)
     if fuzzy_threshold is not None:
         words = words.unionByName(fuzzy_matches(cues, lexicon, fuzzy_threshold))
-    if use_context and rules is not None:
+    if use_context:
         words = context_confidence(words, rules)
     found = words.unionByName(phrase_matches(cues, lexicon))
     if patterns is not None:

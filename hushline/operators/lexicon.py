@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as P
 
 from hushline.functions import fixed_values as fv, text as T
 
-LITERAL_LIMIT = 20_000
+
+def all_rows(df: DataFrame, most: int) -> list:
+    """All rows of a small table on the driver; an error, never a cut, if it has more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows was expected")
+    return rows
 
 
 def fits(df: DataFrame, limit: int) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv
-from hushline.operators import lexicon as L, ordered
+from hushline.operators import detect as D, lexicon as L, ordered
 from hushline.operators.detect import KEYS
 
 
@@ -99,43 +99,42 @@ def merge_cues(existing: DataFrame, incoming: DataFrame, policies: DataFrame) ->
 def resolve_profile(rows: DataFrame, stored: DataFrame | None, overrides: DataFrame, site: str = "site") -> DataFrame:
     """Settings per row: built-in values, then stored ones, then those of the site.
 
-    ``overrides`` has one row per site; a null field falls through.
+    ``overrides`` has one row per site; a null field falls through.  ``stored`` has one row or none.
     """
     sites = overrides.select(F.col("site").alias("_site"), *[F.col(c).alias(f"_o_{c}") for c in overrides.columns if c != "site"])
     out = rows.join(L.bounded_broadcast(sites), F.col(site) == F.col("_site"), "left")
-    if stored is not None:
-        out = out.crossJoin(F.broadcast(stored.limit(1).select(*[F.col(c).alias(f"_g_{c}") for c in stored.columns])))
+    saved = [r.asDict() for r in L.all_rows(stored, 1)] if stored is not None else []
     for name, default in fv.DEFAULT_PROFILE.items():
-        layers = [F.col(c) for c in (f"_o_{name}", f"_g_{name}") if c in out.columns]
-        out = out.withColumn(name, F.coalesce(*layers, F.lit(default)))
-    return out.drop(*[c for c in out.columns if c.startswith(("_o_", "_g_"))], "_site")
+        layers = [F.col(c) for c in (f"_o_{name}",) if c in out.columns]
+        general = saved[0].get(name) if saved else None
+        out = out.withColumn(name, F.coalesce(*layers, F.lit(default if general is None else general)))
+    return out.drop(*[c for c in out.columns if c.startswith("_o_")], "_site")
 
 
-def touched_cues(cues: DataFrame, changed: list[str]) -> Column:
-    """Whether the text of a cue holds any changed term, read loosely.
+def touched_cues(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, fuzzy_threshold: float | None = None) -> DataFrame:
+    """The cues with ``touched``: whether any changed term is found in them.
 
-    A term may be hidden by look-alike or filler characters, so the test is on
-    the text without anything but letters and digits; it never misses a cue.
+    The changed terms are a lexicon of their own, and detection with it, by the same rules of tokens, phrases and
+    distances, tells where results may differ.
     """
-    from hushline.functions import text as T
+    known = lexicon_old.unionByName(lexicon_new).groupBy("norm_term").agg(F.min_by("term", "ord").alias("term"), F.min("kind").alias("kind"), F.min("ord").alias("ord"))
+    changed = L.lexicon_diff(lexicon_old, lexicon_new).select("norm_term").distinct().join(known, "norm_term").select("term", "norm_term", "kind", "ord")
+    held = {c: f"_old_{c}" for c in ("matches", "score", "has_profanity")}
+    found = D.detect_matches(detected.withColumnsRenamed(held), changed, use_context=False, fuzzy_threshold=fuzzy_threshold)
+    found = found.withColumn("touched", F.size("matches") > 0).drop(*held)
+    return found.withColumnsRenamed({v: k for k, v in held.items()})
 
-    squeezed = F.regexp_replace(T.normalize_text(F.col("text")), r"[^\p{L}\p{N}]", "")
-    out = F.lit(False)
-    for term in changed:
-        out = out | squeezed.contains("".join(ch for ch in term if ch.isalnum()))
-    return out
 
+def redetect(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, detect, fuzzy_threshold: float | None = None) -> DataFrame:
+    """Detect again only where a changed term is found; other rows are kept as they are.
 
-def redetect(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, detect) -> DataFrame:
-    """Detect again only where a changed term may stand; other rows are kept as they are.
-
-    ``detect`` maps plain cues to detected cues under the new lexicon.
+    ``detect`` maps plain cues to detected cues under the new lexicon, with the same ``fuzzy_threshold``.
     """
-    diff = L.lexicon_diff(lexicon_old, lexicon_new)
-    if not L.fits(diff, L.LITERAL_LIMIT):
-        return detect(detected.drop("matches", "score", "has_profanity"))
-    changed = [r.norm_term for r in diff.select("norm_term").distinct().collect()]
-    # the longest common test stays cheap: one contains per changed term
-    touched = touched_cues(detected, changed)
-    again = detect(detected.filter(touched).drop("matches", "score", "has_profanity"))
-    return detected.filter(~touched).unionByName(again.select(*detected.columns))
+    marked = ordered.materialize(touched_cues(detected, lexicon_old, lexicon_new, fuzzy_threshold))
+    again = detect(marked.filter("touched").drop("touched", "matches", "score", "has_profanity"))
+    return marked.filter("not touched").select(*detected.columns).unionByName(again.select(*detected.columns))
+
+
+def reflag(detected: DataFrame, sensitivity: str) -> DataFrame:
+    """Another sensitivity for detected cues: flags follow the scores, the matches stay."""
+    return D.score_columns(detected.drop("score", "has_profanity"), sensitivity).select(*detected.columns)

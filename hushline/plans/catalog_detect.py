@@ -200,7 +200,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The way taken for lexicons too large to be folded into the plan."""
     r = C.corpus_rules(spark)
-    out = D._detect_by_joins(C.document_cues(spark, sf), r["lexicon"], r["patterns"], r["rules"], r["exempt"], "medium", True, None)
+    out = D.detect_by_joins(C.document_cues(spark, sf), r["lexicon"], r["patterns"], r["rules"], r["exempt"], "medium", True, None)
     return D.match_table(out).drop("term", "context")
 
 
@@ -241,6 +241,34 @@ def _(spark, sf):
     return out.select("track_id", "cue_id", F.size("matches").cast("bigint").alias("n_matches"), F.round("score", 3).alias("score"), "has_profanity")
 
 
+_redetected_fuzzy = S.with_(S.CUES, S.TOKENS, S.lexicon(NEW_WORDS + C.PHRASES), S.EXACT, S.PHRASES, S.PATTERNS, FUZZY, S.detected(extra_tokens="UNION ALL SELECT * FROM fuzzy_m"),
+                            then="SELECT track_id, cue_id, n_matches, round(score, 3) AS score, has_profanity FROM scored")
+
+
+@case("redetect_fuzzy", _redetected_fuzzy)
+def _(spark, sf):
+    r = C.corpus_rules(spark)
+    new = L.build_lexicon(L.terms_df(spark, NEW_WORDS + C.PHRASES))
+    again = lambda cues: D.detect_matches(cues, new, r["patterns"], r["rules"], r["exempt"], fuzzy_threshold=0.25)
+    out = M.redetect(detected(spark, sf, fuzzy=0.25), r["lexicon"], new, again, fuzzy_threshold=0.25)
+    return out.select("track_id", "cue_id", F.size("matches").cast("bigint").alias("n_matches"), F.round("score", 3).alias("score"), "has_profanity")
+
+
+@case("detect_large_lexicon", S.with_(S.CUES, S.TOKENS, then=f"""SELECT track_id, cue_id, count(t.pos) AS n_matches FROM cues
+LEFT JOIN (SELECT * FROM tokens WHERE length({S.norm('word')}) >= 7) t USING (track_id, cue_id) GROUP BY ALL"""))
+def _(spark, sf):
+    """A lexicon of all longer words of the table, tens of thousands, as a hash set in the plan."""
+    words = C.table(spark, sf, "documents").select(F.explode_outer(T.words(F.col("text"))).alias("term")).filter(F.length(T.normalize_text(F.col("term"))) >= 7)
+    lex = L.build_lexicon(words.distinct().select("term", F.lit(0).alias("ord")))
+    out = D.detect_matches(C.document_cues(spark, sf), lex, use_context=False)
+    return out.select("track_id", "cue_id", F.size("matches").cast("bigint").alias("n_matches"))
+
+
+@case("redetect_sensitivity", S.with_(*S.ALL, S.detected("high"), then="SELECT track_id, cue_id, round(score, 3) AS score, has_profanity FROM scored"))
+def _(spark, sf):
+    return M.reflag(detected(spark, sf), "high").select("track_id", "cue_id", F.round("score", 3).alias("score"), "has_profanity")
+
+
 @case("detection_quality", S.with_(*S.ALL, S.detected(), then="""
 SELECT language, tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN NULL ELSE tp / CAST(tp + fp AS DOUBLE) END, 6) AS "precision", round(CASE WHEN tp + fn = 0 THEN NULL ELSE tp / CAST(tp + fn AS DOUBLE) END, 6) AS recall,
  round(CASE WHEN fp + tn = 0 THEN NULL ELSE fp / CAST(fp + tn AS DOUBLE) END, 6) AS false_positive_rate FROM (
@@ -355,7 +383,7 @@ def _(spark, sf):
 
 @case("lexicon_diff", f"""WITH a AS (SELECT DISTINCT {S.norm('w')} AS t FROM (SELECT unnest(regexp_extract_all(text, '{S.TOKEN}')) AS w FROM documents)),
 b AS (SELECT DISTINCT {S.norm('w')} AS t FROM (SELECT unnest(regexp_extract_all(text, '{S.TOKEN}')) AS w FROM conversations))
-SELECT t AS norm_term, 'added' AS change FROM b WHERE t NOT IN (SELECT t FROM a) UNION ALL SELECT t, 'removed' FROM a WHERE t NOT IN (SELECT t FROM b)""")
+SELECT t AS norm_term, 'added' AS change FROM (SELECT t FROM b EXCEPT SELECT t FROM a) UNION ALL SELECT t, 'removed' FROM (SELECT t FROM a EXCEPT SELECT t FROM b)""")
 def _(spark, sf):
     """Two lexicons read off the vocabularies of two tables."""
     vocab = lambda n: C.table(spark, sf, n).select(F.explode_outer(T.words(F.col("text"))).alias("w")).filter("w is not null").select(

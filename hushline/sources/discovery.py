@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import language as G, text as T, urls as U
+from hushline.operators.ordered import materialize
 
 _blank_null = lambda c: F.nullif(c, F.lit(""))
 _TAG = "#EXT-X-MEDIA:TYPE=SUBTITLES"
@@ -88,16 +89,17 @@ CHILD_KEYS = ["subtitles", "subs", "captions", "cc", "text_tracks", "tracks"]
 _EXTENSIONS = r"(?i)\.(?:vtt|srt|ass|ssa)"
 
 
-def nested_track_urls(payloads: DataFrame, exclude: list[str] = (), depth: int = 4) -> DataFrame:
+def nested_track_urls(payloads: DataFrame, exclude: list[str] = ()) -> DataFrame:
     """Subtitle URLs in nested JSON: ``payloads(payload_id, body)``.
 
     Objects are tested for URL keys; the search goes down into arrays and a fixed
-    set of keys, ``depth`` steps.
+    set of keys, level by level until a level is empty.  Levels are stored, as each is read twice.
     """
     level = payloads.select("payload_id", F.try_parse_json("body").alias("_v"), F.lit("$").alias("_at"))
     level = level.filter(F.col("_v").isNotNull())
-    found = None
-    for step in range(depth + 1):
+    found, first = None, True
+    while first or not level.isEmpty():
+        level, first = materialize(level), False
         kind = F.schema_of_variant("_v")
         objects = level.filter(kind.startswith("OBJECT"))
         here = objects.select("payload_id", "_at", "_v", F.explode(F.array(*[
@@ -111,8 +113,6 @@ def nested_track_urls(payloads: DataFrame, exclude: list[str] = (), depth: int =
             F.coalesce(get("language"), get("lang"), get("code"), G.url_language(F.col("_k.url"), wide=True)).alias("language"),
             F.coalesce(get("label"), get("name"), F.lit("Detected")).alias("label"))
         found = rows if found is None else found.unionByName(rows)
-        if step == depth:
-            break
         below = objects.select("payload_id", "_at", F.explode(F.array(*[
             F.struct(F.lit(k).alias("key"), F.try_variant_get("_v", f"$.{k}", "variant").alias("v")) for k in CHILD_KEYS])).alias("_c"))
         below = below.filter(F.col("_c.v").isNotNull()).select("payload_id", F.concat("_at", F.lit("."), "_c.key").alias("_at"), F.col("_c.v").alias("_v"))

@@ -112,7 +112,8 @@ def _vtt(content: Column, offset_ms: int = 0) -> Column:
     def cue(block):
         head = F.element_at(F.split(block, "[\x1f\x1d]", -1), 1)
         body = F.element_at(F.split(block, "\x1d", -1), 1)
-        text = T.trim_space(F.array_join(F.slice(F.split(body, "\x1f", -1), 2, 1_000_000), "\n"))
+        lines = F.split(body, "\x1f", -1)
+        text = T.trim_space(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"))
         start = clock_ms(F.regexp_extract(head, _VTT_LINE, 1)) - max(offset_ms, 0)
         end = clock_ms(F.regexp_extract(head, _VTT_LINE, 2)) - max(offset_ms, 0)
         return F.when((text != "") & (start < end) & (start >= 0), _cue(start, end, text))

@@ -18,7 +18,7 @@ def run(spark, texts, terms, sensitivity="medium", context=False, patterns=True,
     lex = L.build_lexicon(L.terms_df(spark, terms))
     args = (L.obfuscation_patterns(spark) if patterns else None, L.context_rules(spark), L.exempt_terms(spark), sensitivity, context, fuzzy)
     df = cues(spark, *texts)
-    out = D._detect_by_joins(df, lex, *args) if by_joins else D.detect_matches(df, lex, *args)
+    out = D.detect_by_joins(df, lex, *args) if by_joins else D.detect_matches(df, lex, *args)
     return sorted(X.censor(out).collect(), key=lambda r: r.cue_id)
 
 
