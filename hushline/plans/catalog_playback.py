@@ -208,18 +208,20 @@ def _(spark, sf):
 # ------------------------------------------------------------------ merging
 
 _SPLIT = """
-old AS (SELECT * FROM cues WHERE cue_id % 3 <> 2),
-new AS (SELECT track_id, cue_id, CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN start_ms + 7 ELSE start_ms END AS start_ms, CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN end_ms + 7 ELSE end_ms END AS end_ms, text,
-  ['user-upload', 'youtube', 'plutotv-x', 'fmovies', 'api', 'my.user-subtitle'][CAST(track_id AS BIGINT) % 6 + 1] AS source, language FROM cues WHERE cue_id % 4 <> 1)"""
+old AS (SELECT * FROM cues),
+new AS (SELECT track_id, cue_id, CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN start_ms + 7 ELSE start_ms END AS start_ms, CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN end_ms + 7 ELSE end_ms END AS end_ms, CASE WHEN cue_id % 4 = 1 THEN text || '.' ELSE text END AS text,
+  ['user-upload', 'youtube', 'plutotv-x', 'fmovies', 'api', 'my.user-subtitle'][CAST(track_id AS BIGINT) % 6 + 1] AS source, language FROM cues)"""
 
 
 def two_versions(spark, sf):
+    """All cues, and all cues as another source has them: some tracks later, some cues reworded."""
     cues = C.document_cues(spark, sf)
     t = F.col("track_id").cast("bigint")
     moved = F.when(t % 5 == 0, 7).otherwise(0)
     names = F.array(*[F.lit(x) for x in ("user-upload", "youtube", "plutotv-x", "fmovies", "api", "my.user-subtitle")])
-    new = cues.filter("cue_id % 4 <> 1").withColumn("start_ms", F.col("start_ms") + moved).withColumn("end_ms", F.col("end_ms") + moved)
-    return cues.filter("cue_id % 3 <> 2"), new.withColumn("source", F.element_at(names, (t % 6 + 1).cast("int")))
+    new = cues.withColumn("start_ms", F.col("start_ms") + moved).withColumn("end_ms", F.col("end_ms") + moved)
+    new = new.withColumn("text", F.when(F.col("cue_id") % 4 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return cues, new.withColumn("source", F.element_at(names, (t % 6 + 1).cast("int")))
 
 
 @case("new_cues_only", S.with_(S.CUES, _SPLIT, then="SELECT track_id, cue_id, start_ms FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.track_id = n.track_id AND o.start_ms = n.start_ms AND o.text = n.text)"))
@@ -241,13 +243,13 @@ def _(spark, sf):
 
 
 _POLICY = """
-pol AS (SELECT rn.track_id, CASE WHEN CAST(rn.track_id AS BIGINT) % 7 = 0 AND NOT (rn.src IN ('user-upload', 'user-selection') OR contains(rn.src, 'user-subtitle')) THEN 'reject' WHEN ro.src IS NULL THEN 'accumulate'
+pol AS (SELECT rn.track_id, CASE WHEN ro.src = 'src0' AND NOT (rn.src IN ('user-upload', 'user-selection') OR contains(rn.src, 'user-subtitle')) THEN 'reject' WHEN ro.src IS NULL THEN 'accumulate'
   WHEN rn.src IN ('user-upload', 'user-selection', 'lookmovie.user-subtitle-selected', 'lookmovie.auto-selected') OR contains(rn.src, 'user-subtitle') THEN 'replace' WHEN rn.src = 'fmovies' AND rn.n > 100 AND l.replaces THEN 'replace' ELSE 'accumulate' END AS policy
   FROM rn LEFT JOIN ro USING (track_id) LEFT JOIN lap l USING (track_id))"""
 
 
 def _uploads(cues):
-    return cues.select("track_id").distinct().filter(F.col("track_id").cast("bigint") % 7 == 0)
+    return cues.filter("source = 'src0'").select("track_id").distinct()
 
 
 @case("merge_policies", S.with_(S.CUES, _SPLIT, _RANGES, _POLICY, then="SELECT * FROM pol"))

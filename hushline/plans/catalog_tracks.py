@@ -161,10 +161,10 @@ def _(spark, sf):
     return R.number_labels(C.track_rows(spark, sf), chunk=100).select("ord", "numbered_label")
 
 
-@case("new_tracks_only", S.with_(TRACKS, then="SELECT ord FROM tr t WHERE ord % 2 = 1 AND NOT EXISTS (SELECT 1 FROM tr k WHERE k.ord % 2 = 0 AND k.ord % 4 = 0 AND (k.url = t.url OR k.id = t.id))"))
+@case("new_tracks_only", S.with_(TRACKS, then="SELECT ord FROM tr t WHERE NOT embedded AND NOT EXISTS (SELECT 1 FROM tr k WHERE k.embedded AND (k.url = t.url OR k.id = t.id))"))
 def _(spark, sf):
     tracks = C.track_rows(spark, sf)
-    return M.new_tracks_only(tracks.filter("ord % 4 = 0"), tracks.filter("ord % 2 = 1")).select("ord")
+    return M.new_tracks_only(tracks.filter("embedded"), tracks.filter("not embedded")).select("ord")
 
 
 @case("all_tracks", S.with_(TRACKS, then="SELECT DISTINCT coalesce(url, id) AS k FROM tr"))
