@@ -97,9 +97,9 @@ def nested_track_urls(payloads: DataFrame, exclude: list[str] = ()) -> DataFrame
     """
     level = payloads.select("payload_id", F.try_parse_json("body").alias("_v"), F.lit("$").alias("_at"))
     level = level.filter(F.col("_v").isNotNull())
-    found, first = None, True
-    while first or not level.isEmpty():
-        level, first = materialize(level), False
+    found, level = None, materialize(level)
+    parts = level.rdd.getNumPartitions()  # a union of two children each would double them at every level
+    while found is None or not level.isEmpty():
         kind = F.schema_of_variant("_v")
         objects = level.filter(kind.startswith("OBJECT"))
         here = objects.select("payload_id", "_at", "_v", F.explode(F.array(*[
@@ -120,7 +120,7 @@ def nested_track_urls(payloads: DataFrame, exclude: list[str] = ()) -> DataFrame
         items = lists.lateralJoin(
             lists.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(
             "payload_id", F.concat("_at", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("_at"), F.col("value").alias("_v"))
-        level = below.unionByName(items)
+        level = materialize(below.unionByName(items).filter(F.col("_v").isNotNull()).coalesce(parts))
     return found
 
 
