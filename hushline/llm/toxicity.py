@@ -58,29 +58,41 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: float = 0.8, l1: float = 0.5) -> np.ndarray:
-    """Weights, the bias last, by AdaGrad over all documents with an L1 pull on words; words of a single document are left out."""
+def _sums(keys: np.ndarray, values: np.ndarray, at: np.ndarray, size: int, block: int = 1 << 20) -> np.ndarray:
+    """Per key the sum of ``values[at]``, block by block, so that no long array of floats is made."""
+    out = np.zeros(size)
+    for k in range(0, len(keys), block):
+        out += np.bincount(keys[k:k + block], values[at[k:k + block]], size)
+    return out
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 200, rate: float = 0.8, l1: float = 0.5) -> np.ndarray:
+    """Weights, the bias last, by AdaGrad over all documents with an L1 pull on features; those of a single document are left out.
+
+    A document is the places of all its sentences, one after another, and their numbers per sentence.
+    """
     size = 1 << BITS
-    counts = np.array([len(d) for d in docs])
-    doc = np.repeat(np.arange(len(docs)), counts)
-    pairs = np.concatenate(docs) if len(docs) else np.zeros(0, np.int64)
-    places = pairs & (size - 1)
-    _, sentence = np.unique(doc << 32 | pairs >> BITS, return_inverse=True)
-    held = np.unique(doc << BITS | places)
-    common = np.bincount(held & (size - 1), minlength=size) > 1
-    keep = common[places]
-    of_doc = np.zeros(sentence.max() + 1 if len(sentence) else 0, np.int64)
-    of_doc[sentence] = doc
-    used, column = np.unique(places[keep], return_inverse=True)
-    row, w, grads, bias, bias_grad = sentence[keep], np.zeros(len(used)), np.full(len(used), 1e-3), BIAS, 1e-3
+    in_docs = np.zeros(size, np.int32)
+    for places, _ in docs:
+        in_docs[np.unique(places)] += 1
+    used = np.flatnonzero(in_docs > 1)
+    column_of = np.full(size, -1, np.int32)
+    column_of[used] = np.arange(len(used), dtype=np.int32)
+    per_sentence = np.concatenate([c for _, c in docs]).astype(np.int64) if docs else np.zeros(0, np.int64)
+    of_doc = np.repeat(np.arange(len(docs)), [len(c) for _, c in docs])
+    row = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+    column = np.concatenate([column_of[p] for p, _ in docs]) if docs else np.zeros(0, np.int32)
+    keep = column >= 0
+    row, column = row[keep], column[keep]
+    w, grads, bias, bias_grad = np.zeros(len(used)), np.full(len(used), 1e-3), BIAS, 1e-3
     for _ in range(steps if 0 < labels.sum() < len(labels) else 0):
-        logits = np.clip(bias + np.bincount(row, w[column], len(of_doc)), -35, 35)
+        logits = np.clip(bias + _sums(row, w, column, len(of_doc)), -35, 35)
         p = 1 / (1 + np.exp(-logits))
         clean = np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(docs))
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         # d loss / d logit: p for a clean document, -p (1 - P) / P for a toxic one
         g = p * np.where(labels == 1, -np.exp(clean) / toxic, 1.0)[of_doc]
-        gw, gb = np.bincount(column, g[row], len(used)), g.sum()
+        gw, gb = _sums(column, g, row, len(used)), g.sum()
         grads += gw * gw
         step = rate / np.sqrt(grads)
         w -= step * gw
@@ -95,18 +107,20 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: floa
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo: dict = {}
     for b in batches:
-        yield pd.DataFrame({"ord": b["ord"], "label": b["label"], "pairs": [words_of(t, memo).astype(np.uint64).tobytes() for t in b["text"]]})
+        pairs = [words_of(t, memo) for t in b["text"]]
+        yield pd.DataFrame({"ord": b["ord"], "label": b["label"], "places": [(p & ((1 << BITS) - 1)).astype(np.uint32).tobytes() for p in pairs],
+                            "counts": [np.bincount(p >> BITS).astype(np.uint32).tobytes() for p in pairs]})
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["ord", "label", "pairs"])
-    docs = [np.frombuffer(p, np.uint64).astype(np.int64) for p in rows["pairs"]]
+    rows = rows.sort_values(["ord", "label", "places"])
+    docs = [(np.frombuffer(p, np.uint32), np.frombuffer(c, np.uint32)) for p, c in zip(rows["places"], rows["counts"], strict=True)]
     return pd.DataFrame({"weights": [fit(docs, rows["label"].to_numpy()).tobytes()]})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", at_most: int = MAX_TRAINING_ROWS, id: str = "doc_id", text: str = "text") -> np.ndarray:
     """Weights fitted on the labelled rows outside the held-out fold; the bags of the bounded sample meet in one task."""
-    rows = labelled(docs, labels, label, at_most, id, text).mapInPandas(_bags, "ord bigint, label int, pairs binary")
+    rows = labelled(docs, labels, label, at_most, id, text).mapInPandas(_bags, "ord bigint, label int, places binary, counts binary")
     fitted = rows.groupBy(F.lit("all")).applyInPandas(_fit, "weights binary").first()
     return np.frombuffer(fitted["weights"], np.float32) if fitted else np.concatenate([np.zeros(1 << BITS, np.float32), [np.float32(BIAS)]])
 
