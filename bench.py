@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 QUERIES = [
     "document_cues", "tokens", "detect", "fuzzy_matches", "censor", "profanity_summary", "mute_windows", "muted_time", "active_cue", "mute_state",
-    "asof_position", "renumber", "ingest_cues", "url_predicates", "dedupe_tracks", "page_links",
+    "asof_position", "renumber", "substitute_silly", "merge_cues", "next_cues", "redetect", "ingest_cues", "url_predicates", "dedupe_tracks", "page_links",
 ]
 
 

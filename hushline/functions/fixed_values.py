@@ -111,24 +111,24 @@ FALLBACK_RATE = {"wpm": 170.0, "ms_per_syllable": 175.0, "syllables_per_word": 1
 
 # --- Fixed values: replacement words for the main roots ----------------------
 # term | silly | polite | random ; other terms come from the caller's table
-ROOT_SUBSTITUTIONS = """
-fuck | fudge, frick, freak, fiddlesticks, firetruck, fluffernutter, frock | darn, bother, drat | bananas, noodles, shenanigans
-fucking | fudging, fricking, freaking, fiddlesticks-ing, flabbergasted | darned, blasted, confounded | noodly, bananarama
-fucker | fudger, frick-fracker, fire-trucker, fellow | jerk, meanie, rascal | noodle, potato
-shit | shoot, shiz, shenanigans, sugar, shucks, spaghetti, poopypants | crap, poop, dung | bananas, noodles, wibbly-wobbly
-shithead | shoothead, sillyhead, poopyhead, noodlehead, spaghetti-head | dummy, fool, nitwit | banana-brain, potato-head
-bullshit | bullshoot, bullroar, malarkey, flapdoodle, poppycock, codswallop | nonsense, rubbish, hogwash | banana-oil, fairy-tales
-bitch | beach, birch, bench, britch, biscuit, butterscotch | meanie, jerk, rude person | banana, noodle, pickle
-cunt | cant, coot, clown, coconut, cucumber, cabbage | jerk, meanie, unpleasant person | banana, potato, noodle
-dick | dickens, dingle, dork, ding-dong, donut, duck | jerk, meanie, rascal | noodle, banana, potato
-ass | asterisk, applesauce, avocado, anteater, ankle | butt, bottom, rear | banana, noodle, potato
-asshole | asterisk-hole, applesauce, avocado, ankle, airhead | jerk, meanie, rude person | banana-peel, noodle-nose, potato-face
-damn | darn, dang, doggone, dangit, drat, dagnabbit | bother, drat | bananas, fiddlesticks
-goddamn | goddarn, goddang, goldarn, gol-durn | confounded, blasted | banana-banana, noodly-goodness
-hell | heck, h-e-double-hockey-sticks, hades, hullabaloo | heck, darn | bananas, noodles
-crap | cwap, cranberries, crackers, crayons, crumb-cake | poop, darn, shoot | bananas, noodles, spaghetti
-piss | fizz, fuzzy, prune, peach, pixel, pickle | pee, tinkle | banana, noodle
-"""
+ROOT_SUBSTITUTIONS = [  # term, silly, polite, random
+    ("fuck", ["fudge", "frick", "freak", "fiddlesticks", "firetruck", "fluffernutter", "frock"], ["darn", "bother", "drat"], ["bananas", "noodles", "shenanigans"]),
+    ("fucking", ["fudging", "fricking", "freaking", "fiddlesticks-ing", "flabbergasted"], ["darned", "blasted", "confounded"], ["noodly", "bananarama"]),
+    ("fucker", ["fudger", "frick-fracker", "fire-trucker", "fellow"], ["jerk", "meanie", "rascal"], ["noodle", "potato"]),
+    ("shit", ["shoot", "shiz", "shenanigans", "sugar", "shucks", "spaghetti", "poopypants"], ["crap", "poop", "dung"], ["bananas", "noodles", "wibbly-wobbly"]),
+    ("shithead", ["shoothead", "sillyhead", "poopyhead", "noodlehead", "spaghetti-head"], ["dummy", "fool", "nitwit"], ["banana-brain", "potato-head"]),
+    ("bullshit", ["bullshoot", "bullroar", "malarkey", "flapdoodle", "poppycock", "codswallop"], ["nonsense", "rubbish", "hogwash"], ["banana-oil", "fairy-tales"]),
+    ("bitch", ["beach", "birch", "bench", "britch", "biscuit", "butterscotch"], ["meanie", "jerk", "rude person"], ["banana", "noodle", "pickle"]),
+    ("cunt", ["cant", "coot", "clown", "coconut", "cucumber", "cabbage"], ["jerk", "meanie", "unpleasant person"], ["banana", "potato", "noodle"]),
+    ("dick", ["dickens", "dingle", "dork", "ding-dong", "donut", "duck"], ["jerk", "meanie", "rascal"], ["noodle", "banana", "potato"]),
+    ("ass", ["asterisk", "applesauce", "avocado", "anteater", "ankle"], ["butt", "bottom", "rear"], ["banana", "noodle", "potato"]),
+    ("asshole", ["asterisk-hole", "applesauce", "avocado", "ankle", "airhead"], ["jerk", "meanie", "rude person"], ["banana-peel", "noodle-nose", "potato-face"]),
+    ("damn", ["darn", "dang", "doggone", "dangit", "drat", "dagnabbit"], ["bother", "drat"], ["bananas", "fiddlesticks"]),
+    ("goddamn", ["goddarn", "goddang", "goldarn", "gol-durn"], ["confounded", "blasted"], ["banana-banana", "noodly-goodness"]),
+    ("hell", ["heck", "h-e-double-hockey-sticks", "hades", "hullabaloo"], ["heck", "darn"], ["bananas", "noodles"]),
+    ("crap", ["cwap", "cranberries", "crackers", "crayons", "crumb-cake"], ["poop", "darn", "shoot"], ["bananas", "noodles", "spaghetti"]),
+    ("piss", ["fizz", "fuzzy", "prune", "peach", "pixel", "pickle"], ["pee", "tinkle"], ["banana", "noodle"]),
+]
 SUBSTITUTION_CATEGORIES = ("silly", "polite", "random")
 MONKEYS = ("🙈", "🙉", "🙊")
 

@@ -82,10 +82,7 @@ def obfuscation_patterns(spark: SparkSession, words: list[tuple] | None = None)
 
 def root_substitutions(spark: SparkSession) -> DataFrame:
     """substitutions(term, category, options) of the main roots."""
-    rows = []
-    for line in fv.ROOT_SUBSTITUTIONS.strip().splitlines():
-        term, *lists = [p.strip() for p in line.split("|")]
-        rows += [(term, c, fv.words_of(block)) for c, block in zip(fv.SUBSTITUTION_CATEGORIES, lists)]
+    rows = [(term, c, options) for term, *lists in fv.ROOT_SUBSTITUTIONS for c, options in zip(fv.SUBSTITUTION_CATEGORIES, lists)]
     return spark.createDataFrame(rows, "term string, category string, options array<string>")
 
 

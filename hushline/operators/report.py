@@ -36,12 +36,12 @@ def track_stats(scored: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def session_status(frames: DataFrame) -> DataFrame:
-    """All frames of a tab as one row; track lists count distinct tracks."""
+    """All frames of a tab as one row, with the sorted list of its distinct tracks and their number."""
     return frames.groupBy("tab_id").agg(
         F.bool_or("has_video").alias("has_video"), F.bool_or("active").alias("active"),
         F.max("cue_count").alias("cue_count"), F.max("profanity_count").alias("profanity_count"),
         F.min_by("track", F.when(F.col("track").isNotNull(), F.col("frame_id"))).alias("current_track"),
-        F.count_distinct("track").alias("n_tracks"), F.bool_or("user_upload").alias("user_upload"))
+        F.array_sort(F.collect_set("track")).alias("tracks"), F.count_distinct("track").alias("n_tracks"), F.bool_or("user_upload").alias("user_upload"))
 
 
 def number_labels(tracks: DataFrame, chunk: int = 10_000) -> DataFrame:

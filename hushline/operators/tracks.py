@@ -113,8 +113,14 @@ def dedupe_tracks(tracks: DataFrame, group: list[str]) -> DataFrame:
 
 
 def all_tracks(*found: DataFrame) -> DataFrame:
-    """Union of discovered tracks, one per group of equal url (or id without a url)."""
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
-    return out.withColumn("_k", F.coalesce("url", "id")).dropDuplicates(["_k"]).drop("_k")
+    """Union of discovered tracks, one per group of equal url (or id without a url).
+
+    Earlier tables come first, then lower ``ord`` where there is one, then the row as text, so every run keeps the same row.
+    """
+    names = found[0].columns
+    out = found[0].withColumn("_from", F.lit(0))
+    for i, other in enumerate(found[1:], 1):
+        out = out.unionByName(other.withColumn("_from", F.lit(i)))
+    row = F.struct(*names)
+    rank = F.struct("_from", *[F.col(c) for c in ("ord",) if c in names], F.to_json(row).alias("_row"))
+    return out.groupBy(F.coalesce("url", "id").alias("_k")).agg(F.min_by(row, rank).alias("_b")).select("_b.*")

@@ -167,10 +167,11 @@ def _(spark, sf):
     return M.new_tracks_only(tracks.filter("embedded"), tracks.filter("not embedded")).select("ord")
 
 
-@case("all_tracks", S.with_(TRACKS, then="SELECT DISTINCT coalesce(url, id) AS k FROM tr"))
+@case("all_tracks", S.with_(TRACKS, then="""SELECT coalesce(url, id) AS k, arg_min(ord, CASE source WHEN 'video' THEN 0 WHEN 'network' THEN 1 ELSE 2 END * 1000000000 + ord) AS ord,
+ arg_min(label, CASE source WHEN 'video' THEN 0 WHEN 'network' THEN 1 ELSE 2 END * 1000000000 + ord) AS label, arg_min(source, CASE source WHEN 'video' THEN 0 WHEN 'network' THEN 1 ELSE 2 END * 1000000000 + ord) AS source FROM tr GROUP BY 1"""))
 def _(spark, sf):
     t = C.track_rows(spark, sf)
-    return K.all_tracks(*[t.filter(F.col("source") == s) for s in ("video", "network", "user")]).select(F.coalesce("url", "id").alias("k"))
+    return K.all_tracks(*[t.filter(F.col("source") == s) for s in ("video", "network", "user")]).select(F.coalesce("url", "id").alias("k"), "ord", "label", "source")
 
 
 @case("to_tracks", S.with_(TRACKS, then="""
@@ -194,13 +195,14 @@ def _(spark, sf):
 
 
 @case("session_status", """SELECT user_id AS tab_id, bool_or(event_type = 'view') AS has_video, bool_or(event_type = 'click') AS active, max(event_id % 977) AS cue_count, max(event_id % 31) AS profanity_count,
- arg_min(CASE WHEN event_id % 4 = 1 THEN event_type END, CASE WHEN event_id % 4 = 1 THEN event_id END) AS current_track, count(DISTINCT CASE WHEN event_id % 4 = 1 THEN event_type END) AS n_tracks, bool_or(event_type = 'purchase' AND value > 15) AS user_upload FROM events GROUP BY user_id""")
+ arg_min(CASE WHEN event_id % 4 = 1 THEN event_type END, CASE WHEN event_id % 4 = 1 THEN event_id END) AS current_track, count(DISTINCT CASE WHEN event_id % 4 = 1 THEN event_type END) AS n_tracks,
+ coalesce(array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_id % 4 = 1)), ','), '') AS tracks, bool_or(event_type = 'purchase' AND value > 15) AS user_upload FROM events GROUP BY user_id""")
 def _(spark, sf):
     ev = C.table(spark, sf, "events")
     t = F.col("event_type")
     frames = ev.select(F.col("user_id").alias("tab_id"), F.col("event_id").alias("frame_id"), (t == "view").alias("has_video"), (t == "click").alias("active"), (F.col("event_id") % 977).alias("cue_count"),
                        (F.col("event_id") % 31).alias("profanity_count"), F.when(F.col("event_id") % 4 == 1, t).alias("track"), ((t == "purchase") & (F.col("value") > 15)).alias("user_upload"))
-    return R.session_status(frames)
+    return R.session_status(frames).withColumn("tracks", F.array_join("tracks", ","))
 
 
 # ------------------------------------------------------------------ discovery
