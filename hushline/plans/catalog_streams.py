@@ -70,7 +70,7 @@ def _(spark, sf):
     requests = hb.select(
         F.col("event_id").alias("request_id"), F.col("session_id").alias("tab_id"), "ts", F.when(t.isin("view", "click"), path).otherwise("https://h.test/page").alias("url"),
         F.lit("").alias("content_type"), F.when(t == "signup", "navigate").otherwise("request").alias("kind"))
-    return J.run_to_table(J.detected_urls(requests, ttl_ms=36_000_000), "urls")
+    return J.run_to_table(J.detected_urls(requests, ttl_ms=36_000_000, delay="0 seconds"), "urls")
 
 
 @case("align_stream", S.with_(SEGMENTS, then="SELECT segment_id, rising, alignment, shift_ms FROM aligned WHERE kept"))
@@ -90,7 +90,7 @@ def _(spark, sf):
         "event_id", F.col("session_id").alias("tab_id"), "ts", F.when(t.isin("view", "purchase"), "mute").when(t == "error", "reset").otherwise("unmute").alias("kind"),
         F.concat(F.lit("cue-"), (F.col("event_id") % 3).cast("string")).alias("reason_id"),
         F.when(F.col("event_id") % 10 != 0, F.col("ts_ms") + (F.col("value") * 20_000).cast("bigint")).alias("expected_unmute_ms"))
-    return J.run_to_table(J.mute_sessions(events), "mutes")
+    return J.run_to_table(J.mute_sessions(events, delay="0 seconds"), "mutes")
 
 
 @case("mute_transitions_stream", S.with_(*_W, S.HEARTBEATS, _STATE, """

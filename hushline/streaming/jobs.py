@@ -179,7 +179,7 @@ class _UrlSightings(_InOrder):
         yield (key[0], int(row.ts_ms), row.url, row.language, row.format, new)
 
 
-def detected_urls(requests: DataFrame, ttl_ms: int = 300_000, delay: str = "0 seconds") -> DataFrame:
+def detected_urls(requests: DataFrame, ttl_ms: int = 300_000, delay: str = "10 minutes") -> DataFrame:
     """Sightings of subtitle URLs per tab; ``is_new`` tells the first one of a page.
 
     ``requests(request_id, tab_id, ts, url, content_type, kind)``.  A URL is
@@ -304,7 +304,7 @@ class _Reasons(_InOrder):
             yield pd.DataFrame(out, columns=self.columns)
 
 
-def mute_sessions(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def mute_sessions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Muted from the first reason of a tab to the end of its last one.
 
     ``events(event_id, tab_id, ts, kind, reason_id, expected_unmute_ms)``, kind
