@@ -72,6 +72,12 @@ def sample_by_hash(rows: DataFrame, key: str, at_most: int, total: int) -> DataF
     return rows.where(F.crc32(F.concat(F.lit("sample"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")) < int(share * 2**32))
 
 
+def place_of(strings: list[str], bits: int) -> list[int]:
+    """Hash of each string, below ``2 ** bits``."""
+    mask = (1 << bits) - 1
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) * 2654435761 >> 7 & mask for x in strings]
+
+
 def token_hashes(memo: dict, tokens: list[str], bits: int, shapes=None) -> list[int]:
     """Hash of each token, below ``2 ** bits``, followed by those of ``shapes(token)``, a list of as many strings for any token.
 
@@ -79,10 +85,10 @@ def token_hashes(memo: dict, tokens: list[str], bits: int, shapes=None) -> list[
     """
     if len(memo) > 300_000:
         memo.clear()
-    out, mask = [], (1 << bits) - 1
+    out = []
     for t in tokens:
         h = memo.get(t)
         if h is None:
-            h = memo[t] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) * 2654435761 >> 7 & mask for x in ([t, *shapes(t)] if shapes else [t])]
+            h = memo[t] = place_of([t, *shapes(t)] if shapes else [t], bits)
         out += h
     return out

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from hushline.llm.common import text_of, token_hashes
+from hushline.llm.common import place_of, text_of, token_hashes
 from hushline.llm.quality import labelled
 
 BITS = 18
@@ -125,14 +125,46 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", at_most: int
     return np.frombuffer(fitted["weights"], np.float32) if fitted else np.concatenate([np.zeros(1 << BITS, np.float32), [np.float32(BIAS)]])
 
 
+class _Weighted(dict):
+    """Part of a text to its places with a weight, in most cases none; None for the end of a sentence.  Made on first use, emptied when large."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, part: str):
+        if len(self) > 600_000:
+            self.clear()
+        places = None if part[0] in ".!?\n" else tuple(h for h in place_of([part, *_shapes(part)], BITS) if self.weights[h])
+        self[part] = places
+        return places
+
+
+def weighted_scores(text: str, table: _Weighted) -> np.ndarray:
+    """What ``sentence_scores`` gives for all features, from those with a weight only: after an L1 fit they are few."""
+    found, sentence, fresh = {}, -1, True
+    for places in [table[p] for p in _PARTS.findall(text.lower())]:
+        if places is None:
+            fresh = True
+            continue
+        if fresh:
+            sentence, fresh = sentence + 1, False
+        if places:
+            found.setdefault(sentence, set()).update(places)
+    logits = np.full(sentence + 1, float(table.weights[-1]))
+    for k, places in found.items():
+        logits[k] += float(table.weights[list(places)].sum(dtype=float))
+    return 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
     """The rows with the document's score.  The weights have a fixed size (1 MB) and are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict = {}
+        table = _Weighted(shared.value)
         for texts in batches:
-            yield pd.Series([noisy_or(sentence_scores(words_of(t, memo), shared.value)) for t in texts], dtype=float)
+            yield pd.Series([noisy_or(weighted_scores(t, table)) for t in texts], dtype=float)
 
     return docs.withColumn(out, F.pandas_udf(scored, "double")(text_of(docs, text)))
 
