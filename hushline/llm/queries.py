@@ -19,8 +19,7 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    visible = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    words = url_filter.unigrams(pages.select(F.concat_ws(" ", "url", visible).alias("text")), "text")
+    words = url_filter.unigrams(url_filter.visible_text(pages), "text")
     seeds = spark.createDataFrame([(w, 1) for w in url_filter.SEEDS], "word string, n bigint")
     words = words.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
     judged = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES), url_filter.stored(words, "words"))

@@ -65,6 +65,15 @@ def pieces(text: Column) -> Column:
     return F.transform(F.filter(runs, lambda x: x != ""), lambda x: F.when(x.rlike(r"^\p{N}+$"), F.lit("<num>")).otherwise(x))
 
 
+def visible_text(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(text): what each page shows, without the web addresses in it.
+
+    A host name among the words would be a word itself, and cheaper whole than split.
+    """
+    shown = F.regexp_replace(F.coalesce(pages[html], F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    return pages.select(F.regexp_replace(shown, r"(?i)\b(?:[a-z][a-z0-9+.-]*://|www\.)\S*", " ").alias("text"))
+
+
 def unigrams(texts: DataFrame, text: str) -> DataFrame:
     """(word, n) over all rows: the words that a segmentation may use, with their counts."""
     words = texts.select(F.explode(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: (F.length(w) > 1) & (F.length(w) <= MAX_WORD))).alias("word"))
