@@ -81,7 +81,7 @@ def obfuscation_patterns(spark: SparkSession, words: list[tuple] | None = None)
 
 
 def root_substitutions(spark: SparkSession) -> DataFrame:
-    """substitutions(term, category, options) of the main roots."""
+    """substitutions(term, category, options): the whole default table, 158 terms in three categories."""
     rows = [(term, c, options) for term, *lists in fv.ROOT_SUBSTITUTIONS for c, options in zip(fv.SUBSTITUTION_CATEGORIES, lists)]
     return spark.createDataFrame(rows, "term string, category string, options array<string>")
 

@@ -381,6 +381,17 @@ def _(spark, sf):
     return X.all_substitutions(words, subs)
 
 
+_DEFAULTS = [(t, c, options) for t, *lists in fv.ROOT_SUBSTITUTIONS for c, options in zip(fv.SUBSTITUTION_CATEGORIES, lists)]
+
+
+@case("default_substitutions", f"""WITH w AS (SELECT unnest(string_split(text, ' ')) AS term FROM documents UNION ALL SELECT term FROM {S.values(_DEFAULTS, 'term, category, options')} s)
+SELECT term, category, unnest(options) AS option FROM (SELECT DISTINCT lower(term) AS term FROM w) JOIN {S.values(_DEFAULTS, 'term, category, options')} s USING (term)""")
+def _(spark, sf):
+    words = C.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("term"))
+    subs = L.root_substitutions(spark)
+    return X.all_substitutions(words.union(subs.select("term")), subs)
+
+
 @case("lexicon_diff", f"""WITH a AS (SELECT DISTINCT {S.norm('w')} AS t FROM (SELECT unnest(regexp_extract_all(text, '{S.TOKEN}')) AS w FROM documents)),
 b AS (SELECT DISTINCT {S.norm('w')} AS t FROM (SELECT unnest(regexp_extract_all(text, '{S.TOKEN}')) AS w FROM conversations))
 SELECT t AS norm_term, 'added' AS change FROM (SELECT t FROM b EXCEPT SELECT t FROM a) UNION ALL SELECT t, 'removed' FROM (SELECT t FROM a EXCEPT SELECT t FROM b)""")
