@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: sentence scores are trained from document labels.
 
-A sentence's score is the logistic of a bias and the weights of its distinct hashed features, which are its words and
-their openings with the word's length; a document's score combines its
-sentences by noisy-or, ``1 - prod(1 - p)``.  The document's log loss flows back through that product to the sentences, so
+A sentence's evidence is the sum of the weights of its distinct hashed features, which are its words and their openings
+with the word's length.  Its score is the logistic of that sum and a fixed bias, less a floor, so a sentence with
+little evidence, none, or evidence against scores 0.  A document's score combines its sentences and one fitted
+leak per document by noisy-or, ``1 - (1 - leak) * prod(1 - p)``: labels without a telling word raise the leak, which does
+not grow with the number of sentences.  The document's log loss flows back through that product to the sentences, so
 the weights learn which sentences explain a toxic label, and the scores then point at the offending sentences.
 
 Edge cases: a null or empty text has no sentence with words, hence the score 0; labels of null are not learned from; if
-either class is missing from the labels, the bias alone remains and all scores are near 0; extra columns stay.
+either class is missing from the labels, the first leak alone remains and all scores are near 0; extra columns stay.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ BITS = 18
 #: At most about so many labelled rows are fitted, those with the lowest hashes of their ids.
 MAX_TRAINING_ROWS = 10_000
 BIAS = -7.0
+#: A sentence of a lower logistic has no evidence: weights of mere chance must not add up over a long text.
+FLOOR = 0.02
 THRESHOLD = 0.5
 OPENINGS = (5, 7)
 _PARTS = re.compile(r"\w+|[.!?\n]+")
@@ -47,15 +51,20 @@ def words_of(text: str, memo: dict) -> np.ndarray:
     return np.unique(np.repeat(sentence, 1 + len(OPENINGS)) << BITS | places)
 
 
+def evidence_scores(sums: np.ndarray) -> np.ndarray:
+    """Sentence scores from sums of weights: what the logistic has above its floor, scaled to reach 1."""
+    return np.maximum((1 / (1 + np.exp(-np.clip(sums + BIAS, -35, 35))) - FLOOR) / (1 - FLOOR), 0)
+
+
 def sentence_scores(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
     if not len(pairs):
         return np.zeros(0)
-    logits = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)])
-    return 1 / (1 + np.exp(-np.clip(logits + weights[-1], -35, 35)))
+    return evidence_scores(np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)]))
 
 
-def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+def noisy_or(p: np.ndarray, leak: float) -> float:
+    """A document's score from those of its sentences and the logit of the leak; 0 without sentences."""
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum() - np.logaddexp(0, leak))) if len(p) else 0.0
 
 
 def _sums(keys: np.ndarray, values: np.ndarray, at: np.ndarray, size: int, block: int = 1 << 20) -> np.ndarray:
@@ -67,7 +76,7 @@ def _sums(keys: np.ndarray, values: np.ndarray, at: np.ndarray, size: int, block
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 200, rate: float = 0.8, l1: float = 0.5) -> np.ndarray:
-    """Weights, the bias last, by AdaGrad over all documents with an L1 pull on features; those of a single document are left out.
+    """Weights, the logit of the leak last, by AdaGrad over all documents with an L1 pull on features; those of a single document are left out.
 
     A document is the places of all its sentences, one after another, and their numbers per sentence.
     """
@@ -84,23 +93,26 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
     column = np.concatenate([column_of[p] for p, _ in docs]) if docs else np.zeros(0, np.int32)
     keep = column >= 0
     row, column = row[keep], column[keep]
-    w, grads, bias, bias_grad = np.zeros(len(used)), np.full(len(used), 1e-3), BIAS, 1e-3
+    w, grads, leak = np.zeros(len(used)), np.full(len(used), 1e-3), BIAS
+    filled = np.bincount(of_doc, minlength=len(docs)) > 0
     for _ in range(steps if 0 < labels.sum() < len(labels) else 0):
-        logits = np.clip(bias + _sums(row, w, column, len(of_doc)), -35, 35)
-        p = 1 / (1 + np.exp(-logits))
-        clean = np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(docs))
+        sums = _sums(row, w, column, len(of_doc))
+        p = 1 / (1 + np.exp(-np.clip(BIAS + sums, -35, 35)))
+        clean = np.bincount(of_doc, np.log1p(-np.minimum(evidence_scores(sums), 1 - 1e-12)), len(docs)) - np.logaddexp(0, leak) * filled
         toxic = np.maximum(-np.expm1(clean), 1e-9)
-        # d loss / d logit: p for a clean document, -p (1 - P) / P for a toxic one
-        g = p * np.where(labels == 1, -np.exp(clean) / toxic, 1.0)[of_doc]
-        gw, gb = _sums(column, g, row, len(used)), g.sum()
+        # d loss / d sum: p for a clean document, -p (1 - P) / P for a toxic one; also where the score is cut at 0, so that weights can come back
+        pull = np.where(labels == 1, -np.exp(clean) / toxic, 1.0)
+        g = p * pull[of_doc]
+        gw = _sums(column, g, row, len(used))
         grads += gw * gw
         step = rate / np.sqrt(grads)
         w -= step * gw
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        bias_grad += gb * gb
-        bias -= rate / np.sqrt(bias_grad) * gb
+        # the leak becomes the mean of how far it explains a label (expectation-maximisation)
+        rate_of = np.clip((filled * (labels == 1) / toxic).sum() / (1 + np.exp(-leak)) / max(1, filled.sum()), 1e-6, 1 - 1e-6)
+        leak = float(np.log(rate_of / (1 - rate_of)))
     out = np.zeros(size + 1, np.float32)
-    out[used], out[-1] = w, bias
+    out[used], out[-1] = w, leak
     return out
 
 
@@ -151,10 +163,10 @@ def weighted_scores(text: str, table: _Weighted) -> np.ndarray:
             sentence, fresh = sentence + 1, False
         if places:
             found.setdefault(sentence, set()).update(places)
-    logits = np.full(sentence + 1, float(table.weights[-1]))
+    sums = np.zeros(sentence + 1)
     for k, places in found.items():
-        logits[k] += float(table.weights[list(places)].sum(dtype=float))
-    return 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
+        sums[k] = float(table.weights[list(places)].sum(dtype=float))
+    return evidence_scores(sums)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
@@ -164,7 +176,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = _Weighted(shared.value)
         for texts in batches:
-            yield pd.Series([noisy_or(weighted_scores(t, table)) for t in texts], dtype=float)
+            yield pd.Series([noisy_or(weighted_scores(t, table), float(shared.value[-1])) for t in texts], dtype=float)
 
     return docs.withColumn(out, F.pandas_udf(scored, "double")(text_of(docs, text)))
 
