@@ -73,4 +73,22 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-SQL = {"op3_decontamination": _DECONTAMINATION, "op4_warc": _WARC, "op5_line_rules": _LINE_RULES, "op7_line_dedup": _LINE_DEDUP}
+_HARD_NEGATIVES = """
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(e, lambda x: floor(256 * x)) AS e FROM whole),
+pairs AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+good AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM good AS p JOIN pairs AS n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other)
+QUALIFY row_number() OVER w <= 10
+"""
+
+SQL = {"op3_decontamination": _DECONTAMINATION, "op4_warc": _WARC, "op5_line_rules": _LINE_RULES, "op7_line_dedup": _LINE_DEDUP,
+       "op12_hard_negatives": _HARD_NEGATIVES}

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushline.llm import decontaminate, line_dedup, line_rules, packing, pii, quality, simhash, toxicity, url_filter, warc
-from hushline.llm.common import held_out
+from hushline.llm import alignment, decontaminate, hard_negatives, line_dedup, line_rules, packing, pii, quality, simhash, token_counts, toxicity, url_filter, warc
+from hushline.llm.common import held_out, stored
 from hushline.llm.comparison_sql import SQL
 
 
@@ -86,4 +86,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_decontamination, op4_warc, op5_line_rules, op6_simhash, op7_line_dedup, op8_quality, op9_pii, op10_toxicity)}
+def pieces_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_table(spark, sf_dir, "documents"), vocabulary(), pieces_model(), links=False)
+    slim = found.withColumn("groups_sha256", F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))).drop("groups", "links")
+    return alignment.with_counts(stored(slim, "aligned")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepared(vectors, label=moved))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary())
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_decontamination, op4_warc, op5_line_rules, op6_simhash, op7_line_dedup, op8_quality, op9_pii, op10_toxicity,
+                                   op11_alignment, op12_hard_negatives, op13_token_counts)}
