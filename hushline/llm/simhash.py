@@ -9,7 +9,8 @@ contraction: each joins its smallest neighbour until no link is left.
 
 Edge cases: a null text is empty; texts without words have the fingerprint zero and are linked like any other; with fewer
 words than a shingle the whole sequence is one shingle; repeated rows each get their result; a component's id is the
-smallest id that is not null, and null where all its ids are; other columns are ignored.
+smallest id that is not null, and null where all its ids are; other columns are ignored; ``one_of_each`` keeps one row of a
+group, whatever the ids.
 """
 
 from __future__ import annotations
@@ -31,17 +32,25 @@ SEED = 42
 _BASE = 21  # a part's count of 0 to 16, moved by up to two either way
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of all word shingles of a text, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes both touch ASCII only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*[words[k:] for k in range(size)]))
-    n = max(1, len(words) - size + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - size + 1))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):  # bounded memory for long texts
+    for k in range(0, len(hashes), 1 << 14):  # bounded memory for long texts
         ones += np.unpackbits(hashes[k:k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    return bits_of(shingle_hashes(text, size))
 
 
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -50,8 +59,9 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint as a signed number."""
-    return docs.select(docs[id].alias("doc_id"), F.pandas_udf(_fingerprints, "bigint")(text_of(docs, text)).alias("fp"))
+    """(doc_id, text_hash, fp) per row; fp is the fingerprint as a signed number."""
+    whole = text_of(docs, text)
+    return docs.select(docs[id].alias("doc_id"), F.xxhash64(whole).alias("text_hash"), F.pandas_udf(_fingerprints, "bigint")(whole).alias("fp"))
 
 
 def tiles(fps: DataFrame, tile: int = TILE) -> DataFrame:
@@ -142,21 +152,28 @@ def merged(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) per row.  Copies share a fingerprint, which is compared once."""
+    """(doc_id, text_hash, fp, group, component_id) per row.  Copies share a fingerprint, which is compared once.
+
+    ``group`` is one of the component's fingerprints: ids that occur with several texts may share a component's id.
+    """
     rows = stored(fingerprints(docs, id, text), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = merged(links(fps.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
     fps = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = fps.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = salted_join(fps, lowest, ["root"], F.col("fp"), "inner").select("fp", "component_id")
-    return salted_join(rows, named, ["fp"], F.col("doc_id"), "inner").select("doc_id", "fp", "component_id")
+    named = salted_join(fps, lowest, ["root"], F.col("fp"), "inner").select("fp", F.col("root").alias("group"), "component_id")
+    return salted_join(rows, named, ["fp"], F.xxhash64("doc_id", "text_hash"), "inner").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The documents with one row per component: that of the smallest id.  Rows with a null id all stay."""
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[id] == F.col("_kept"), "left_semi").dropDuplicates([id])
-    return named.unionByName(docs.where(docs[id].isNull()))
+def one_of_each(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one row per group: that of the smallest id (null last), of its texts that of the lowest hash.
+
+    ``found`` has (doc_id, text_hash, group); rows are known by id and text, so that an id with several texts loses none.
+    """
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"))).alias("_k"))
+    kept = first.select(F.xxhash64("_k._id").alias("_k1"), F.col("_k._t").alias("_k2"))
+    keyed = docs.withColumns({"_k1": F.xxhash64(docs[id]), "_k2": F.xxhash64(text_of(docs, text))})
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
 
 
 def hex_of(fp):

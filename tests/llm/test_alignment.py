@@ -63,7 +63,7 @@ def test_alignment_equals_brute_force(spark, tmp_path):
 def test_small_blocks_and_products_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"the same words and number {i % 7} again" * (1 + i % 3)) for i in range(60)], "doc_id long, text string").coalesce(1)
     big, small = (stored(alignment.align(docs, vocabulary(), pieces_model(), block=n)) for n in (10**9, 100))
-    assert small.select("block").distinct().count() > 20
+    assert small.select("block").distinct().count() > 5
     want, got = (sorted(map(tuple, alignment.with_counts(x).collect())) for x in (big, small))
     assert got == want and len(got) == 60
     one = big.where("doc_id = 9").first()

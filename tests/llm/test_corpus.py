@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hushline.llm import decontaminate, packing, simhash
+from hushline.llm import decontaminate, near_copies, packing, simhash
 from hushline.llm.queries import vocabulary
 
 EXTRA = {"fp": 1, "key": 2, "row": 3, "text_hash": 4, "n": 5, "ids": 6, "hits": 7, "w": 8, "component_id": 9}
@@ -37,6 +37,74 @@ def groups(pairs):
         low = new
 
 
+def near_groups(texts):
+    """Group (smallest id) of each id, by the similarity of all pairs of texts that share a shingle."""
+    sets, holders, first, root = {}, {}, {}, {i: i for i in texts}
+    for i, t in sorted(texts.items()):
+        w = (t or "").encode().lower().split()
+        grams = frozenset(b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        root[i] = first.setdefault(grams, i)
+        if root[i] == i:
+            sets[i] = grams
+            for g in grams:
+                holders.setdefault(g, []).append(i)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in {(a, b) for held in holders.values() for x, a in enumerate(held) for b in held[x + 1:]}:
+        both = len(sets[i] & sets[j])
+        if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return {i: top(i) for i in texts}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_near_copies_of_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    want = near_groups({r.doc_id: r.text for r in docs.collect()})
+    found = near_copies.groups(docs)
+    first = found.groupBy("group").agg(F.min("doc_id").alias("low"))
+    assert {r.doc_id: r.low for r in found.join(first, "group").collect()} == want
+
+
+def test_near_copies_of_odd_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(300)]
+    texts = [None, "", " \n", "One", "one", "two words", "x " * 30_000]
+    for k in range(90):  # a chain of edits whose ends have little in common, and copies of its members
+        base[rng.randrange(300)] = f"v{k}"
+        texts += [" ".join(base)] * (1 + k % 2)
+    passage = [f"p{k}" for k in range(60)]
+    texts += [" ".join([f"q{k}x{i}" for i in range(20)] + passage) for k in range(80)]  # a passage that many share
+    frame = with_clashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = near_groups(dict(enumerate(texts)))
+    for tile in (1024, 8):
+        monkeypatch.setattr(near_copies, "TILE", tile)
+        found = near_copies.groups(frame)
+        kept = simhash.one_of_each(frame, found)
+        assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == frame.columns
+    assert near_copies.groups(frame.where("false")).count() == 0
+
+
+def test_pairs_without_the_leader_are_found_in_tiles(spark):
+    rng = random.Random(3)
+    core = [f"c{k}" for k in range(200)]
+    rows = []
+    for k in range(40):  # neighbours are similar, the bucket's lowest key is similar to few
+        words = core[:]
+        for p in range(k, k + 6):
+            words[p * 4 % 200] = f"e{p}"
+        rows.append((k, " ".join(words)))
+    rng.shuffle(rows)
+    want = near_groups(dict(rows))
+    found = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), found).collect()} == set(want.values())
+
+
 def test_simhash_groups(spark):
     rng = random.Random(1)
     long = [f"w{rng.randint(0, 400)}" for _ in range(900)]
@@ -54,6 +122,8 @@ def test_simhash_groups(spark):
     assert sorted(map(tuple, got.select("doc_id", simhash.hex_of(F.col("fp")), "component_id").collect())) == want
     kept = simhash.one_of_each(docs, simhash.components(docs))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want}) and kept.columns == docs.columns
+    again = spark.createDataFrame([(5, "text a"), (5, "text b"), (3, "text a"), (None, "text c"), (None, "text c"), (5, "text b")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(again, simhash.components(again)).collect()), key=str) == [(3, "text a"), (5, "text b"), (None, "text c")]
     assert simhash.components(docs.where("false")).count() == 0
 
 
@@ -142,8 +212,7 @@ def test_pipeline_equals_brute_force(spark):
                 lines.setdefault(key(x), set()).add(i)
     gone = lambda i, x: len(lines.get(key(x), ())) >= 3 and max(lines[key(x)]) != i
     assert left["line_dedup"] == {i: "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in left["toxicity"].items()}
-    pairs = sorted((i, fingerprint(t)) for i, t in left["line_dedup"].items())
-    assert left["near_dedup"].keys() == set(groups(pairs))
+    assert left["near_dedup"].keys() == set(near_groups(left["line_dedup"]).values())
     word = lambda t: "".join(c if c.isdigit() and c < "\x80" or c >= "\x80" or "a" <= c <= "z" else " " for c in t.encode().lower().decode()).split(" ")
     split = lambda t: [w for w in word(t) if w]
     tests = set()
