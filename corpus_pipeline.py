@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushline.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from hushline.llm import decontaminate, line_dedup, near_copies, packing, simhash, toxicity
 from hushline.llm.common import stored
 from hushline.llm.queries import packed_digest, vocabulary
 
@@ -32,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id."""
-    return simhash.one_of_each(docs, simhash.components(docs)).select(*COLUMNS)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id."""
+    return simhash.one_of_each(docs, near_copies.groups(docs)).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
