@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
-from hushline.operators import lexicon as L
+from hushline.operators import lexicon as L, ordered as O
 
 MATCH_TYPE = "array<struct<word:string,start_idx:int,end_idx:int,type:string,confidence:double,term:string,context:string>>"
 MATCH_FIELDS = ["word", "start_idx", "end_idx", "type", "confidence", "term", "context"]
@@ -387,39 +387,73 @@ def obfuscated_matches(cues: DataFrame, patterns: DataFrame) -> DataFrame:
     return _explode_matches(_with_steps(cues, pattern_steps(F.col("text"), read_rules(patterns=patterns).patterns)), F.col("_r"))
 
 
-def fuzzy_vocabulary(vocabulary: DataFrame, lexicon: DataFrame, threshold: float) -> DataFrame:
-    """vocabulary(norm) to its first close lexicon entry: (norm, fuzzy_term, fuzzy_confidence).
+def _parts(size: Column, edits: Column, part: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of a part when ``size`` letters are cut into ``edits + 1`` parts, the longer ones last."""
+    short, long_ones = (size / (edits + 1)).cast("int"), size % (edits + 1)
+    turn = edits + 1 - long_ones  # the first part that is a letter longer
+    return part * short + F.greatest(F.lit(0), part - turn), short + F.when(part >= turn, 1).otherwise(0)
+
 
-    Every distinct word is judged once.  Words meet only entries whose length
-    is near enough, by equality on the length.
+def fuzzy_candidates(vocabulary: DataFrame, lexicon: DataFrame, threshold: float) -> DataFrame:
+    """(norm, norm_term, ord, max_len): pairs that may be close enough, found by equality on pieces of text.
+
+    An entry of which at most ``d`` letters are edited keeps one of its ``d + 1``
+    parts whole.  In a word of ``e`` letters more, part ``i`` then begins at most
+    ``i`` places from its own and at most ``d - i`` places from ``e`` after it, if
+    the parts before and after are taken together; so a word asks for few pieces.
+    The number of edits follows from the lengths of both, so a piece is looked up
+    under (length of the entry, edits, part).
     """
-    near = F.floor(F.lit(threshold) * F.greatest(F.length("norm"), F.length("norm_term"))).cast("int")
     if not 0 <= threshold < 1:
         raise ValueError("a threshold of 1 or more fits every word")
-    reach = F.floor(F.col("_len") / (1 - threshold) + 1).cast("int")
-    low = F.floor(F.col("_len") * (1 - threshold)).cast("int")
-    entries = (
-        lexicon.select("norm_term", "ord", F.length("norm_term").alias("_len"))
-        .withColumn("_len_of_word", F.explode(F.sequence(F.greatest(F.lit(1), low), reach))).drop("_len"))
-    words = vocabulary.select("norm").distinct().withColumn("_len_of_word", F.length("norm"))
-    close = words.join(L.bounded_broadcast(entries), "_len_of_word")
-    close = close.withColumn("_max", F.greatest(F.length("norm"), F.length("norm_term"))).withColumn("_near", near)
-    close = close.filter(F.abs(F.length("norm") - F.length("norm_term")) <= F.col("_near"))
-    close = close.withColumn("_d", F.levenshtein("norm", "norm_term")).filter(F.col("_d") / F.col("_max") <= threshold)
-    first = F.min_by(F.struct("norm_term", "_d", "_max"), "ord")
-    best = close.groupBy("norm").agg(first.alias("_b"))
+    edits = lambda a, b: F.floor(threshold * F.greatest(a, b) + 1e-9).cast("int")
+    i = F.col("_i")
+    entry_start, entry_size = _parts(F.col("_len"), F.col("_d"), i)
+    longest = F.floor(F.col("_len") / (1 - threshold) + 1).cast("int")
+    entries = lexicon.select("norm_term", "ord", F.length("norm_term").alias("_len"))
+    entries = entries.withColumn("_d", F.explode(F.sequence(edits(F.col("_len"), F.col("_len")), edits(F.col("_len"), longest))))
+    entries = entries.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
+    entries = entries.select("norm_term", "ord", "_len", "_d", "_i", F.substring("norm_term", entry_start + 1, entry_size).alias("_piece"))
+
+    size = F.length("norm")
+    low, high = F.greatest(F.lit(1), F.floor(size * (1 - threshold))).cast("int"), F.floor(size / (1 - threshold) + 1).cast("int")
+    words = vocabulary.select("norm").distinct().withColumn("_len", F.explode(F.sequence(low, F.greatest(low, high))))
+    words = words.withColumn("_d", edits(size, F.col("_len"))).filter(F.abs(size - F.col("_len")) <= F.col("_d"))
+    words = words.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
+    start, length = _parts(F.col("_len"), F.col("_d"), i)
+    longer = size - F.col("_len")
+    first = F.greatest(F.lit(0), start - i, start + longer - (F.col("_d") - i))
+    last = F.least(size - length, start + i, start + longer + (F.col("_d") - i))
+    words = words.withColumn("_at", F.explode(F.when(first <= last, F.sequence(first, last))))
+    words = words.select("norm", "_len", "_d", "_i", F.substring("norm", F.col("_at") + 1, length).alias("_piece")).distinct()
+    found = words.join(entries, ["_len", "_d", "_i", "_piece"])
+    return found.select("norm", "norm_term", "ord", F.greatest(size, F.col("_len")).alias("max_len")).distinct()
+
+
+def fuzzy_vocabulary(vocabulary: DataFrame, lexicon: DataFrame, threshold: float) -> DataFrame:
+    """vocabulary(norm) to its first close lexicon entry: (norm, fuzzy_term, fuzzy_confidence).
+
+    Every distinct word is judged once, against the candidates of the index of pieces.
+    """
+    close = fuzzy_candidates(vocabulary, lexicon, threshold).withColumn("_d", F.levenshtein("norm", "norm_term"))
+    close = close.filter(F.col("_d") / F.col("max_len") <= threshold)
+    best = close.groupBy("norm").agg(F.min_by(F.struct("norm_term", "_d", "max_len"), "ord").alias("_b"))
     return best.select("norm", F.col("_b.norm_term").alias("fuzzy_term"),
-                       (100.0 - F.col("_b._d") / F.col("_b._max") * 100.0).alias("fuzzy_confidence"))
+                       (100.0 - F.col("_b._d") / F.col("_b.max_len") * 100.0).alias("fuzzy_confidence"))
 
 
 def fuzzy_matches(cues: DataFrame, lexicon: DataFrame, threshold: float) -> DataFrame:
-    """Tokens without an exact hit that are close to a lexicon entry."""
-    terms = lexicon.select(F.col("norm_term").alias("norm"))
-    rows = _token_rows(cues).withColumn("norm", T.normalize_text(F.col("word")))
-    vocabulary = rows.select("norm").distinct().join(L.bounded_broadcast(terms), "norm", "left_anti")
-    close = fuzzy_vocabulary(vocabulary, lexicon, threshold)
+    """Tokens without an exact hit that are close to a lexicon entry.
+
+    The cues are read once and stored.  Token rows carry no text; it is joined
+    back to the hits alone.
+    """
+    base = O.materialize(cues.select(*KEYS, "text"))
+    rows = base.select(*KEYS, F.posexplode(T.words(F.col("text"))).alias("pos", "word")).withColumn("norm", T.normalize_text(F.col("word")))
+    vocabulary = rows.select("norm").distinct().join(lexicon.select(F.col("norm_term").alias("norm")).distinct(), "norm", "left_anti")
+    close = O.materialize(fuzzy_vocabulary(vocabulary, lexicon, threshold))
     # frequent words are hot keys of this join; the close list is broadcast when it is small
-    hits = rows.join(L.bounded_broadcast(close), "norm")
+    hits = rows.join(L.bounded_broadcast(close), "norm").join(base, KEYS)
     return _located(hits, "fuzzy").withColumn("confidence", F.col("fuzzy_confidence")).select(*KEYS, *MATCH_FIELDS)
 
 

@@ -1,18 +1,21 @@
 """Point-in-interval joins, and the playback lookups built on them.
 
-A bare range condition is planned as a nested loop.  Here time is cut into
-buckets: an interval is repeated once per bucket it touches, a point lies in
-exactly one bucket, the two meet by equality on ``(key, bucket)`` and the exact
-condition is a residual filter.  No pair is produced twice.
-
-A bucket that is hot on the point side (many viewers of one scene) can be split
-further with ``salt``: points are spread over ``salt`` sub-buckets by a hash and
+A bare range condition is planned as a nested loop.  Here time is a tree of
+nodes: those of level 0 are ``bucket_ms`` long, those of each further level twice
+as long.  An interval is filed under the one or two nodes that it touches at the
+lowest level whose nodes are as long as itself, whatever its length.  A point
+looks under its node at each level that holds any interval (a few dozen at most; the
+filed intervals are stored once, which tells them), the two meet by equality on ``(key, level, node)``, and the
+exact condition is a residual filter.  No pair is produced twice.
+
+A node that is hot on the point side (many viewers of one scene) can be split
+further with ``salt``: points are spread over ``salt`` parts by a hash and
 intervals repeated into each of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
 from hushline.operators import ordered
@@ -33,20 +36,42 @@ def interval_join(
     """Join points to the intervals that hold them.
 
     ``start``/``end`` must enclose every point that ``condition`` accepts; the
-    columns of both sides other than ``on`` must have different names.
+    columns of both sides other than ``on`` must have different names.  With
+    ``left``, a point also gives one row without an interval for each level at
+    which it lies in none.
     """
     salt_of_point = F.pmod(F.xxhash64(*points.columns), F.lit(salt)) if salt > 1 else F.lit(0)
-    left = points.withColumn("_b", F.floor(point / bucket_ms)).withColumn("_salt", salt_of_point)
-    right = intervals.withColumn(
-        "_b", F.explode_outer(F.sequence(F.floor(start / bucket_ms), F.greatest(F.floor(end / bucket_ms), F.floor(start / bucket_ms))))
-    )
-    right = right.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else right.withColumn("_salt", F.lit(0))
-    keys = [*on, "_b"] + (["_salt"] if salt > 1 else [])
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in intervals.columns if c not in on])
+    filed = ordered.materialize(filed_intervals(intervals, start, end, bucket_ms))
+    # without intervals a point still looks at level 0, so that a left join keeps it
+    levels = sorted(r[0] for r in filed.select("_level").distinct().collect()) or [0]
+    left = points.withColumn("_level", F.explode(F.lit(levels)) if len(levels) > 1 else F.lit(levels[0])).withColumn("_b", _node(point, bucket_ms, F.col("_level")))
+    keys = [*on, "_level", "_b"]
+    if salt > 1:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)))
+        filed = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        keys.append("_salt")
+    renamed = filed.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in intervals.columns if c not in on])
     cond = condition
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
-    return left.join(renamed, cond, how).drop("_b", "_salt", *[f"_r_{k}" for k in keys])
+    return left.join(renamed, cond, how).drop("_level", "_b", "_salt", *[f"_r_{k}" for k in keys])
+
+
+def _node(at: Column, bucket_ms: int, level: Column) -> Column:
+    return F.floor(at / (F.lit(float(bucket_ms)) * F.pow(F.lit(2.0), level)))
+
+
+def filed_intervals(intervals: DataFrame, start: Column, end: Column, bucket_ms: int = 10_000) -> DataFrame:
+    """The intervals with (_level, _b): one row for each node, two at most, that one is filed under.
+
+    An interval of ``n`` to ``n + 1`` node lengths goes to the level of as many doublings as ``n`` has binary digits.  An
+    interval that ends before it starts holds nothing; one without an end or a start is filed nowhere.
+    """
+    n = F.greatest(F.floor((end - start) / bucket_ms), F.lit(0).cast("bigint"))
+    level = F.when(n == 0, 0).otherwise(F.length(F.bin(n)))
+    rows = intervals.withColumn("_level", level.cast("int"))
+    first = _node(start, bucket_ms, F.col("_level"))
+    return rows.withColumn("_b", F.explode(F.when(start.isNotNull() & end.isNotNull(), F.sequence(first, F.greatest(_node(end, bucket_ms, F.col("_level")), first)))))
 
 
 def _rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -152,9 +177,12 @@ def upcoming_flagged(items: DataFrame, positions: DataFrame, lookahead_ms: int,
 
 def segment_relevant(segments: DataFrame, positions: DataFrame, tolerance_ms: int = 30_000) -> DataFrame:
     """Keep a segment when the session is at 0 or near the segment's own range."""
-    joined = segments.join(positions.select("session_id", "position_ms"), "session_id")
-    near = (F.col("first_cue_ms") <= F.col("position_ms") + tolerance_ms) & (F.col("last_cue_ms") >= F.col("position_ms") - tolerance_ms)
-    return joined.filter((F.col("position_ms") == 0) | near)
+    at = positions.select("session_id", "position_ms")
+    first, last = F.col("first_cue_ms") - tolerance_ms, F.col("last_cue_ms") + tolerance_ms
+    inside = (first <= F.col("position_ms")) & (last >= F.col("position_ms"))
+    near = interval_join(at.filter("position_ms <> 0"), segments, ["session_id"], F.col("position_ms"), first, last, inside, 60_000)
+    start = segments.join(at.filter("position_ms = 0"), "session_id")  # at the start all segments are wanted
+    return near.select(*start.columns).unionByName(start)
 
 
 def display_text(flagged: Column, censored: Column, original: Column) -> Column:

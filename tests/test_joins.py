@@ -24,6 +24,33 @@ def test_interval_join_equals_nested_loop(spark):
         assert sorted((r.pid, r.cue_id) for r in got.collect()) == want
 
 
+def test_intervals_of_all_lengths(spark):
+    rnd = random.Random(8)
+    hours = 3_600_000
+    ivs = [("t", 0, 0, 100 * hours), ("t", 1, -5 * hours, 7), ("t", 2, 50, 40), ("t", 3, 90, 90), ("u", 4, 10, None), ("t", 5, -3, -1)]
+    for i in range(6, 200):
+        s = rnd.randrange(-hours, 100 * hours)
+        ivs.append((rnd.choice("tu"), i, s, s + int(10 ** rnd.uniform(0, 8.5))))
+    pts = [(rnd.choice("tuv"), i, rnd.choice([0, 7, 40, 90, 100 * hours, -1, rnd.randrange(-hours, 110 * hours), ivs[i % 200][2], ivs[i % 200][3] or 0])) for i in range(400)]
+    p = spark.createDataFrame(pts, "track_id string, pid int, position_ms bigint")
+    c = spark.createDataFrame(ivs, "track_id string, cue_id int, start_ms bigint, end_ms bigint")
+    want = sorted((i, j) for k, i, at in pts for q, j, s, e in ivs if k == q and e is not None and s <= at <= e)
+    for bucket in (7, 10_000):
+        assert sorted((r.pid, r.cue_id) for r in I.active_cues(c, p, bucket_ms=bucket).collect()) == want
+        filed = I.filed_intervals(c, F.col("start_ms"), F.col("end_ms"), bucket).groupBy("cue_id").count()
+        assert filed.agg(F.max("count")).first()[0] <= 2
+    assert I.active_cues(c.where("false"), p).count() == 0
+
+
+def test_relevant_segments(spark):
+    rnd = random.Random(2)
+    segs = [(rnd.choice("ab"), i, s, s + rnd.randrange(0, 90_000)) for i in range(60) for s in [rnd.randrange(0, 900_000)]]
+    at = [(rnd.choice("abc"), rnd.choice([0, rnd.randrange(0, 900_000)])) for _ in range(40)]
+    got = I.segment_relevant(spark.createDataFrame(segs, "session_id string, sid int, first_cue_ms bigint, last_cue_ms bigint"), spark.createDataFrame(at, "session_id string, position_ms bigint"))
+    want = sorted((i, p) for k, i, f, e in segs for q, p in at if k == q and (p == 0 or (f <= p + 30_000 and e >= p - 30_000)))
+    assert sorted((r.sid, r.position_ms) for r in got.collect()) == want
+
+
 def test_chunked_windows_equal_plain_windows(spark):
     df = spark.createDataFrame(hot_rows(600, 3), "k string, i int, at bigint").withColumn("v", F.when(F.col("i") % 4 == 0, F.col("i")))
     order, chunk = [F.col("at"), F.col("i")], F.floor(F.col("at") / 1_000)

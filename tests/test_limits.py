@@ -1,6 +1,7 @@
 """Inputs beyond former limits: sizes, depths and numbers that must not change a result."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,31 @@ def test_redetection_finds_fuzzy_changes_and_many_terms(spark):
     got = M.redetect(D.detect_matches(cues, old, fuzzy_threshold=0.2), old, new, again, fuzzy_threshold=0.2)
     plain = lambda df: sorted((r.cue_id, [m.word for m in r.matches], r.score) for r in df.collect())
     assert plain(got) == plain(again(cues))
+
+
+def test_fuzzy_index_misses_nothing_and_asks_for_little(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcde") for _ in range(n))
+    entries = [word(rnd.randint(1, 14)) for _ in range(400)]
+    words = [word(rnd.randint(1, 14)) for _ in range(300)]
+    for e in entries[:200]:  # edited entries
+        x = list(e)
+        for _ in range(rnd.randint(1, 3)):
+            k = rnd.randrange(len(x) + 1)
+            x[k:k + rnd.randint(0, 1)] = rnd.choice(["", "a", "z"])
+        words.append("".join(x) or "q")
+    lex = spark.createDataFrame([(e, i) for i, e in enumerate(entries)], "norm_term string, ord int")
+    voc = spark.createDataFrame([(w,) for w in words], "norm string")
+    both = voc.distinct().crossJoin(lex).withColumn("d", F.levenshtein("norm", "norm_term")).withColumn("m", F.greatest(F.length("norm"), F.length("norm_term"))).cache()
+    for threshold in (0.0, 0.2, 0.25, 0.34, 0.6, 0.85):
+        want = both.where(F.col("d") / F.col("m") <= threshold).groupBy("norm").agg(F.min_by("norm_term", "ord").alias("t"))
+        got = D.fuzzy_vocabulary(voc, lex, threshold)
+        assert sorted((r.norm, r.fuzzy_term) for r in got.collect()) == sorted(map(tuple, want.collect()))
+    # natural spread of letters: candidates a word against entries of near length
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("norm")).where(F.length("norm") > 3).distinct()
+    terms = real.select(F.reverse("norm").alias("norm_term")).union(real.select(F.concat("norm", F.substring(F.reverse("norm"), 1, 3)))).union(real.select(F.concat(F.substring("norm", 2, 9), F.lit("en"))))
+    terms = terms.distinct().limit(25_000).withColumn("ord", F.monotonically_increasing_id().cast("int"))
+    near = F.floor(0.25 * F.greatest("a", "b"))
+    sizes = lambda df, c, n: df.groupBy(F.length(c).alias(n)).count().withColumnRenamed("count", f"n_{n}")
+    blocked = sizes(real, "norm", "a").crossJoin(sizes(terms, "norm_term", "b")).where(F.abs(F.col("a") - F.col("b")) <= near).agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0]
+    assert terms.count() > 5_000 and D.fuzzy_candidates(real, terms, 0.25).count() * 20 < blocked
