@@ -8,6 +8,9 @@ from hushline.functions import fixed_values as fv
 from hushline.operators import ordered
 
 FRAME_MS = 20
+SAFETY_EXTRA_MS = 1_000
+SAFETY_MAX_MS = 300_000
+INVALID_EXPECTED_MS = 5_000
 
 
 def _by_time(df: DataFrame, values: list[str], name: str, key: str, chunk_seconds: int) -> DataFrame:
@@ -15,6 +18,11 @@ def _by_time(df: DataFrame, values: list[str], name: str, key: str, chunk_second
         df, [key], [F.col("ts"), F.col("event_id")], F.floor(F.unix_seconds("ts") / chunk_seconds), values, name)
 
 
+def _in_session(gap, idle_ms: int | None):
+    """Whether a row belongs to the session of the row before it."""
+    return F.lit(True) if idle_ms is None else gap <= idle_ms
+
+
 def classify_jumps(heartbeats: DataFrame, key: str = "session_id", chunk_seconds: int = 86_400, settle: int = 5) -> DataFrame:
     """Label every sample: play, seek, hover (a short look elsewhere) or return.
 
@@ -40,20 +48,21 @@ def classify_jumps(heartbeats: DataFrame, key: str = "session_id", chunk_seconds
     return df.withColumn("delta_ms", delta).withColumn("kind", kind).drop("_before", "_after")
 
 
-def align_segments(segments: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def align_segments(segments: DataFrame, chunk_seconds: int = 86_400, idle_ms: int | None = None) -> DataFrame:
     """Shift of every segment and whether it is kept.
 
     ``segments(segment_id, session_id, arrival, source, stream_type, first_cue_ms,
     last_cue_ms, mtp_ms, position_ms, media_ms, has_map)``.  A synced source is
-    trusted as it is and makes the session forget the last first-cue time.
+    trusted as it is and makes the session forget the last first-cue time, as
+    ``idle_ms`` (if given) without a segment do.
     """
     synced = F.col("source").isin(fv.SYNCED_SEGMENT_SOURCES)
     df = segments.withColumn("_synced", synced)
     # null values are skipped by the as-of lookup, so "forgotten" is a value of its own
-    seen = F.struct(F.when(~synced, F.col("first_cue_ms")).alias("first"))
+    seen = F.struct(F.when(~synced, F.col("first_cue_ms")).alias("first"), F.unix_millis("arrival").alias("at"))
     df = ordered.last_value_before(
         df, ["session_id"], [F.col("arrival"), F.col("segment_id")], F.floor(F.unix_seconds("arrival") / chunk_seconds), seen, "_seen", inclusive=False)
-    rising = F.coalesce(F.col("first_cue_ms") > F.col("_seen.first"), F.lit(False))
+    rising = F.coalesce((F.col("first_cue_ms") > F.col("_seen.first")) & _in_session(F.unix_millis("arrival") - F.col("_seen.at"), idle_ms), F.lit(False))
     df = df.withColumn("rising", rising & ~F.col("_synced"))
     return _aligned(df).drop("_synced", "_seen")
 
@@ -79,14 +88,46 @@ def shift_cues(cues: DataFrame, aligned: DataFrame) -> DataFrame:
         "end_ms", F.col("end_ms") + F.col("shift_ms")).drop("shift_ms")
 
 
-def mute_transitions(states: DataFrame, key: str = "session_id", chunk_seconds: int = 86_400) -> DataFrame:
-    """MUTE when a session enters a muted range, UNMUTE when it leaves it."""
+def mute_transitions(states: DataFrame, key: str = "session_id", chunk_seconds: int = 86_400, idle_ms: int | None = None) -> DataFrame:
+    """MUTE when a session enters a muted range, UNMUTE when it leaves it; after ``idle_ms`` (if given) without a row it starts anew."""
     needed = states.select(key, "event_id", "ts", "position_ms", "should_mute", "mute_cue_id", "mute_end_ms")
-    df = _by_time(ordered.materialize(needed), ["should_mute", "mute_cue_id"], "_prev", key, chunk_seconds)
-    before = F.coalesce(F.col("_prev.should_mute"), F.lit(False))
+    df = _by_time(ordered.materialize(needed), ["should_mute", "mute_cue_id", "ts"], "_prev", key, chunk_seconds)
+    before = F.coalesce(F.col("_prev.should_mute") & _in_session(F.unix_millis("ts") - F.unix_millis("_prev.ts"), idle_ms), F.lit(False))
     changed = df.filter(F.col("should_mute") != before)
     muted = F.col("should_mute")
     return changed.select(
         key, "event_id", "ts", "position_ms", F.when(muted, "MUTE").otherwise("UNMUTE").alias("action"),
         F.concat(F.lit("cue-"), F.when(muted, F.col("mute_cue_id")).otherwise(F.col("_prev.mute_cue_id")).cast("string")).alias("reason_id"),
         F.when(muted, F.col("mute_end_ms")).alias("expected_unmute_ms"))
+
+
+def mute_changes(events: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+    """When each tab turns silent and when it may be heard again: (tab_id, ts_ms, action, reason_id, active).
+
+    ``events(event_id, tab_id, ts, kind, reason_id, expected_unmute_ms)``, kind mute, unmute or reset.  A mute holds its
+    reason from its time to the first of: the next event of that reason, the next reset of the tab, and one second
+    after the end it expects (five minutes at most, six seconds if none is given; an end that has passed sets no limit).
+    A tab is muted while it has a reason.  The reasons' intervals become edges of +1 and -1, and the tab changes
+    where their running sum leaves or reaches zero.  At one event an opening edge comes before closing ones, so that
+    a mute that replaces another is no change; ends by time come before events of the same time.
+    """
+    now = F.unix_millis("ts")
+    expected = F.when(F.col("expected_unmute_ms") >= 0, F.col("expected_unmute_ms")).otherwise(now + INVALID_EXPECTED_MS)
+    delay = expected - now + SAFETY_EXTRA_MS
+    rows = events.select("tab_id", "reason_id", "event_id", "kind", now.alias("t"), F.when(delay > 0, now + F.least(delay, F.lit(SAFETY_MAX_MS))).alias("_end"))
+    rows = ordered.materialize(rows.withColumn("_to", -F.col("t")))
+    order, chunk = [F.col("_to"), -F.col("event_id")], F.floor(F.col("_to") / (1000 * chunk_seconds))
+    place = F.struct("t", F.lit(1).alias("phase"), F.col("event_id").cast("bigint").alias("id"), F.when(F.col("kind") == "reset", "reset").otherwise(F.col("reason_id")).alias("label"))
+    reset = F.col("kind") == "reset"
+    rows = ordered.last_value_before(rows, ["tab_id"], order, chunk, F.when(reset, place), "_reset", inclusive=False)
+    rows = ordered.last_value_before(ordered.materialize(rows), ["tab_id", "reason_id"], order, chunk, F.when(~reset, place), "_same", inclusive=False)
+    ends = F.when(F.col("_end").isNotNull(), F.struct(F.col("_end").alias("t"), F.lit(0).alias("phase"), F.lit(0).cast("bigint").alias("id"), F.concat(F.lit("safety:"), "reason_id").alias("label")))
+    mutes = rows.filter("kind = 'mute'").select("tab_id", place.alias("_open"), F.least("_reset", "_same", ends).alias("_close"))
+    edge = lambda c, side, step: F.struct(f"{c}.*", F.lit(side).alias("side"), F.lit(step).alias("step"))
+    edges = mutes.select("tab_id", F.inline(F.array(edge("_open", 0, 1), edge("_close", 1, -1)))).filter("t IS NOT NULL")
+    summed = ordered.running_sum(
+        ordered.materialize(edges), ["tab_id"], [F.col(c) for c in ("t", "phase", "id", "side", "label")], F.floor(F.col("t") / (1000 * chunk_seconds)), F.col("step"), "_n")
+    opened = F.col("step") == 1
+    changed = summed.filter((opened & (F.col("_n") == 1)) | (~opened & (F.col("_n") == 0)))
+    return changed.select("tab_id", F.col("t").alias("ts_ms"), F.when(opened, "MUTED").otherwise("UNMUTED").alias("action"), F.col("label").alias("reason_id"),
+                          F.when(opened, 1).otherwise(0).alias("active"))

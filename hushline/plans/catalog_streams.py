@@ -1,16 +1,18 @@
-"""Streaming jobs run over the given tables with all data available at once."""
+"""Streaming jobs over the given tables; the keyed ones in several runs, with rows out of order."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hushline.operators import timing as W
+from hushline.operators import playback as P, timing as W
 from hushline.plans import corpus as C, reference_sql as S
 from hushline.plans.catalog_detect import _W, detected
-from hushline.plans.catalog_playback import SEGMENTS, _STATE
+from hushline.plans.catalog_playback import SEGMENTS, _STATE, segments_of
 from hushline.streaming import jobs as J
 
 CASES: dict[str, tuple] = {}
+#: The comparison SQL knows no end of a session.
+UNENDING = 10**12
 
 
 def case(name: str, sql: str | None = None):
@@ -75,22 +77,50 @@ def _(spark, sf):
 
 @case("align_stream", S.with_(SEGMENTS, then="SELECT segment_id, rising, alignment, shift_ms FROM aligned WHERE kept"))
 def _(spark, sf):
-    from hushline.plans import catalog_playback as P
+    out = J.replayed(segments_of(C.heartbeats(spark, sf)), lambda s, delay: J.align_stream(s, delay, UNENDING), "align", time="arrival", late="segment_id")
+    return out.select("segment_id", "rising", "alignment", "shift_ms")
 
-    out = J.align_stream(P.segments_of(_beats(spark, sf)))
-    return J.run_to_table(out.select("segment_id", "rising", "alignment", "shift_ms"), "align")
 
-
-@case("mute_sessions")
-def _(spark, sf):
-    """Mute events read off the events; checked against a plain replay in the tests."""
-    hb = _beats(spark, sf)
+def mute_events(hb):
+    """Mute events read off the events."""
     t = F.col("event_type")
-    events = hb.select(
+    return hb.select(
         "event_id", F.col("session_id").alias("tab_id"), "ts", F.when(t.isin("view", "purchase"), "mute").when(t == "error", "reset").otherwise("unmute").alias("kind"),
         F.concat(F.lit("cue-"), (F.col("event_id") % 3).cast("string")).alias("reason_id"),
         F.when(F.col("event_id") % 10 != 0, F.col("ts_ms") + (F.col("value") * 20_000).cast("bigint")).alias("expected_unmute_ms"))
-    return J.run_to_table(J.mute_sessions(events, delay="0 seconds"), "mutes")
+
+
+#: Intervals per reason, then a sweep over their edges.
+MUTES = S.with_(S.HEARTBEATS, """
+ev AS (
+  SELECT event_id, session_id AS tab_id, ts_ms AS t, CASE WHEN event_type IN ('view', 'purchase') THEN 'mute' WHEN event_type = 'error' THEN 'reset' ELSE 'unmute' END AS kind,
+         'cue-' || (event_id % 3) AS reason_id, CASE WHEN event_id % 10 <> 0 THEN ts_ms + CAST(trunc(value * 20000) AS BIGINT) END AS expected FROM hb),
+lim AS (SELECT *, coalesce(CASE WHEN expected >= 0 THEN expected END, t + 5000) - t + 1000 AS wait FROM ev),
+nxt AS (
+  SELECT *, lead(t) OVER same AS same_t, lead(event_id) OVER same AS same_id,
+         first_value(CASE WHEN kind = 'reset' THEN t END IGNORE NULLS) OVER later AS reset_t, first_value(CASE WHEN kind = 'reset' THEN event_id END IGNORE NULLS) OVER later AS reset_id
+  FROM lim WINDOW same AS (PARTITION BY tab_id, reason_id, kind = 'reset' ORDER BY t, event_id), later AS (PARTITION BY tab_id ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+held AS (SELECT tab_id, event_id, t, reason_id, unnest([
+    CASE WHEN same_t IS NOT NULL THEN {'t': same_t, 'phase': 1, 'id': same_id, 'label': reason_id} END,
+    CASE WHEN reset_t IS NOT NULL THEN {'t': reset_t, 'phase': 1, 'id': reset_id, 'label': 'reset'} END,
+    CASE WHEN wait > 0 THEN {'t': t + least(wait, 300000), 'phase': 0, 'id': 0, 'label': 'safety:' || reason_id} END]) AS c FROM nxt WHERE kind = 'mute'),
+closing AS (SELECT tab_id, event_id, min(c) AS c FROM held WHERE c IS NOT NULL GROUP BY tab_id, event_id),
+edges AS (
+  SELECT tab_id, t, 1 AS phase, event_id AS id, 0 AS side, reason_id AS label, 1 AS step FROM nxt WHERE kind = 'mute'
+  UNION ALL SELECT tab_id, c.t, c.phase, c.id, 1, c.label, -1 FROM closing),
+swept AS (SELECT *, sum(step) OVER (PARTITION BY tab_id ORDER BY t, phase, id, side, label ROWS UNBOUNDED PRECEDING) AS n FROM edges)""", then="""
+SELECT tab_id, t AS ts_ms, CASE WHEN step = 1 THEN 'MUTED' ELSE 'UNMUTED' END AS action, label AS reason_id, CASE WHEN step = 1 THEN 1 ELSE 0 END AS active
+FROM swept WHERE (step = 1 AND n = 1) OR (step = -1 AND n = 0)""")
+
+
+@case("mute_sessions", MUTES)
+def _(spark, sf):
+    return J.replayed(mute_events(C.heartbeats(spark, sf)), J.mute_sessions, "mutes", key="tab_id")
+
+
+@case("mute_changes", MUTES)
+def _(spark, sf):
+    return P.mute_changes(mute_events(C.heartbeats(spark, sf)))
 
 
 @case("mute_transitions_stream", S.with_(*_W, S.HEARTBEATS, _STATE, """
@@ -100,15 +130,19 @@ def _(spark, sf):
     from hushline.operators.ordered import materialize
 
     windows = materialize(W.mute_windows(detected(spark, sf)))
-    return J.run_to_table(J.mute_transitions_stream(_beats(spark, sf), windows), "transitions")
+    return J.replayed(C.heartbeats(spark, sf), lambda s, delay: J.mute_transitions_stream(s, windows, delay=delay, idle_ms=UNENDING), "transitions")
 
 
 @case("upload_suppression", """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, epoch_us(ts) // 1000 AS ts_ms, event_type, CASE WHEN event_id % 6 = 0 THEN 'user-upload' ELSE 'api' END AS source FROM events),
 g AS (SELECT *, last_value(CASE event_type WHEN 'purchase' THEN TRUE WHEN 'error' THEN FALSE WHEN 'signup' THEN FALSE END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS active FROM e)
 SELECT session_id, event_id, ts_ms, source FROM g WHERE event_type IN ('view', 'click') AND (source = 'user-upload' OR NOT coalesce(active, FALSE))""")
 def _(spark, sf):
-    hb = _beats(spark, sf)
     t = F.col("event_type")
-    cues = hb.filter(t.isin("view", "click")).select("session_id", "event_id", "ts_ms", F.when(F.col("event_id") % 6 == 0, "user-upload").otherwise("api").alias("source"))
-    control = hb.filter(~t.isin("view", "click")).select("session_id", "event_id", "ts_ms", F.when(t == "purchase", "upload").when(t == "error", "unload").otherwise("pick").alias("kind"))
-    return J.run_to_table(J.upload_suppression(cues, control), "uploads")
+
+    def job(hb, delay):
+        hb = hb.withColumn("ts_ms", F.unix_millis("ts"))
+        cues = hb.filter(t.isin("view", "click")).select("session_id", "event_id", "ts_ms", F.when(F.col("event_id") % 6 == 0, "user-upload").otherwise("api").alias("source"))
+        control = hb.filter(~t.isin("view", "click")).select("session_id", "event_id", "ts_ms", F.when(t == "purchase", "upload").when(t == "error", "unload").otherwise("pick").alias("kind"))
+        return J.upload_suppression(cues, control, delay, UNENDING)
+
+    return J.replayed(C.heartbeats(spark, sf), job, "uploads")
