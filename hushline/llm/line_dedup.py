@@ -2,14 +2,16 @@
 
 A ``LineIndex`` keeps, per 128-bit key of a normalised line, the documents that hold it (``postings``) and their number
 with the largest id (``refs``), the exact reference-count table.  Keys are dealt over shards by hash, and each shard has
-a cuckoo filter of its keys.  An insertion asks the filters first: a key that no filter knows is new, and only the other
-keys are looked up in the exact tables.  Deleting documents lowers the counts and takes keys that nobody holds out of
+a cuckoo filter of its keys.  An insertion asks the filters first: a key that no filter knows is new and is appended to the
+tables unseen, and only the other keys are looked up in them.  ``build`` too inserts its documents in parts, so all results
+come through the filters.  Filters of shards without new keys stay; when shards grow beyond ``KEYS_PER_SHARD`` keys, all are
+dealt anew.  Deleting documents lowers the counts and takes keys that nobody holds out of
 the filters, so the index equals one that never saw those documents.
 
 A line's key is the line without blanks at its ends and with A-Z lowered; keys of fewer than ``min_chars`` code points
 are not indexed.  Edge cases: a null or empty text is one empty line; documents with a null id count as one document,
 which is never the largest; repeated rows of a document count once and all get the same result; an id whose rows have
-different texts holds the lines of all of them.
+different texts holds the lines of all of them; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from hushline.llm.common import BLANKS, ascii_lower, salted_join, stored, text_o
 MIN_CHARS = 20
 MIN_DOCS = 3
 KEYS_PER_SHARD = 200_000
+#: Parts in which ``build`` inserts a table.
+BATCHES = 2
 SLOTS = 4
 KEY = ["k1", "k2"]
 
@@ -104,13 +108,20 @@ def _read(filters: pd.DataFrame) -> np.ndarray | None:
     return np.frombuffer(filters["cells"].iloc[0], np.uint16).reshape(-1, SLOTS).copy() if len(filters) else None
 
 
-def _build(keys: pd.DataFrame) -> pd.DataFrame:
-    room = len(keys)
-    while True:
-        table = _new_table(room)
-        if cuckoo_add(table, _unsigned(keys["k1"]), _unsigned(keys["k2"])):
-            return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "cells": [table.tobytes()]})
-        room = table.size
+def _grown(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter with its new keys; ``keys`` has all others too, for the case that it is full."""
+    new = keys[keys["new"]]
+    table = _read(filters)
+    if table is None:
+        table = _new_table(len(new))
+    if not cuckoo_add(table, _unsigned(new["k1"]), _unsigned(new["k2"])):
+        room = max(len(keys), 1)
+        while True:
+            table = _new_table(room)
+            if cuckoo_add(table, _unsigned(keys["k1"]), _unsigned(keys["k2"])):
+                break
+            room = table.size
+    return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "cells": [table.tobytes()]})
 
 
 def _probe(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -150,47 +161,83 @@ class LineIndex:
     filters: DataFrame  # shard, cells
     shards: int
     min_chars: int = MIN_CHARS
+    keys_per_shard: int = KEYS_PER_SHARD
 
     @staticmethod
-    def empty(spark: SparkSession, shards: int, min_chars: int = MIN_CHARS) -> "LineIndex":
+    def empty(spark: SparkSession, shards: int, min_chars: int = MIN_CHARS, id_type: str = "bigint", keys_per_shard: int = KEYS_PER_SHARD) -> "LineIndex":
         table = lambda schema: spark.createDataFrame([], schema)
-        return LineIndex(table("shard int, k1 bigint, k2 bigint, doc_id bigint"), table("shard int, k1 bigint, k2 bigint, n_docs bigint, last_doc bigint"),
-                         table("shard int, cells binary"), shards, min_chars)
+        return LineIndex(table(f"shard int, k1 bigint, k2 bigint, doc_id {id_type}"), table(f"shard int, k1 bigint, k2 bigint, n_docs bigint, last_doc {id_type}"),
+                         table("shard int, cells binary"), shards, min_chars, keys_per_shard)
 
     @staticmethod
-    def build(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> "LineIndex":
-        """Index of all documents; the number of shards follows the number of postings."""
-        held = stored(_held(docs, id, text, min_chars), "postings")
-        index = LineIndex.empty(docs.sparkSession, max(1, -(-held.count() // KEYS_PER_SHARD)), min_chars)
-        held = held.withColumn("shard", index._shard())
-        refs = stored(_counted(held), "refs")
-        return replace(index, postings=held, refs=refs, filters=index._filters(refs))
+    def build(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES) -> "LineIndex":
+        """Index of all documents, inserted in ``batches`` parts by a hash of the id, so that all but the first go through the filters."""
+        part = F.pmod(F.xxhash64(docs[id], F.lit(3)), F.lit(batches))
+        index = LineIndex.empty(docs.sparkSession, 1, min_chars, docs.schema[id].dataType.simpleString())
+        for k in range(batches):
+            index = index.insert(docs.where(part == k), id, text, 1 if k else batches)
+        return index
 
     def _shard(self) -> Column:
         return F.pmod(F.xxhash64("k1"), F.lit(self.shards)).cast("int")
 
-    def _filters(self, refs: DataFrame) -> DataFrame:
-        return stored(refs.select("shard", *KEY).groupBy("shard").applyInPandas(_build, "shard int, cells binary"), "filters")
-
     def probe(self, keys: DataFrame) -> DataFrame:
         """Distinct keys with ``known``: false only if the index surely lacks the key."""
         keys = keys.select(self._shard().alias("shard"), *KEY)
         return keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, "shard int, k1 bigint, k2 bigint, known boolean")
 
-    def insert(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> "LineIndex":
-        """Add documents.  Rows that the index holds already change nothing."""
-        held = stored(_held(docs, id, text, self.min_chars).withColumn("shard", self._shard()), "batch")
-        known = stored(self.probe(held.select(*KEY).distinct()), "probed")
-        fresh = held.join(known.where(~F.col("known")), ["shard", *KEY], "left_semi")
-        maybe = held.join(known.where("known"), ["shard", *KEY], "left_semi")
-        old = self.postings.withColumn("_old", F.lit(True)).withColumnRenamed("doc_id", "_doc")
-        added = maybe.join(old, [maybe[c] == old[c] for c in ("shard", *KEY)] + [maybe["doc_id"].eqNullSafe(old["_doc"])], "left_anti")
-        new = stored(fresh.select("shard", *KEY, "doc_id").unionByName(added.select("shard", *KEY, "doc_id")), "added")
-        more = _counted(new).select("shard", *KEY, F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last"))
-        refs = self.refs.join(more, ["shard", *KEY], "full").select(
-            "shard", *KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"))
-        refs = stored(refs, "refs")
-        return replace(self, postings=stored(self.postings.unionByName(new), "postings"), refs=refs, filters=self._filters(refs))
+    def _resharded(self, keys: int) -> "LineIndex":
+        """As many shards as so many keys need; all filters are built anew if that is more than before."""
+        shards = -(-keys // self.keys_per_shard)
+        if shards <= self.shards:
+            return self
+        wide = replace(self, shards=2 * shards if self.shards > 1 else shards)
+        moved = lambda df, name: stored(df.drop("shard").select(wide._shard().alias("shard"), *[c for c in df.columns if c != "shard"]), name)
+        wide = replace(wide, postings=moved(self.postings, "postings"), refs=moved(self.refs, "refs"), filters=self.filters.where("false"))
+        return replace(wide, filters=wide._with_keys(wide.refs.select("shard", *KEY), wide.refs))
+
+    def _with_keys(self, new: DataFrame, refs: DataFrame) -> DataFrame:
+        """Filters with new keys added; those of other shards stay as they are.  ``refs`` has all keys, new ones too."""
+        touched = stored(new.select("shard").distinct(), "touched")
+        all_keys = refs.select("shard", *KEY).join(touched, "shard", "left_semi")
+        marked = all_keys.join(new.select("shard", *KEY, F.lit(True).alias("new")), ["shard", *KEY], "left").withColumn("new", F.coalesce("new", F.lit(False)))
+        grown = marked.groupBy("shard").cogroup(self.filters.join(touched, "shard", "left_semi").groupBy("shard")).applyInPandas(_grown, "shard int, cells binary")
+        return stored(self.filters.join(touched, "shard", "left_anti").unionByName(grown), "filters")
+
+    def insert(self, docs: DataFrame, id: str = "doc_id", text: str = "text", room: int = 1) -> "LineIndex":
+        """Add documents.  Rows that the index holds already change nothing; ``room`` makes shards for so many times their keys.
+
+        Keys that no filter knows are new: they are counted alone and appended.  Only the others are looked up in the
+        exact tables.
+        """
+        raw = stored(_held(docs, id, text, self.min_chars), "batch")
+        keys = raw.select(*KEY).distinct().count()
+        self = self._resharded(self.refs.count() + keys * room)
+        held = raw.withColumn("shard", self._shard())
+        if self.filters.isEmpty():
+            fresh, changed, gone = held, None, None
+        else:
+            known = stored(self.probe(held.select(*KEY).distinct()), "probed")
+            fresh = held.join(known.where(~F.col("known")), ["shard", *KEY], "left_semi")
+            maybe = held.join(known.where("known"), ["shard", *KEY], "left_semi")
+            old = self.postings.withColumnRenamed("doc_id", "_doc")
+            added = stored(maybe.join(old, [maybe[c] == old[c] for c in ("shard", *KEY)] + [maybe["doc_id"].eqNullSafe(old["_doc"])], "left_anti"), "added")
+            changed = _counted(added)
+            gone = changed.select("shard", *KEY)
+        new = _counted(fresh)
+        refs, postings, fresh_keys = self.refs, self.postings, new
+        if changed is not None:
+            more = changed.select("shard", *KEY, F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last"))
+            met = refs.join(more, ["shard", *KEY], "right").select(
+                "shard", *KEY, (F.coalesce("n_docs", F.lit(0)) + F.col("_n")).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"), F.col("n_docs").isNull().alias("_false"))
+            met = stored(met, "looked_up")  # a key that a filter knew by mistake is new after all
+            refs = refs.join(gone, ["shard", *KEY], "left_anti").unionByName(met.drop("_false"))
+            postings = postings.unionByName(added.select("shard", *KEY, "doc_id"))
+            fresh_keys = new.unionByName(met.where("_false").drop("_false"))
+        fresh_keys = stored(fresh_keys, "fresh")
+        refs = stored(refs.unionByName(new), "refs")
+        filters = self._with_keys(fresh_keys.select("shard", *KEY), refs)
+        return replace(self, postings=stored(postings.unionByName(fresh.select("shard", *KEY, "doc_id")), "postings"), refs=refs, filters=filters)
 
     def delete(self, ids: DataFrame, id: str = "doc_id") -> "LineIndex":
         """Take documents out, given their ids."""
@@ -229,7 +276,7 @@ class LineIndex:
 
 
 def _held(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
-    return line_keys(docs, id, text, min_chars).select(*KEY, F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    return line_keys(docs, id, text, min_chars).select(*KEY, "doc_id").distinct()
 
 
 def _counted(held: DataFrame) -> DataFrame:

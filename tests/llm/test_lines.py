@@ -1,6 +1,7 @@
 """Line rules and line deduplication: odd rows, and an index that can be undone."""
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -72,6 +73,38 @@ def test_index_is_reversible(spark):
     assert gone.probe(keys).where("known").count() == 0  # every mark was taken out
 
 
+def test_results_come_through_the_filters(spark):
+    docs = spark.createDataFrame([(i, f"{LONG}\nown line of document number {i}") for i in range(40)], "doc_id long, text string")
+    first, more = docs.where("doc_id < 20"), docs.where("doc_id >= 20")
+    base = line_dedup.LineIndex.empty(spark, 1).insert(first)
+    right = base.insert(more).clean(docs)
+    assert right.where("n_dropped = 1").count() == 39
+    # a filter that knows nothing makes every key new, and the shared line is counted in two rows
+    blind = replace(base, filters=base.filters.select("shard", F.unhex(F.repeat(F.lit("00"), F.octet_length("cells").cast("int"))).alias("cells")))
+    assert blind.insert(more).refs.count() == base.insert(more).refs.count() + 1
+    assert blind.insert(more).clean(docs).where("n_dropped = 1").count() != 39
+
+
+def test_shards_grow_and_others_stay(spark):
+    docs = spark.createDataFrame([(i, f"own line of document number {i}\n{LONG}") for i in range(300)], "doc_id long, text string")
+    small = line_dedup.LineIndex.empty(spark, 1, keys_per_shard=10).insert(docs.where("doc_id < 100"))
+    assert small.shards == 11 and small.filters.count() <= 11
+    one = small.insert(docs.where("doc_id = 200"))
+    cells = lambda index: {r.shard: bytes(r.cells) for r in index.filters.collect()}
+    assert one.shards == 11 and sum(cells(one)[k] != v for k, v in cells(small).items()) <= 1
+    wide = one.insert(docs)
+    assert wide.shards > 30 and max(r["count"] for r in wide.refs.groupBy("shard").count().collect()) < 40
+    table = lambda index: sorted(map(tuple, index.refs.select("k1", "k2", "n_docs", "last_doc").collect()))
+    assert table(wide) == table(line_dedup.LineIndex.build(docs)) == table(wide.insert(docs))
+    assert wide.probe(wide.refs.select("k1", "k2")).where("not known").count() == 0
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(f"doc-{i:03d}", f"{LONG}\nx") for i in range(9)], "doc_id string, text string")
+    got = line_dedup.LineIndex.build(docs).clean(docs)
+    assert {r.doc_id: r.text for r in got.collect()} == {f"doc-{i:03d}": "x" if i < 8 else f"{LONG}\nx" for i in range(9)}
+
+
 def test_cuckoo_filter_is_full_and_exact():
     rng = np.random.default_rng(2)
     k1, k2 = rng.integers(0, 2**63, (2, 13_000)).astype(np.uint64)
