@@ -194,14 +194,13 @@ class LineIndex:
         wide = replace(self, shards=2 * shards if self.shards > 1 else shards)
         moved = lambda df, name: stored(df.drop("shard").select(wide._shard().alias("shard"), *[c for c in df.columns if c != "shard"]), name)
         wide = replace(wide, postings=moved(self.postings, "postings"), refs=moved(self.refs, "refs"), filters=self.filters.where("false"))
-        return replace(wide, filters=wide._with_keys(wide.refs.select("shard", *KEY), wide.refs))
-
-    def _with_keys(self, new: DataFrame, refs: DataFrame) -> DataFrame:
-        """Filters with new keys added; those of other shards stay as they are.  ``refs`` has all keys, new ones too."""
-        touched = stored(new.select("shard").distinct(), "touched")
-        all_keys = refs.select("shard", *KEY).join(touched, "shard", "left_semi")
-        marked = all_keys.join(new.select("shard", *KEY, F.lit(True).alias("new")), ["shard", *KEY], "left").withColumn("new", F.coalesce("new", F.lit(False)))
-        grown = marked.groupBy("shard").cogroup(self.filters.join(touched, "shard", "left_semi").groupBy("shard")).applyInPandas(_grown, "shard int, cells binary")
+        return replace(wide, filters=wide._with_keys(wide.refs.withColumn("new", F.lit(True))))
+
+    def _with_keys(self, refs: DataFrame) -> DataFrame:
+        """Filters with the keys added that are ``new`` in refs; those of other shards stay as they are."""
+        touched = stored(refs.where("new").select("shard").distinct(), "touched")
+        keys = refs.select("shard", *KEY, "new").join(touched, "shard", "left_semi")
+        grown = keys.groupBy("shard").cogroup(self.filters.join(touched, "shard", "left_semi").groupBy("shard")).applyInPandas(_grown, "shard int, cells binary")
         return stored(self.filters.join(touched, "shard", "left_anti").unionByName(grown), "filters")
 
     def insert(self, docs: DataFrame, id: str = "doc_id", text: str = "text", room: int = 1) -> "LineIndex":
@@ -211,33 +210,24 @@ class LineIndex:
         exact tables.
         """
         raw = stored(_held(docs, id, text, self.min_chars), "batch")
-        keys = raw.select(*KEY).distinct().count()
+        keys = raw.agg(F.approx_count_distinct("k1")).first()[0]
         self = self._resharded(self.refs.count() + keys * room)
-        held = raw.withColumn("shard", self._shard())
+        held, refs, postings = raw.withColumn("shard", self._shard()), self.refs.withColumn("new", F.lit(False)), self.postings
         if self.filters.isEmpty():
-            fresh, changed, gone = held, None, None
+            fresh = held
         else:
-            known = stored(self.probe(held.select(*KEY).distinct()), "probed")
-            fresh = held.join(known.where(~F.col("known")), ["shard", *KEY], "left_semi")
-            maybe = held.join(known.where("known"), ["shard", *KEY], "left_semi")
+            known = self.probe(held.select(*KEY).distinct())
+            held = stored(held.join(known, ["shard", *KEY]), "probed")
+            fresh, maybe = held.where(~F.col("known")), held.where("known")
             old = self.postings.withColumnRenamed("doc_id", "_doc")
-            added = stored(maybe.join(old, [maybe[c] == old[c] for c in ("shard", *KEY)] + [maybe["doc_id"].eqNullSafe(old["_doc"])], "left_anti"), "added")
-            changed = _counted(added)
-            gone = changed.select("shard", *KEY)
-        new = _counted(fresh)
-        refs, postings, fresh_keys = self.refs, self.postings, new
-        if changed is not None:
-            more = changed.select("shard", *KEY, F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last"))
-            met = refs.join(more, ["shard", *KEY], "right").select(
-                "shard", *KEY, (F.coalesce("n_docs", F.lit(0)) + F.col("_n")).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"), F.col("n_docs").isNull().alias("_false"))
-            met = stored(met, "looked_up")  # a key that a filter knew by mistake is new after all
-            refs = refs.join(gone, ["shard", *KEY], "left_anti").unionByName(met.drop("_false"))
+            added = stored(maybe.join(old, [maybe[c] == old[c] for c in ("shard", *KEY)] + [maybe["doc_id"].eqNullSafe(old["_doc"])], "left_anti").drop("known"), "added")
+            more = _counted(added).withColumnsRenamed({"n_docs": "_n", "last_doc": "_last"})
+            # a key that a filter knew by mistake is new after all
+            refs = self.refs.withColumn("_here", F.lit(True)).join(more, ["shard", *KEY], "full").select(
+                "shard", *KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"), F.col("_here").isNull().alias("new"))
             postings = postings.unionByName(added.select("shard", *KEY, "doc_id"))
-            fresh_keys = new.unionByName(met.where("_false").drop("_false"))
-        fresh_keys = stored(fresh_keys, "fresh")
-        refs = stored(refs.unionByName(new), "refs")
-        filters = self._with_keys(fresh_keys.select("shard", *KEY), refs)
-        return replace(self, postings=stored(postings.unionByName(fresh.select("shard", *KEY, "doc_id")), "postings"), refs=refs, filters=filters)
+        refs = stored(refs.unionByName(_counted(fresh).withColumn("new", F.lit(True))), "refs")
+        return replace(self, postings=stored(postings.unionByName(fresh.select("shard", *KEY, "doc_id")), "postings"), refs=refs.drop("new"), filters=self._with_keys(refs))
 
     def delete(self, ids: DataFrame, id: str = "doc_id") -> "LineIndex":
         """Take documents out, given their ids."""

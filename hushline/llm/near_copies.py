@@ -10,8 +10,8 @@ tiles of all fingerprints would have to be compared with nearly all others.  So
 * In each bucket all sets are first held against the one with the lowest key; a large group of near copies thus costs rows in
   proportion to its size.  Links are merged to components.
 * Buckets that still hold several components are cut into tiles.  Pairs of tiles whose population counts differ by more than
-  the radius are skipped; the others are compared by exclusive-or and bit counts, and what is within the radius and not
-  connected yet is checked exactly.  A pair of tiles returns at most one link per member.
+  the radius are skipped; the others are compared by exclusive-or and bit counts, and pairs within the radius that are not
+  connected yet are checked exactly.  Only such pairs are ever made.
 
 ``RADIUS`` is 20 bits: at a similarity of 0.8 about 10 bits differ, more than 20 in about one pair of 10,000.  All other
 steps lose nothing; shingles and sets are told apart by hashes of 64 bits.
@@ -39,6 +39,8 @@ PART, WHOLE = 4, 5
 RADIUS = 20
 CELLS = 1 << 20
 TILE = 1_024
+#: Buckets of so many sets are joined with themselves; larger ones are compared in tiles.
+SMALL = 32
 #: Shingles looked at together when repeats are counted.
 NEARBY = 2_000_000
 
@@ -128,57 +130,55 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def tile_links(a: pd.DataFrame, b: pd.DataFrame | None) -> list[tuple[int, int]]:
-    """Links between sets of different components, one at most for any two components that they join."""
+def tile_pairs(a: pd.DataFrame, b: pd.DataFrame | None) -> list[tuple[int, int]]:
+    """Pairs of sets of different components that may be similar, by their fingerprints and sizes."""
     other = a if b is None else b
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
     fa, fb = (x["fp"].to_numpy(np.int64).view(np.uint64) for x in (a, other))
     na, nb = (x["n"].to_numpy(np.int64) for x in (a, other))
     ca, cb = (x["component"].to_numpy(np.int64) for x in (a, other))
+    sa, sb = (x["sid"].to_numpy(np.int64) for x in (a, other))
     out = []
     for k in range(0, len(a), 256):
         near = np.bitwise_count(fa[k:k + 256, None] ^ fb[None, :]) <= RADIUS
-        near &= WHOLE * np.minimum(na[k:k + 256, None], nb[None, :]) >= PART * np.maximum(na[k:k + 256, None], nb[None, :])
         near &= ca[k:k + 256, None] != cb[None, :]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            i += k
-            u, v = top(int(ca[i])), top(int(cb[j]))
-            if u != v and similar(np.frombuffer(a["grams"].iloc[i], np.uint64), np.frombuffer(other["grams"].iloc[j], np.uint64)):
-                root[u] = v
-                out.append((int(a["sid"].iloc[i]), int(other["sid"].iloc[j])))
+        near &= WHOLE * np.minimum(na[k:k + 256, None], nb[None, :]) >= PART * np.maximum(na[k:k + 256, None], nb[None, :])
+        u, v = np.nonzero(near)
+        out += zip(sa[u + k].tolist(), sb[v].tolist(), strict=True)
     return out
 
 
-def _rest(members: DataFrame, grams: DataFrame) -> DataFrame:
-    """(u, v): links within buckets of several components; ``members`` has (bucket, sid, fp, n, component)."""
+def _rest(members: DataFrame) -> DataFrame:
+    """(sid, leader): pairs that may be similar in buckets of several components; ``members`` has (bucket, sid, fp, n, component).
+
+    Small buckets are joined with themselves, larger ones compared tile by tile.
+    """
     mixed = members.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b")
+    rows = stored(salted_join(members, mixed.select("bucket", "_n"), ["bucket"], F.col("sid"), "inner"), "mixed")
+    few = rows.where(F.col("_n") <= SMALL)
+    left, right = (few.select(F.col("bucket").alias(f"bucket_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "fp", "n", "component")]) for s in "ab")
+    some = left.join(right, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("sid_a") < F.col("sid_b")) & (F.col("component_a") != F.col("component_b")) & _close("fp_a", "fp_b", "n_a", "n_b"))
+    some = some.select(F.col("sid_a").alias("sid"), F.col("sid_b").alias("leader"))
+
     # a tile holds sets of near population counts; no two sets of tiles further apart than the radius are within it
-    tiled = salted_join(members, mixed.select("bucket", "_n"), ["bucket"], F.col("sid"), "inner").withColumn("band", F.floor(F.bit_count("fp") / (RADIUS + 1)).cast("int"))
-    tiled = stored(tiled.withColumn("tile", F.pmod(F.xxhash64("sid"), F.ceil(F.col("_n") / TILE)).cast("int")).drop("_n"), "tiled")
+    many = rows.where(F.col("_n") > SMALL).withColumn("band", F.floor(F.bit_count("fp") / (RADIUS + 1)).cast("int"))
+    tiled = stored(many.withColumn("tile", F.pmod(F.xxhash64("sid"), F.ceil(F.col("_n") / TILE)).cast("int")).drop("_n"), "tiled")
     tiles = tiled.groupBy("bucket", "band", "tile").agg(F.min(F.bit_count("fp")).alias("low"), F.max(F.bit_count("fp")).alias("high"))
     left, right = (tiles.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "tile", "low", "high")]) for s in "ab")
     pairs = left.join(right, "bucket").where("struct(band_a, tile_a) <= struct(band_b, tile_b)")
     pairs = pairs.where((F.col("low_b") - F.col("high_a") <= RADIUS) & (F.col("low_a") - F.col("high_b") <= RADIUS))
     pairs = stored(pairs.select("bucket", "band_a", "tile_a", "band_b", "tile_b", F.monotonically_increasing_id().alias("pair")), "pairs")
-    full = tiled.join(grams, "sid")
 
     def side(s: str) -> DataFrame:
         named = pairs.select("pair", "bucket", F.col(f"band_{s}").alias("band"), F.col(f"tile_{s}").alias("tile"), F.expr("band_a = band_b AND tile_a = tile_b").alias("same"))
-        return full.join(named, ["bucket", "band", "tile"]).select(*[F.col(c).alias(f"{c}_{s}") for c in ("pair", "same", "sid", "fp", "n", "component", "grams")])
+        return tiled.join(named, ["bucket", "band", "tile"]).select(*[F.col(c).alias(f"{c}_{s}") for c in ("pair", "same", "sid", "fp", "n", "component")])
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = (x.rename(columns=lambda c: c[:-2]) for x in (a, b))
-        found = tile_links(a, None if len(a) and a["same"].iloc[0] else b) if len(a) and len(b) else []
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        found = tile_pairs(a, None if len(a) and a["same"].iloc[0] else b) if len(a) and len(b) else []
+        return pd.DataFrame(found, columns=["sid", "leader"], dtype="int64")
 
-    return side("a").groupBy("pair_a").cogroup(side("b").groupBy("pair_b")).applyInPandas(compare, "u bigint, v bigint")
+    found = side("a").groupBy("pair_a").cogroup(side("b").groupBy("pair_b")).applyInPandas(compare, "sid bigint, leader bigint")
+    return some.unionByName(found).distinct()
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,13 +189,18 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     buckets = _buckets(sets)
     of = lambda name, end: slim.select(F.col("sid").alias(name), F.col("fp").alias(f"fp_{end}"), F.col("n").alias(f"n_{end}"))
     pairs = buckets.where("sid <> leader").select("sid", "leader").distinct().join(of("sid", "a"), "sid")
-    pairs = stored(salted_join(pairs, of("leader", "b"), ["leader"], F.col("sid"), "inner").where(_close("fp_a", "fp_b", "n_a", "n_b")).select("sid", "leader"), "starred")
-    grams = _grams(docs, rows, buckets.select("sid").distinct(), id, text)
-    both = salted_join(pairs.join(grams.withColumnRenamed("grams", "ga"), "sid"), grams.select(F.col("sid").alias("leader"), F.col("grams").alias("gb")), ["leader"], F.col("sid"), "inner")
-    links = stored(both.where(F.pandas_udf(_similar, "boolean")("ga", "gb")).select(F.col("sid").alias("u"), F.col("leader").alias("v")), "links")
+    pairs = salted_join(pairs, of("leader", "b"), ["leader"], F.col("sid"), "inner").where(_close("fp_a", "fp_b", "n_a", "n_b"))
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs.select("sid", "leader"), f"{name}_pairs")
+        grams = _grams(docs, rows, pairs.select("sid").union(pairs.select("leader")).distinct(), id, text)
+        both = salted_join(pairs.join(grams.withColumnRenamed("grams", "ga"), "sid"), grams.select(F.col("sid").alias("leader"), F.col("grams").alias("gb")), ["leader"], F.col("sid"), "inner")
+        return stored(both.where(F.pandas_udf(_similar, "boolean")("ga", "gb")).select(F.col("sid").alias("u"), F.col("leader").alias("v")), name)
+
+    links = checked(pairs, "stars")
     known = merged(links).withColumnRenamed("node", "sid")
     members = buckets.select("bucket", "sid").join(slim, "sid").join(known, "sid", "left").select("bucket", "sid", "fp", "n", F.coalesce("root", "sid").alias("component"))
-    more = _rest(stored(members, "members"), grams)
+    more = checked(_rest(stored(members, "members")), "rest")
     roots = merged(links.unionByName(more)).withColumnRenamed("node", "sid")
     found = salted_join(rows.select("doc_id", "text_hash", "sid", "fp"), roots, ["sid"], F.xxhash64("doc_id", "text_hash"), "left")
     return found.select("doc_id", "text_hash", "sid", "fp", F.coalesce("root", "sid").alias("group"))

@@ -82,8 +82,9 @@ def test_near_copies_of_odd_rows(spark, monkeypatch):
     texts += [" ".join([f"q{k}x{i}" for i in range(20)] + passage) for k in range(80)]  # a passage that many share
     frame = with_clashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     want = near_groups(dict(enumerate(texts)))
-    for tile in (1024, 8):
+    for tile, small in ((1024, 32), (8, 0)):
         monkeypatch.setattr(near_copies, "TILE", tile)
+        monkeypatch.setattr(near_copies, "SMALL", small)
         found = near_copies.groups(frame)
         kept = simhash.one_of_each(frame, found)
         assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == frame.columns

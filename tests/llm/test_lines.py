@@ -88,10 +88,10 @@ def test_results_come_through_the_filters(spark):
 def test_shards_grow_and_others_stay(spark):
     docs = spark.createDataFrame([(i, f"own line of document number {i}\n{LONG}") for i in range(300)], "doc_id long, text string")
     small = line_dedup.LineIndex.empty(spark, 1, keys_per_shard=10).insert(docs.where("doc_id < 100"))
-    assert small.shards == 11 and small.filters.count() <= 11
+    assert 9 <= small.shards <= 13 and small.filters.count() <= small.shards
     one = small.insert(docs.where("doc_id = 200"))
     cells = lambda index: {r.shard: bytes(r.cells) for r in index.filters.collect()}
-    assert one.shards == 11 and sum(cells(one)[k] != v for k, v in cells(small).items()) <= 1
+    assert one.shards == small.shards and sum(cells(one)[k] != v for k, v in cells(small).items()) <= 1
     wide = one.insert(docs)
     assert wide.shards > 30 and max(r["count"] for r in wide.refs.groupBy("shard").count().collect()) < 40
     table = lambda index: sorted(map(tuple, index.refs.select("k1", "k2", "n_docs", "last_doc").collect()))
