@@ -136,12 +136,12 @@ def next_cues(cues: DataFrame, positions: DataFrame, position_key: list[str], n:
 
     Cues get their position in the track first.  A position then needs only the
     number of cues that started up to it, and an equality join picks the next n;
-    far-away cues are never paired with it.
+    far-away cues are never paired with it.  Cues, their numbers and the positions are stored, so each input is read once.
     """
     tracks = ["track_id"]
-    numbered = ordered.row_numbers(
-        cues.select("track_id", "cue_id", "start_ms", *extra), tracks, [F.col("start_ms"), F.col("cue_id")],
-        F.floor(F.col("start_ms") / chunk_ms), "_seq")
+    slim = ordered.materialize(cues.select("track_id", "cue_id", "start_ms", *extra))
+    numbered = ordered.materialize(ordered.row_numbers(slim, tracks, [F.col("start_ms"), F.col("cue_id")], F.floor(F.col("start_ms") / chunk_ms), "_seq"))
+    positions = ordered.materialize(positions)
     marks = numbered.select("track_id", F.col("start_ms").alias("_at"), F.lit(0).alias("_side"), F.col("_seq").alias("_started"),
                             *[F.lit(None).cast(positions.schema[c].dataType).alias(f"_p_{c}") for c in positions.columns])
     asks = positions.select("track_id", (F.col("position_ms") + offset_ms).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_started"),

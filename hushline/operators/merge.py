@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hushline.functions import fixed_values as fv
 from hushline.operators import detect as D, lexicon as L, ordered
@@ -37,20 +37,29 @@ def new_tracks_only(known: DataFrame, incoming: DataFrame) -> DataFrame:
     return by_url.join(known.select("id").distinct(), "id", "left_anti").select(*incoming.columns)
 
 
-def _ranges(cues: DataFrame, side: str) -> DataFrame:
-    order = F.struct("start_ms", "cue_id")
-    return cues.groupBy("track_id").agg(
-        F.min("start_ms").alias(f"{side}_start_ms"), F.max_by("end_ms", order).alias(f"{side}_end_ms"),
-        F.count(F.lit(1)).alias(f"{side}_cues"), F.min_by("source", order).alias(f"{side}_source"))
+def _both(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Both versions as one table; ``_side`` is 0 for existing cues and 1 for incoming ones."""
+    return existing.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
 
 
-def range_overlap(existing: DataFrame, incoming: DataFrame, min_cues: int = 100) -> DataFrame:
-    """How far two versions of a track overlap in time, and whether that means replacement."""
-    both = _ranges(existing, "old").join(_ranges(incoming, "new"), "track_id")
+def _ranges(existing: DataFrame, incoming: DataFrame, min_cues: int) -> DataFrame:
+    """Per track what its two versions span, by one aggregate over both; counts are 0 and all else null where one is missing."""
+    order = F.struct("start_ms", "cue_id")
+    aggs = []
+    for side, name in enumerate(("old", "new")):
+        mine = F.when(F.col("_side") == side, order)
+        aggs += [F.min(F.when(F.col("_side") == side, F.col("start_ms"))).alias(f"{name}_start_ms"), F.max_by("end_ms", mine).alias(f"{name}_end_ms"),
+                 F.count(mine).alias(f"{name}_cues"), F.min_by("source", mine).alias(f"{name}_source")]
+    columns = ["track_id", "start_ms", "end_ms", "cue_id", "source"]
+    out = _both(existing.select(*columns), incoming.select(*columns)).groupBy("track_id").agg(*aggs)
     overlap = F.greatest(F.lit(0), F.least("old_end_ms", "new_end_ms") - F.greatest("old_start_ms", "new_start_ms"))
     span = F.col("old_end_ms") - F.col("old_start_ms")
-    return both.withColumn("overlap_ms", overlap).withColumn(
-        "replaces", (F.col("new_cues") > min_cues) & (span > 0) & (overlap > span * 0.5))
+    return out.withColumn("overlap_ms", overlap).withColumn("replaces", (F.col("new_cues") > min_cues) & (span > 0) & (overlap > span * 0.5))
+
+
+def range_overlap(existing: DataFrame, incoming: DataFrame, min_cues: int = 100) -> DataFrame:
+    """How far two versions of a track overlap in time, and whether that means replacement; tracks of one version are left out."""
+    return _ranges(existing, incoming, min_cues).filter("old_cues > 0 AND new_cues > 0")
 
 
 def is_user_source(source: Column) -> Column:
@@ -63,8 +72,7 @@ def merge_policies(existing: DataFrame, incoming: DataFrame, uploads: DataFrame
     ``uploads(track_id)`` names tracks with an active user upload; only user
     sources may add to them.
     """
-    pairs = _ranges(incoming, "new").join(_ranges(existing, "old"), "track_id", "left").join(
-        range_overlap(existing, incoming).select("track_id", "replaces"), "track_id", "left")
+    pairs = _ranges(existing, incoming, 100).filter("new_cues > 0")
     if uploads is not None:
         pairs = pairs.join(uploads.select("track_id").distinct().withColumn("_up", F.lit(True)), "track_id", "left")
     else:
@@ -81,19 +89,26 @@ def merge_policies(existing: DataFrame, incoming: DataFrame, uploads: DataFrame
     return pairs.select("track_id", policy.alias("policy"))
 
 
-def merge_cues(existing: DataFrame, incoming: DataFrame, policies: DataFrame) -> DataFrame:
+def merge_cues(existing: DataFrame, incoming: DataFrame, policies: DataFrame, chunk_ms: int = 600_000) -> DataFrame:
     """Existing and incoming cues under one policy per track, renumbered by time.
 
     Replaced tracks drop their old cues; all other tracks are a union without
     cues of equal start and text.
+
+    Both versions are one table, which is read once: a cue is known if an existing one of its track and time slice, all of
+    which meet in one task, has its start and text.  A null track, start or text is never known.
     """
-    replaced = policies.filter("policy = 'replace'").select("track_id")
-    rejected = policies.filter("policy = 'reject'").select("track_id")
-    kept = existing.join(replaced, "track_id", "left_anti")
-    welcome = incoming.join(rejected, "track_id", "left_anti")
-    added = new_cues_only(kept, welcome)
-    out = kept.withColumn("_side", F.lit(0)).unionByName(added.withColumn("_side", F.lit(1)))
-    return renumber(out, ("start_ms", "_side", "cue_id")).drop("_side")
+    both = _both(existing, incoming).join(policies.select("track_id", "policy"), "track_id", "left")
+    dropped = ((F.col("_side") == 0) & (F.col("policy") == "replace")) | ((F.col("_side") == 1) & (F.col("policy") == "reject"))
+    both = both.filter(~F.coalesce(dropped, F.lit(False))).drop("policy").withColumn("_slice", F.floor(F.col("start_ms") / chunk_ms))
+    keys = ["track_id", "start_ms", "_text"]
+    first = F.min("_side").over(Window.partitionBy("track_id", "_slice", "start_ms", "_text"))
+    placed = both.withColumn("_text", F.md5("text")).repartition("track_id", "_slice").withColumn("_first", first)
+    told = F.col("_first") == 0
+    for k in keys:
+        told = told & F.col(k).isNotNull()
+    out = placed.filter((F.col("_side") == 0) | ~told).drop("_text", "_first", "_slice")
+    return renumber(ordered.materialize(out), ("start_ms", "_side", "cue_id"), chunk_ms).drop("_side")
 
 
 def resolve_profile(rows: DataFrame, stored: DataFrame | None, overrides: DataFrame, site: str = "site") -> DataFrame:

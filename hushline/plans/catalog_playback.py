@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hushline.functions import fixed_values as fv
 from hushline.operators import censor as X, interval as I, merge as M, playback as P, timing as W
+from hushline.operators.ordered import materialize
 from hushline.plans import corpus as C, reference_sql as S
 from hushline.plans.catalog_detect import _W, detected
 
@@ -213,9 +214,10 @@ new AS (SELECT track_id, cue_id, CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN
   ['user-upload', 'youtube', 'plutotv-x', 'fmovies', 'api', 'my.user-subtitle'][CAST(track_id AS BIGINT) % 6 + 1] AS source, language FROM cues)"""
 
 
-def two_versions(spark, sf):
+def two_versions(spark, sf, stored: bool = False):
     """All cues, and all cues as another source has them: some tracks later, some cues reworded."""
     cues = C.document_cues(spark, sf)
+    cues = materialize(cues) if stored else cues
     t = F.col("track_id").cast("bigint")
     moved = F.when(t % 5 == 0, 7).otherwise(0)
     names = F.array(*[F.lit(x) for x in ("user-upload", "youtube", "plutotv-x", "fmovies", "api", "my.user-subtitle")])
@@ -263,8 +265,8 @@ kept AS (SELECT o.*, 0 AS side FROM old o LEFT JOIN pol USING (track_id) WHERE c
 added AS (SELECT n.*, 1 AS side FROM new n JOIN pol USING (track_id) WHERE policy <> 'reject' AND NOT EXISTS (SELECT 1 FROM kept o WHERE o.track_id = n.track_id AND o.start_ms = n.start_ms AND o.text = n.text))""".replace("kept AS", "kept_old AS").replace("FROM kept o", "FROM kept_old o"), then="""
 SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, side, cue_id) - 1 AS INTEGER) AS cue_id, start_ms, end_ms, text, source FROM (SELECT * FROM kept_old UNION ALL SELECT * FROM added)"""))
 def _(spark, sf):
-    old, new = two_versions(spark, sf)
-    out = M.merge_cues(old, new, M.merge_policies(old, new, _uploads(C.document_cues(spark, sf))))
+    old, new = two_versions(spark, sf, stored=True)
+    out = M.merge_cues(old, new, M.merge_policies(old, new, _uploads(old)))
     return out.select("track_id", "cue_id", "start_ms", "end_ms", "text", "source")
 
 

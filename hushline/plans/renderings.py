@@ -62,12 +62,20 @@ def as_files(cues: DataFrame, fmt: str) -> DataFrame:
 
 
 def document_files(spark, sf_dir: str) -> DataFrame:
-    """Every document as one file; its number decides the format."""
+    """Every document as one file; its number decides the format, inside each row, so the cues are read and shuffled once."""
     from hushline.plans import corpus as C
 
-    cues = C.document_cues(spark, sf_dir)
-    out = None
-    for i, fmt in enumerate(FORMATS):
-        part = as_files(cues.filter(F.col("track_id").cast("bigint") % len(FORMATS) == i), fmt)
-        out = part if out is None else out.unionByName(part)
-    return out
+    cues, pieces = C.document_cues(spark, sf_dir), [_pieces(fmt) for fmt in FORMATS]
+    number = F.col("track_id").cast("bigint") % len(FORMATS)
+
+    def chosen(values) -> Column:
+        out = F.lit(None).cast("string")
+        for i, value in enumerate(values):
+            out = F.when(number == i, value).otherwise(out)
+        return out
+
+    rows = F.sort_array(F.collect_list(F.struct("start_ms", "cue_id", chosen(p[1] for p in pieces).alias("b"))))
+    files = cues.groupBy("track_id").agg(F.transform(rows, lambda r: r["b"]).alias("_b"))
+    body = F.call_function("array_join", F.col("_b"), chosen(F.lit(p[2]) for p in pieces))
+    content = F.concat(chosen(F.lit(p[0]) for p in pieces), body, chosen(F.lit(p[3]) for p in pieces))
+    return files.select(F.concat("track_id", F.lit("."), chosen(F.lit(f) for f in FORMATS)).alias("path"), content.alias("content"))
