@@ -100,3 +100,10 @@ def substitute(
 
     done = F.when(F.size("matches") == 0, text).otherwise(splice(text, F.transform("matches", edit)))
     return detected.withColumn("censored_text", done)
+
+
+def resubstitute(
+    stored: DataFrame, substitutions: DataFrame, roots: DataFrame, custom: DataFrame, category: str = "silly", seed: str = "0",
+) -> DataFrame:
+    """Other substitutions for cues that are detected already: findings stay, only ``censored_text`` is made anew from them."""
+    return substitute(stored.drop("censored_text"), substitutions, roots, custom, category, seed).select(*stored.columns)

@@ -373,6 +373,18 @@ for _category in ("silly", "polite", "random", "monkeys"):
     CASES[f"substitute_{_category}"] = ((lambda c: lambda spark, sf: _substituted(spark, sf, c))(_category), _substitute_sql(_category))
 
 
+@case("redetect_substitutions", _substitute_sql("polite"))
+def _(spark, sf):
+    """Cues stored with silly words get polite ones, without another detection."""
+    from hushline.operators.ordered import materialize
+
+    subs = spark.createDataFrame(C.SUBSTITUTIONS, "term string, category string, options array<string>")
+    lines = spark.createDataFrame([(x, i) for i, x in enumerate(C.CUSTOM_LINES)], "line string, ord int")
+    tables = subs, L.substitution_roots(spark, C.ROOTS), L.custom_substitutions(lines)
+    stored = materialize(X.substitute(detected(spark, sf), *tables, "silly", seed="1"))
+    return X.resubstitute(stored, *tables, "polite", seed="7").select("track_id", "cue_id", "censored_text")
+
+
 @case("all_substitutions", f"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{S.TOKEN}'))) AS term FROM documents)
 SELECT term, category, unnest(options) AS option FROM w JOIN {S.values(C.SUBSTITUTIONS, 'term, category, options')} s USING (term)""")
 def _(spark, sf):

@@ -382,3 +382,45 @@ def _(spark, sf):
     back = W.import_bundle(spark, folder, {"cues": cues.schema.simpleString(), "tracks": tracks.schema.simpleString()})
     total = lambda df, kind, c: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(c)).alias("size")).select(F.lit(kind).alias("kind"), "n", "size")
     return total(back["cues"], "cues", "text").unionByName(total(back["tracks"], "tracks", "label"))
+
+
+@case("file_round_trip", S.with_(S.CUES, then=f"SELECT track_id || '/' || language AS track_id, cue_id AS ord, start_ms, end_ms, {S.clean('text')} AS text FROM cues"))
+def _(spark, sf):
+    """All cues as one named file per track, whose ids hold a slash, read back from the folder."""
+    from hushline.sources import vtt_files
+    from hushline.streaming.jobs import workspace
+
+    folder = workspace(spark, "vtt")
+    cues = C.document_cues(spark, sf)
+    W.write_vtt(cues.withColumn("track_id", F.concat("track_id", F.lit("/"), "language")), folder)
+    files = vtt_files.read_vtt_files(spark, folder).select(F.col("track_id").alias("path"), "content")
+    return I.format_cues(files, "vtt").select(F.col("path").alias("track_id"), "ord", "start_ms", "end_ms", T.clean_text(F.col("text")).alias("text"))
+
+
+def bundle_versions(cues, tracks) -> dict[int, W.Version]:
+    """Version 0 held seconds, and called the label of a track its caption."""
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    old_cues = "track_id string, cue_id int, start double, end double, text string, source string, language string"
+    old_tracks = tracks.withColumnRenamed("label", "caption").schema
+    to_ms = lambda df: df.withColumn("start_ms", ms("start")).withColumn("end_ms", ms("end")).drop("start", "end")
+    return {0: W.Version({"cues": old_cues, "tracks": old_tracks.simpleString()}, {"cues": to_ms, "tracks": lambda df: df.withColumnRenamed("caption", "label")}),
+            1: W.Version({"cues": cues.schema.simpleString(), "tracks": tracks.schema.simpleString()})}
+
+
+@case("migrate_bundle", S.with_(S.CUES, TRACKS, then="""SELECT 'cue' AS kind, track_id AS id, cue_id AS n, start_ms, end_ms, text FROM cues
+UNION ALL SELECT 'track', CAST(id AS VARCHAR), NULL, NULL, NULL, label FROM tr"""))
+def _(spark, sf):
+    """Half of the rows from a backup of version 0, half of version 1, in the schema of version 1."""
+    from hushline.streaming.jobs import workspace
+
+    folder = workspace(spark, "bundle")
+    cues, tracks = C.document_cues(spark, sf), C.track_rows(spark, sf)
+    old = F.pmod(F.xxhash64("track_id"), F.lit(2)) == 0
+    seconds = cues.filter(old).select("track_id", "cue_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text", "source", "language")
+    some = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    W.export_bundle(folder, version=0, cues=seconds, tracks=tracks.filter(some).withColumnRenamed("label", "caption"))
+    W.export_bundle(folder, version=1, mode="append", cues=cues.filter(~old), tracks=tracks.filter(~some))
+    back = W.migrate_bundle(spark, folder, bundle_versions(cues, tracks))
+    none = F.lit(None).cast("bigint")
+    return back["cues"].select(F.lit("cue").alias("kind"), F.col("track_id").alias("id"), F.col("cue_id").alias("n"), "start_ms", "end_ms", "text").unionByName(
+        back["tracks"].select(F.lit("track").alias("kind"), F.col("id").cast("string").alias("id"), F.lit(None).cast("int").alias("n"), none.alias("start_ms"), none.alias("end_ms"), F.col("label").alias("text")))

@@ -57,3 +57,58 @@ def test_vtt_round_trip(spark):
 def test_vtt_offset(spark):
     f = spark.createDataFrame([("x", "WEBVTT\n\n00:10.000 --> 00:12.000\na\n\n00:01.000 --> 00:02.000\nb")], "path string, content string")
     assert [(r.start_ms, r.text) for r in I.format_cues(f, "vtt", offset_ms=5000).collect()] == [(5000, "a")]
+
+
+def test_named_files(spark, tmp_path):
+    """Names with slashes, dots, empty, null, very long; a long track; a second write adds files."""
+    from hushline.sources import vtt_files as V
+
+    ids = ["a/b", "..", "", None, "x" * 500, "50% off+tax", "Zoë", "plain"]
+    rows = [(k, i, 1000 * i, 1000 * i + 900, f"line {i}") for k in ids for i in (2, 0, 1)] + [("long", i, 1000 * i, 1000 * i + 900, "y" * 50) for i in range(20_000)] + [("plain", 9, None, 5, "no start")]
+    cues = spark.createDataFrame(rows, "track_id string, cue_id int, start_ms bigint, end_ms bigint, text string")
+    W.write_vtt(cues, str(tmp_path))
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+    assert sorted(p.name for p in tmp_path.glob("*/*.vtt")) == sorted(V.file_name(k) for k in [*ids, "long"])
+    files = V.read_vtt_files(spark, str(tmp_path))
+    back = {r.track_id: r.content for r in files.collect()}
+    assert back.keys() - {k for k in back if k and k.startswith("xx")} == {*ids, "long"} - {"x" * 500}
+    assert back["a/b"] == back[None] == back[".."] == "WEBVTT\n\n" + "".join(f"00:00:0{i}.000 --> 00:00:0{i}.900\nline {i}\n\n" for i in range(3))
+    assert back["long"].count("-->") == 20_000
+    W.write_vtt(cues.where("false"), str(tmp_path))
+    W.write_vtt(cues.where("track_id = 'plain'").withColumn("track_id", F.lit("more")), str(tmp_path))
+    assert V.read_vtt_files(spark, str(tmp_path)).count() == len(back) + 1
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    import pytest
+
+    cues = spark.createDataFrame([("a", 0, 0, 5, "x")], "track_id string, cue_id int, start_ms bigint, end_ms bigint, text string")
+    with pytest.raises(Exception, match="on purpose"):
+        W.write_vtt(cues.withColumn("text", F.raise_error(F.lit("on purpose")).cast("string")), str(tmp_path))
+    assert not list(tmp_path.glob("*/*.vtt"))
+
+
+def test_backup_versions(spark, tmp_path):
+    now = W.Version({"cues": "id int, start_ms bigint"})
+    versions = {0: W.Version({"cues": "id int, start double"}, {"cues": lambda df: df.select("id", (F.col("start") * 1000).cast("bigint").alias("start_ms"))}), 1: now}
+    folder = str(tmp_path / "bundle")
+    W.export_bundle(folder, version=0, cues=spark.createDataFrame([(1, 1.5), (2, None)], "id int, start double"))
+    W.export_bundle(folder, version=1, mode="append", cues=spark.createDataFrame([(3, 7)], "id int, start_ms bigint"))
+    W.export_bundle(folder, version=7, mode="append", cues=spark.createDataFrame([(4, 7)], "id int, start_ms bigint"))
+    back = W.migrate_bundle(spark, folder, versions)
+    assert sorted((r.id, r.start_ms) for r in back["cues"].collect()) == [(1, 1500), (2, None), (3, 7)]
+    for part in (tmp_path / "bundle").glob("*/*.json"):
+        part.write_text(part.read_text().replace('\\"id\\":3', '\\"id\\":9'))
+    for crc in (tmp_path / "bundle").glob("*/.*.crc"):
+        crc.unlink()
+    assert sorted(r.id for r in W.migrate_bundle(spark, folder, versions)["cues"].collect()) == [1, 2]
+    assert [r.record for r in W.damaged_records(spark, folder).collect()] == ['{"id":9,"start_ms":7}']
+
+
+def test_restore_detects_afresh(spark):
+    from hushline.operators import detect as D, lexicon as L
+
+    cues = spark.createDataFrame([("t", 0, 0, 900, "a brown fox", 9.0, True)], "track_id string, cue_id int, start_ms bigint, end_ms bigint, text string, score double, has_profanity boolean")
+    lex = L.build_lexicon(L.terms_df(spark, ["badger"]))
+    out = W.restore_cues(cues, lambda c: D.detect_matches(c, lex, use_context=False)).first()
+    assert (out.score, out.has_profanity, list(out.matches)) == (0.0, False, [])
