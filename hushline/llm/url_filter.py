@@ -6,7 +6,7 @@ over the words of host and path then scores the url.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no words, and gets the prior's verdict; an
 empty path fits no rule that asks for one; of several fitting rules the longest wins, of equally long ones the first in
-order; repeated rows each get their own result; other columns are ignored.
+order; repeated rows each get their own result; other columns are ignored; a host label longer than ``LONGEST_LABEL`` is one word.
 """
 
 from __future__ import annotations
@@ -22,6 +22,14 @@ from hushline.llm.common import ascii_lower, salted_join, stored
 
 MAX_WORD = 24
 RULE_BROADCAST = 100_000
+#: A longer label is one word (names of the DNS have at most 63 characters in a label).
+LONGEST_LABEL = 1000
+#: Cost of each letter of an unknown word, beside the cost of a word seen once.
+LETTER = 1.6
+#: Words of at most so many letters may lie in very many labels.
+SHORT_WORD, SALTS = 4, 16
+#: What a seed word says for its class.
+SEED_LOG_ODDS = 6.0
 
 # Words that mark unwanted sites, the weak labels of the registered query.
 SEEDS = ("adult", "porn", "sex", "xxx", "nude", "escort", "casino", "poker", "bet", "bets", "betting", "gambling", "jackpot", "lottery", "pills", "viagra",
@@ -80,42 +88,45 @@ def unigrams(texts: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def viterbi(label: str, cost: dict[str, float], unknown: float) -> list[str]:
-    """The cheapest split of ``label``; a letter outside known words costs ``unknown``, and such letters stay together."""
+def viterbi(label: str, cost: dict[str, float], unknown: float, letter: float = LETTER) -> list[str]:
+    """The cheapest split of ``label``; a run outside known words is one word, for ``unknown`` and ``letter`` for each of its letters.
+
+    Two unknown runs never meet, as one run of both is cheaper; of equally cheap splits the one with the later last word start stands.
+    """
     best, back = [0.0] + [math.inf] * len(label), [0] * (len(label) + 1)
+    run = 0  # where the cheapest unknown run that reaches the place at hand begins
     for end in range(1, len(label) + 1):
+        if best[end - 1] - letter * (end - 1) <= best[run] - letter * run:
+            run = end - 1
+        best[end], back[end] = best[run] + unknown + letter * (end - run), run
         for start in range(max(0, end - MAX_WORD), end):
-            word = label[start:end]
-            c = cost.get(word, unknown if end - start == 1 else math.inf)
-            if best[start] + c < best[end]:
+            c = cost.get(label[start:end])
+            if c is not None and best[start] + c <= best[end]:
                 best[end], back[end] = best[start] + c, start
-    out, end, loose = [], len(label), ""
+    out, end = [], len(label)
     while end:
-        start = back[end]
-        word = label[start:end]
-        if word in cost:
-            if loose:
-                out.append(loose)
-            out, loose = out + [word], ""
-        else:
-            loose = word + loose
-        end = start
-    return ([*out, loose] if loose else out)[::-1]
+        out.append(label[back[end]:end])
+        end = back[end]
+    return out[::-1]
 
 
 def segmented(labels: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """(label, words): every distinct label split by the Viterbi search.
 
     The dictionary is never broadcast: a label's substrings meet it in a join, so each label brings only the words that
-    it can use to its task.  ``total``: the count of all words.
+    it can use to its task.  Short substrings occur in many labels, so their words are repeated into ``SALTS`` parts.
+    ``total``: the count of all words.
     """
     starts = F.sequence(F.lit(1), F.length("label"))
     subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(MAX_WORD), F.length("label") - i + 1)),
                                                               lambda n: F.substr(F.col("label"), i, n))))
-    some = F.when(F.length("label") > 1, F.filter(F.array_distinct(subs), lambda s: F.length(s) > 1)).otherwise(F.array().cast("array<string>"))
-    met = labels.select("label", F.explode_outer(some).alias("word")).join(words, "word", "left")
+    some = F.when(F.length("label").between(2, LONGEST_LABEL), F.filter(F.array_distinct(subs), lambda s: F.length(s) > 1)).otherwise(F.array().cast("array<string>"))
+    short = F.length("word") <= SHORT_WORD
+    wanted = labels.select("label", F.explode_outer(some).alias("word")).withColumn("_part", F.when(short, F.pmod(F.xxhash64("label"), F.lit(SALTS))).otherwise(0))
+    parts = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    met = wanted.join(words.select("word", "n", F.explode(parts).alias("_part")), ["word", "_part"], "left")
     met = met.groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
-    unknown = math.log(max(total, 1)) + 8
+    unknown = math.log(max(total, 1))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -138,19 +149,20 @@ def url_tokens(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 # --- naive Bayes ---
 
-def train(tokens: DataFrame, labels: DataFrame, smooth: float = 0.5) -> tuple[DataFrame, float, float]:
+def train(tokens: DataFrame, labels: DataFrame, smooth: float = 1.0) -> tuple[DataFrame, float, float]:
     """From tokens (row, token, n) and labels (row, label 0/1): (token, weight), the weight of an unseen token, the prior's log odds.
 
-    Class totals are two numbers; the model itself stays a table.
+    Counts are smoothed by ``smooth`` tokens shared out as the classes share all tokens, so a rare token says little and an
+    unseen one nothing.  Class totals are two numbers; the model itself stays a table.
     """
     n1, n0 = "sum(CASE WHEN label = 1 THEN n ELSE 0 END)", "sum(CASE WHEN label = 0 THEN n ELSE 0 END)"
     counts = stored(tokens.join(labels, "row").groupBy("token").agg(F.expr(n1).alias("n1"), F.expr(n0).alias("n0")), "counts")
-    t = counts.agg(F.sum("n1"), F.sum("n0"), F.count(F.lit(1))).first()
-    all1, all0 = (t[0] or 0) + smooth * (t[2] + 1), (t[1] or 0) + smooth * (t[2] + 1)
+    t = counts.agg(F.sum("n1"), F.sum("n0")).first()
+    share1 = ((t[0] or 0) + 0.5) / ((t[0] or 0) + (t[1] or 0) + 1)
     d = labels.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     prior = math.log((d[0] + 1) / (d[1] - d[0] + 1))
-    weight = F.log((F.col("n1") + smooth) / all1) - F.log((F.col("n0") + smooth) / all0)
-    return counts.select("token", weight.alias("weight")), float(np.log(all0 / all1)), prior
+    weight = F.log((F.col("n1") + smooth * share1) / (F.col("n0") + smooth * (1 - share1))) - math.log(share1 / (1 - share1))
+    return counts.select("token", weight.alias("weight")), 0.0, prior
 
 
 def score(tokens: DataFrame, model: tuple[DataFrame, float, float]) -> DataFrame:
@@ -160,23 +172,45 @@ def score(tokens: DataFrame, model: tuple[DataFrame, float, float]) -> DataFrame
     return met.groupBy("row").agg((F.lit(prior) + F.sum(F.col("n") * F.coalesce("weight", F.lit(unseen)))).alias("log_odds"))
 
 
+def is_seed(seeds: tuple[str, ...]) -> Column:
+    return F.ltrim(F.col("token"), F.lit("/")).isin(*seeds) if seeds else F.lit(False)
+
+
 def seed_labels(tokens: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """Weak labels (row, label): 1 if any token is a seed word."""
-    return tokens.groupBy("row").agg(F.max(F.ltrim(F.col("token"), F.lit("/")).isin(*seeds).cast("int")).alias("label"))
+    return tokens.groupBy("row").agg(F.max(is_seed(seeds).cast("int")).alias("label"))
+
+
+def seeded_scores(tokens: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[DataFrame, float]:
+    """(row, log_odds), and the prior, of a model whose labels come from seed words and whose weights come from all other words.
+
+    What names a label takes no part in learning from it: the model is fitted to the words beside the seeds, so it can judge
+    urls without any seed.  A seed word itself counts ``SEED_LOG_ODDS``, once a url, which is given and not learned.
+    """
+    weights, unseen, prior = train(tokens.where(~is_seed(seeds)), seed_labels(tokens, seeds))
+    met = salted_join(tokens, weights, ["token"], F.col("row"))
+    learned = F.sum(F.when(~is_seed(seeds), F.col("n") * F.coalesce("weight", F.lit(unseen))).otherwise(0.0))
+    odds = F.lit(prior) + learned + F.max(is_seed(seeds).cast("int")) * SEED_LOG_ODDS
+    return met.groupBy("row").agg(odds.alias("log_odds")), prior
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame([(i, r, a) for i, (r, a) in enumerate(rules)], "ord int, rule string, action string")
 
 
-def judge(urls: DataFrame, rules: DataFrame, words: DataFrame, labels=seed_labels, id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, words: DataFrame, labels=None, id: str = "page_id", url: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """Per row page_id, url, host, path, rule (or null), log_odds and verdict: the rule's action, else block where the odds are above even.
 
-    ``words`` is a table of ``unigrams``; ``labels`` makes (row, label) from the tokens.
+    ``words`` is a table of ``unigrams``.  ``labels`` makes (row, label) from the tokens, for a model over all words; without
+    it labels come from ``seeds``, and the model learns from the words beside them.
     """
     rows = parsed(urls, id, url)
     tokens = stored(url_tokens(rows, words), "tokens")
-    model = train(tokens, labels(tokens))
-    out = rows.join(fitting_rules(rows, rules), "row", "left").join(score(tokens, model), "row", "left").drop("row")
-    odds = F.coalesce("log_odds", F.lit(model[2]))
+    if labels is None:
+        scores, prior = seeded_scores(tokens, seeds)
+    else:
+        model = train(tokens, labels(tokens))
+        scores, prior = score(tokens, model), model[2]
+    out = rows.join(fitting_rules(rows, rules), "row", "left").join(scores, "row", "left").drop("row")
+    odds = F.coalesce("log_odds", F.lit(prior))
     return out.withColumn("log_odds", odds).withColumn("verdict", F.coalesce("action", F.when(odds > 0, F.lit("block")).otherwise(F.lit("allow"))))

@@ -7,12 +7,14 @@ any other output, on every store that Spark reaches.
 
 The reader lets the text source cut files into byte ranges and split them at the gzip magic ``1F 8B 08``.  A task gets
 the candidate members that start in its range.  A candidate is a record's start if its header decodes and the content
-begins with ``WARC/``; bytes after a magic that occurs by chance inside a record belong to the member before.  Where such
-bytes lie beyond the end of a range, they and the open member are set aside and joined per file afterwards.
+begins with ``WARC/``, and the members from there on follow each other without a gap for more than a stored block (so that
+records inside a record's payload are not taken for the file's own); other bytes belong to the member before.  What lies
+before the first such chain of a range, and what is open at its end, is set aside and joined per file afterwards.
 
 Edge cases: a null payload is empty; a null url gives no target header; rows with a null id are always responses; of
 equal payloads every row with the largest id is a response (repeated rows); payloads shorter than ``min_bytes`` are
-never revisits; columns other than those named are not written.  File names must not end like a Hadoop codec's (``.gz``),
+never revisits; columns other than those named are not written; records with other ids than this writer's have a null
+``page_id`` and their id in ``record_id``.  File names must not end like a Hadoop codec's (``.gz``),
 or Hadoop would unpack the file before it is split.
 """
 
@@ -30,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hushline.llm.common import salted_join, shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
+#: The most bytes that a stored block of a gzip member holds.
+STORED_BLOCK = 65_535
 EMPTY_MEMBER = zlib.compress(b"", wbits=31)
-RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
+RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary, record_id string"
 _PARTS = "path string, block bigint, seq bigint, part binary"
 
 
@@ -109,22 +113,43 @@ class _Member:
         return parse(b"".join(self.out))
 
 
+#: Digests that are checked, where a record has one; others are passed over.
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
+
+
+def _matches(stated: str, payload: bytes) -> bool:
+    """Whether a digest header fits, in base32 or hexadecimal digits; one of an unknown algorithm always does."""
+    algorithm, _, value = stated.partition(":")
+    if algorithm.lower() not in DIGESTS:
+        return True
+    raw = hashlib.new(algorithm.lower(), payload).digest()
+    return value.upper().rstrip("=") in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+
+
 def parse(raw: bytes) -> tuple:
-    """The columns of RECORDS of a decoded record."""
+    """The columns of RECORDS of a decoded record.
+
+    Only a block of the type ``application/http`` has a header before its payload; of any other (warcinfo, metadata,
+    resource, conversion) the block is the payload.  ``payload_digest`` is the payload's SHA-1, or for a revisit what it states.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[:int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    length = fields.get("content-length", "")
+    block = rest[:int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
     number = lambda v: int(n) if (n := (v or "").removeprefix("<urn:x-page:").rstrip(">")).lstrip("-").isdigit() else None
-    kind = fields.get("warc-type")
+    kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "")
+    http, payload = b"", block
+    if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
     if kind == "revisit":
-        sizes = [line.split(b":")[1] for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")]
-        digest, size, payload = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(sizes[0]) if sizes else None, None
+        sizes = [v for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()]
+        digest, size, payload = stated.removeprefix("sha1:"), int(sizes[0]) if sizes else None, None
     else:
         digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-        if fields.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
+        if stated and not _matches(stated, payload):
             raise ValueError(f"payload of {fields.get('warc-record-id')} does not match its digest")
-    return number(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), digest, size, payload
+    id = fields.get("warc-record-id")
+    return number(id), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), digest, size, payload, id.strip("<>") if id else None
 
 
 _NAMES = [x.split()[0] for x in RECORDS.split(", ")]
@@ -138,34 +163,103 @@ def _frame(records: list[tuple], loose: list[tuple]) -> pd.DataFrame:
     both = pd.concat([full, rest]) if records and loose else full if records else rest
     for c in ("page_id", "refers_to", "payload_bytes", "block", "seq"):
         both[c] = both[c].astype("Int64")
-    return both.astype({c: object for c in ("url", "record_type", "payload_digest", "payload", "path", "part")})
+    return both.astype({c: object for c in ("url", "record_type", "payload_digest", "payload", "record_id", "path", "part")})
+
+
+class _Range:
+    """The parts of one range in file order: ``records`` that are surely whole, ``loose`` parts that only the file can place.
+
+    What looks like a record may lie inside another one, whose payload is an archive.  Such bytes stand in the file as
+    they are only within a stored block of the outer member, so at most 65,535 in a row; beyond these, members that follow
+    each other without a gap are the file's own.  Until then a chain of members is held back, and given up at the first
+    error or gap; then the search goes on behind its first part.
+    """
+
+    def __init__(self, path: str, block: int) -> None:
+        self.path, self.block, self.seq = path, block, 0
+        self.proven, self.member, self.open = False, None, []  # open: the parts of the member that is not complete yet
+        self.held, self.waiting = [], []  # parts and records of the chain while it is not proven
+        self.records, self.loose = [], []
+
+    def add(self, part: bytes) -> None:
+        self.seq += 1
+        if self.seq == 1 and not self.block:
+            # what lies before the first magic: nothing, and then the file's own first member follows
+            self.proven = True
+            if part:
+                self.loose.append((self.path, self.block, self.seq, part))
+            return
+        todo = [(self.path, self.block, self.seq, part)]
+        while todo:
+            row = todo.pop(0)
+            again = self._step(row)
+            todo = again + todo
+
+    def _step(self, row: tuple) -> list[tuple]:
+        """Take one part; returns the parts to take again when a chain was given up."""
+        part = row[3]
+        if self.member is None:
+            if part == EMPTY_MEMBER[3:] and (self.proven or self.held):
+                self.held += [] if self.proven else [row]
+                return []
+            if not _opens(part):
+                if self.held:
+                    return self._give_up([row])
+                self.loose.append(row)
+                return []
+            self.member, self.open = _Member(), []
+        self.open.append(row)
+        try:
+            done = self.member.feed(part)
+        except zlib.error:
+            if self.proven:
+                raise
+            return self._give_up([])
+        if not done:
+            return []
+        if self.proven:
+            self.records.append(self.member.record())
+            self.member, self.open = None, []
+            return []
+        if self.member.z.unused_data:
+            return self._give_up([])
+        self.waiting.append(self.member)
+        self.held += self.open
+        self.member, self.open = None, []
+        if sum(len(r[3]) + len(MAGIC) for r in self.held) > STORED_BLOCK:
+            self.proven = True
+            self.records += [m.record() for m in self.waiting]
+            self.held, self.waiting = [], []
+        return []
+
+    def _give_up(self, more: list[tuple]) -> list[tuple]:
+        rows = self.held + self.open + more
+        self.held, self.waiting, self.member, self.open = [], [], None, []
+        self.loose.append(rows[0])
+        return rows[1:]
+
+    def flush(self, last: bool) -> pd.DataFrame:
+        if last:
+            self.loose += self.held + self.open
+        out = _frame(self.records, self.loose)
+        self.records, self.loose = [], []
+        return out
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Parts of whole ranges, in file order, to records; what stays open at either end of a range is passed on."""
-    here, member, open_parts, seq = None, None, [], 0
+    here = None
     for b in batches:
-        records, loose = [], []
         for path, block, part in zip(b["path"], b["block"], b["value"], strict=True):
-            part = bytes(part)
-            if (path, block) != here:
-                loose += open_parts
-                here, member, open_parts, seq = (path, block), None, [], 0
-            seq += 1
-            if member is None and _opens(part):
-                member, open_parts = _Member(), []
-            if member is None:
-                # not a start: bytes of a member that the range before has open, but for nothing before the file's first magic and empty members
-                if part != EMPTY_MEMBER[3:] and (part or block or seq > 1):
-                    loose.append((path, block, seq, part))
-                continue
-            open_parts.append((path, block, seq, part))
-            if member.feed(part):
-                records.append(member.record())
-                member, open_parts = None, []
-        yield _frame(records, loose)
-    if open_parts:
-        yield _frame([], open_parts)
+            if here is None or (path, block) != (here.path, here.block):
+                if here is not None:
+                    yield here.flush(True)
+                here = _Range(path, block)
+            here.add(bytes(part))
+        if here is not None:
+            yield here.flush(False)
+    if here is not None:
+        yield here.flush(True)
 
 
 def _stitch(parts: pd.DataFrame) -> pd.DataFrame:
@@ -173,6 +267,8 @@ def _stitch(parts: pd.DataFrame) -> pd.DataFrame:
     member, records = None, []
     for part in map(bytes, parts.sort_values(["block", "seq"])["part"]):
         if member is None:
+            if part == EMPTY_MEMBER[3:]:
+                continue
             if not _opens(part):
                 raise ValueError(f"bytes outside of any record in {parts['path'].iloc[0]}")
             member = _Member()

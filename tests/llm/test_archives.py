@@ -67,3 +67,52 @@ def test_segmentation_and_bayes(spark):
     urls = [(i, f"http://cheappills{'now' if i % 2 else ''}.org/buy/{i}") for i in range(20)] + [(100 + i, f"http://gardentools.org/page/{i}") for i in range(20)] + [(900, "http://pillscheap.org/"), (901, "http://toolsgarden.org/")]
     judged = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), url_filter.rule_table(spark, URL_RULES), words).collect()
     assert {r.page_id for r in judged if r.verdict == "block"} == {*range(20), 900}
+
+
+def read_in_ranges(spark, folder, sizes):
+    """What ``read`` gives for each range size."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for size in sizes:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            yield size, sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in warc.read(spark, str(folder)).collect()), key=str)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def record(kind, body, content_type=None, digest=None, id="<urn:uuid:1>"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {id}", *([f"Content-Type: {content_type}"] if content_type else []),
+            *([f"WARC-Payload-Digest: {digest}"] if digest else []), f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_archives_inside_records(spark, tmp_path):
+    """Payloads that hold one or many gzipped records, stored or packed, longer and shorter than a stored block."""
+    import random
+
+    rng = random.Random(5)
+    inner = [zlib.compress(record("resource", rng.randbytes(n), id=f"<urn:in:{n}>"), k, wbits=31) for n, k in ((300, 6), (900, 0), (4000, 6), (70_000, 6))]
+    records = []
+    for i in range(16):
+        body = [inner[0], b"".join(inner[:3]), b"".join(inner[:3] * 30), b"".join(inner), b"x" * 90][i % 5]
+        records.append((record("resource", body, "application/warc", id=f"<urn:out:{i}>"), 0 if i % 2 else 6))
+    (tmp_path / "a.warc").write_bytes(b"".join(zlib.compress(r, k, wbits=31) for r, k in records))
+    want = sorted((warc.parse(r) for r, _ in records), key=str)
+    for size, got in read_in_ranges(spark, tmp_path, ("5003", "40000", "150000", "128m")):
+        assert got == want, size
+
+
+def test_other_kinds_of_records(spark, tmp_path):
+    import hashlib
+
+    text = b"first: part\r\n\r\nsecond part"
+    md5 = "md5:" + hashlib.md5(text).hexdigest()
+    kinds = [record("warcinfo", b"software: x\r\n", "application/warc-fields", id="<urn:uuid:a>"), record("resource", text, "text/plain", md5, id="<urn:uuid:b>"), record("metadata", text, "application/warc-fields"),
+             record("conversion", text, "text/plain", "blake9:zz"), record("response", b"HTTP/1.1 200 OK\r\n\r\nbody", "application/http; msgtype=response"), record("request", b"GET / HTTP/1.1\r\n\r\n", "application/http;msgtype=request"),
+             record("resource", b"")]
+    (tmp_path / "a.warc").write_bytes(b"".join(zlib.compress(r, wbits=31) for r in kinds))
+    for size, got in read_in_ranges(spark, tmp_path, ("200", "128m")):
+        assert sorted((r[2], r[6]) for r in got) == sorted([("warcinfo", b"software: x\r\n"), ("resource", text), ("metadata", text), ("conversion", text), ("response", b"body"), ("request", b""), ("resource", b"")]), size
+        assert {r[7] for r in got} == {"urn:uuid:a", "urn:uuid:b", "urn:uuid:1"} and {r[0] for r in got} == {None}
