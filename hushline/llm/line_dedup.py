@@ -140,16 +140,25 @@ def _shrunk(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 # --- lines and the index ---
 
+def stripped(line: Column) -> Column:
+    """The line without blanks at its ends; most lines have none, which their first and last characters tell."""
+    ends = F.substring(line, 1, 1).isin(list(BLANKS)) | F.substring(line, -1, 1).isin(list(BLANKS))
+    return F.when(ends, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def line_key(line: Column) -> Column:
-    return F.btrim(ascii_lower(line), F.lit(BLANKS))
+    """The key of a stripped line.  ``lower`` is much faster than a translation, and the same on texts of one byte a character."""
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(ascii_lower(line))
 
 
 def line_keys(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per indexed line: id, hash of the text, position (from 0), both halves of the key."""
     whole = text_of(docs, text)
-    rows = docs.select(docs[id].alias("doc_id"), F.xxhash64(whole).alias("text_hash"), F.posexplode(F.split(whole, "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return rows.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("k1"), F.xxhash64("key", F.lit(1)).alias("k2"))
+    # a text is hashed before its lines are taken apart, not again with each of them
+    rows = docs.select(docs[id].alias("doc_id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.select("doc_id", "text_hash", "pos", stripped(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
+    return rows.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("k1"), F.xxhash64("key", F.lit(1)).alias("k2"))
 
 
 @dataclass(frozen=True)
