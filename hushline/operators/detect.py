@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
-from hushline.operators import lexicon as L, ordered as O
+from hushline.operators import lexicon as L, ordered as O, skew
 
 MATCH_TYPE = "array<struct<word:string,start_idx:int,end_idx:int,type:string,confidence:double,term:string,context:string>>"
 MATCH_FIELDS = ["word", "start_idx", "end_idx", "type", "confidence", "term", "context"]
@@ -369,11 +369,11 @@ def _located(rows: DataFrame, kind: str) -> DataFrame:
         "context", _around(F.col("text"), F.col("start_idx"), F.col("end_idx")))
 
 
-def exact_matches(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tokens whose normalised form is in the lexicon, by hash join."""
+def exact_matches(cues: DataFrame, lexicon: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """Tokens whose normalised form is in the lexicon, by hash join; beyond ``most_broadcast`` terms frequent tokens are split."""
     terms = lexicon.filter("kind = 'word'").select(F.col("norm_term").alias("_norm"))
     rows = _token_rows(cues).withColumn("_norm", T.normalize_text(F.col("word")))
-    hits = rows.join(L.bounded_broadcast(terms), "_norm")
+    hits = skew.checked_join(rows, terms, ["_norm"], [*KEYS, "pos"], most_broadcast)
     return _located(hits, "exact").withColumn("confidence", F.lit(fv.EXACT_CONFIDENCE)).select(*KEYS, *MATCH_FIELDS)
 
 
@@ -452,8 +452,8 @@ def fuzzy_matches(cues: DataFrame, lexicon: DataFrame, threshold: float) -> Data
     rows = base.select(*KEYS, F.posexplode(T.words(F.col("text"))).alias("pos", "word")).withColumn("norm", T.normalize_text(F.col("word")))
     vocabulary = rows.select("norm").distinct().join(lexicon.select(F.col("norm_term").alias("norm")).distinct(), "norm", "left_anti")
     close = O.materialize(fuzzy_vocabulary(vocabulary, lexicon, threshold))
-    # frequent words are hot keys of this join; the close list is broadcast when it is small
-    hits = rows.join(L.bounded_broadcast(close), "norm").join(base, KEYS)
+    # frequent words are hot keys of this join; the close list is broadcast when it is small, else they are split
+    hits = skew.checked_join(rows, close, ["norm"], [*KEYS, "pos"]).join(base, KEYS)
     return _located(hits, "fuzzy").withColumn("confidence", F.col("fuzzy_confidence")).select(*KEYS, *MATCH_FIELDS)
 
 
@@ -535,10 +535,11 @@ def detect_by_joins(
     return score_columns(out, sensitivity)
 
 
-def phrase_matches_joined(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
+def phrase_matches_joined(cues: DataFrame, lexicon: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
     """Phrase places by a join on the canonical text of every run of pieces.
 
-    Used for phrase lists of any length; run lengths come from the list itself.
+    Used for phrase lists of any length; run lengths come from the list itself.  Beyond ``most_broadcast`` phrases,
+    frequent first pieces are split by their size.
     """
     phrases = lexicon.filter("kind = 'phrase'").select(T.trim_space(F.col("norm_term")).alias("_phrase"))
     raw_of = lambda c: F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
@@ -546,7 +547,8 @@ def phrase_matches_joined(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
     pieces = plain_of(raw_of(F.col("_phrase")))
     known = phrases.select(F.array_join(pieces, "").alias("_plain"), F.size(pieces).alias("_n"), pieces[0].alias("_first")).distinct()
     rows = cues.select(*KEYS, "text", F.posexplode_outer(plain_of(raw_of(F.col("text")))).alias("_i", "_first"))
-    cand = rows.filter(F.col("_i").isNotNull()).join(L.bounded_broadcast(known), "_first")
+    cand = rows.filter(F.col("_i").isNotNull())
+    cand = skew.checked_join(cand, known, ["_first"], [*KEYS, "_i"], most_broadcast)
     raw = raw_of(F.col("text"))
     cand = cand.filter(F.array_join(F.slice(plain_of(raw), F.col("_i") + 1, F.col("_n")), "") == F.col("_plain"))
     cand = cand.withColumn("word", F.array_join(F.slice(raw, F.col("_i") + 1, F.col("_n")), ""))

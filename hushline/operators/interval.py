@@ -10,7 +10,7 @@ exact condition is a residual filter.  No pair is produced twice.
 
 A node that is hot on the point side (many viewers of one scene) can be split
 further with ``salt``: points are spread over ``salt`` parts by a hash and
-intervals repeated into each of them.
+intervals repeated into each of them; with ``BY_SIZE``, only nodes that a sketch finds hot are split, each by its size.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
-from hushline.operators import ordered
+from hushline.operators import ordered, skew
+
+#: A ``salt`` that splits hot nodes alone.
+BY_SIZE = 0
 
 
 def interval_join(
@@ -40,7 +43,6 @@ def interval_join(
     ``left``, a point also gives one row without an interval for each level at
     which it lies in none.
     """
-    salt_of_point = F.pmod(F.xxhash64(*points.columns), F.lit(salt)) if salt > 1 else F.lit(0)
     filed = ordered.materialize(filed_intervals(intervals, start, end, bucket_ms))
     # without intervals a point still looks at level 0, so that a left join keeps it
     levels = sorted(r[0] for r in filed.select("_level").distinct().collect()) or [0]
@@ -50,6 +52,11 @@ def interval_join(
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)))
         filed = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         keys.append("_salt")
+    elif salt == BY_SIZE:
+        parts = skew.pieces(skew.heavy(left, keys), keys)
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), parts))
+        filed = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        keys.append("_salt")
     renamed = filed.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in intervals.columns if c not in on])
     cond = condition
     for k in keys:
@@ -202,19 +209,19 @@ def positions_to_cues(heartbeats: DataFrame, scored: DataFrame, position_key: li
     return active_cue(side, heartbeats, position_key, offset_ms, bucket_ms, extra=["has_profanity", "shown_text"])
 
 
-def asof_position(events: DataFrame, heartbeats: DataFrame, key: list[str] = ("session_id",), duration_ms: Column | None = None, chunk_seconds: int = 86_400) -> DataFrame:
+def asof_position(events: DataFrame, heartbeats: DataFrame, key: list[str] = ("session_id",), duration_ms: Column | None = None, chunk_seconds: int = 86_400, split_hot: bool = True) -> DataFrame:
     """Position at the time of each event: last heartbeat plus elapsed time times rate.
 
     As-of join by union and last non-null value; chunked by time so that one
-    busy session is not one task.  Paused or unknown sessions do not advance.
+    busy session is not one task, and with ``split_hot`` a busy day of a session is cut by its size.  Paused or unknown sessions do not advance.
     """
     key = list(key)
     state = F.struct(F.col("ts").alias("at"), "position_ms", "rate", "paused")
     beats = heartbeats.select(*key, "ts", F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("event_id"), state.alias("_state"))
     asks = events.select(*key, "ts", F.lit(1).alias("_side"), "event_id", F.lit(None).cast(beats.schema["_state"].dataType).alias("_state"))
-    line = ordered.last_value_before(
-        beats.unionByName(asks), key, [F.col("ts"), F.col("_side"), F.col("event_id")],
-        F.floor(F.unix_seconds("ts") / chunk_seconds), F.col("_state"), "_last")
+    both, at = beats.unionByName(asks), F.unix_micros("ts")
+    chunk = skew.finer_chunks(both, key, at, chunk_seconds * 1_000_000) if split_hot else F.floor(at / (chunk_seconds * 1_000_000))
+    line = ordered.last_value_before(both, key, [F.col("ts"), F.col("_side"), F.col("event_id")], chunk, F.col("_state"), "_last")
     elapsed = F.unix_millis("ts") - F.unix_millis("_last.at")
     moved = F.col("_last.position_ms") + F.when(F.col("_last.paused"), 0).otherwise(elapsed * F.col("_last.rate"))
     capped = F.least(moved, duration_ms) if duration_ms is not None else moved

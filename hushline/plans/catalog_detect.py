@@ -138,6 +138,12 @@ def _(spark, sf):
     return D.phrase_matches_joined(C.document_cues(spark, sf), C.corpus_lexicon(spark))
 
 
+@case("phrase_matches_split", S.with_(S.CUES, S.LEXICON, S.PHRASES, then=f"SELECT {M_COLS} FROM phrase_m"))
+def _(spark, sf):
+    """The way taken for phrase lists too large for a broadcast: frequent first pieces are split by their size."""
+    return D.phrase_matches_joined(C.document_cues(spark, sf), C.corpus_lexicon(spark), most_broadcast=0)
+
+
 @case("obfuscated_matches", S.with_(S.CUES, S.PATTERNS, then=f"SELECT {M_COLS} FROM regex_m"))
 def _(spark, sf):
     return D.obfuscated_matches(C.document_cues(spark, sf), L.obfuscation_patterns(spark, C.PATTERNS))

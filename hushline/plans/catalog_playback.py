@@ -39,6 +39,12 @@ def _(spark, sf):
     return I.active_cues(C.document_cues(spark, sf), positions(spark, sf), offset_ms=1500, salt=4).select("event_id", "cue_id")
 
 
+@case("active_cues_by_size", S.with_(S.CUES, S.HEARTBEATS, then=f"SELECT h.event_id, c.cue_id {ACTIVE}"))
+def _(spark, sf):
+    """Only hot nodes are split, as a sketch of the positions tells."""
+    return I.active_cues(C.document_cues(spark, sf), positions(spark, sf), salt=I.BY_SIZE).select("event_id", "cue_id")
+
+
 @case("active_cue", S.with_(S.CUES, S.HEARTBEATS, then=f"SELECT h.event_id, arg_max(c.cue_id, c.start_ms) AS cue_id, max(c.start_ms) AS cue_start_ms {ACTIVE} GROUP BY h.event_id"))
 def _(spark, sf):
     return I.active_cue(C.document_cues(spark, sf), positions(spark, sf), KEY).select("event_id", "cue_id", "cue_start_ms")
