@@ -1,9 +1,10 @@
 """Detection: lexicon and pattern matches in cues, overlap and context rules, scores.
 
-``detect_matches`` folds the lexicon into the plan as hash sets, whatever its
-size: a cue is judged inside its own row, with no shuffle and no join, in batch and
-on a stream.  ``detect_by_joins`` gives the same matches for lexicons that should
-stay tables: candidates are exploded and meet the lexicon in a hash join.
+``detect_matches`` hands lexicons of up to ``MOST_FOLDED`` words to the tasks as hash sets:
+a cue is judged inside its own row, with no shuffle and no join, in batch and on a
+stream.  A larger lexicon stays a table: the distinct words of each text meet it in a
+join, and a cue is then judged by the words found in it.  ``detect_by_joins`` gives the
+same matches by match tables.
 
 The operators below work on a match table with one row per match:
 ``track_id, cue_id, word, start_idx, end_idx, type, confidence, term, context``.
@@ -17,17 +18,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hushline.functions import fixed_values as fv, text as T
+from hushline.functions import fixed_values as fv, listed as H, text as T
+from hushline.functions.listed import MATCH_TYPE
 from hushline.operators import lexicon as L, ordered as O, skew
 
-MATCH_TYPE = "array<struct<word:string,start_idx:int,end_idx:int,type:string,confidence:double,term:string,context:string>>"
 MATCH_FIELDS = ["word", "start_idx", "end_idx", "type", "confidence", "term", "context"]
 KEYS = ["track_id", "cue_id"]
-_LETTERS = "A-Za-z'"
-_PIECE = rf"[{_LETTERS}]+|[{T.WS}\-]+|[^{_LETTERS}{T.WS}\-]"
-_GAP = rf"\A[{T.WS}\-]+\z"
 #: More rows than this in a rule table are an error; nothing is ever cut off.
 MOST_RULES = 1_000_000
+#: Words of a lexicon that the driver reads; a larger one is joined.
+MOST_FOLDED = 50_000
 
 
 def _nothing() -> Column:
@@ -38,18 +38,21 @@ def _nothing() -> Column:
 class Rules:
     """Rule tables of one run, read once on the driver; all are small by nature."""
 
-    words: list[str] = field(default_factory=list)
+    words: list[str] | None = field(default_factory=list)  # None: too many, they stay a table
     phrases: list[str] = field(default_factory=list)
     patterns: list[tuple[str, str, str | None]] = field(default_factory=list)
     exempt: list[str] = field(default_factory=list)
     context: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
 
-def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = None, rules: DataFrame | None = None, exempt: DataFrame | None = None) -> Rules:
-    """Rule tables as plan-time literals."""
+def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = None, rules: DataFrame | None = None, exempt: DataFrame | None = None, most: int | None = None) -> Rules:
+    """Rule tables read by the driver; of a lexicon with more than ``most`` rows the phrases alone."""
     out = Rules()
     if lexicon is not None:
-        for r in sorted(L.all_rows(lexicon.select("ord", "norm_term", "kind"), MOST_RULES)):
+        listed = L.rows_up_to(lexicon.select("ord", "norm_term", "kind"), MOST_FOLDED if most is None else most)
+        if listed is None:
+            out.words, listed = None, L.all_rows(lexicon.filter("kind = 'phrase'").select("ord", "norm_term", "kind"), MOST_RULES)
+        for r in sorted(listed):
             (out.phrases if r.kind == "phrase" else out.words).append(r.norm_term)
     by_ord = lambda df: sorted(L.all_rows(df, MOST_RULES), key=lambda r: r.ord)
     if patterns is not None:
@@ -95,118 +98,20 @@ def _match(text, word, start, end, kind: str, confidence: float, term) -> Column
         F.lit(confidence).alias("confidence"), term.alias("term"), _around(text, start, end).alias("context"))
 
 
-def _sql_set(words: list[str]) -> str:
-    """Words as a list in SQL text: parsed at once, where building a literal for each would take most of a run's time."""
-    return "(" + ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words) + ")"
+def _words_of(lexicon: DataFrame) -> DataFrame:
+    return lexicon.filter("kind = 'word'").select(F.col("norm_term").alias("_norm"))
 
 
-def word_steps(text: Column, words: list[str]) -> list[tuple[str, Column]]:
-    """Tokens whose normalised form is listed, in column ``_w``.
+def _meeting(cues: DataFrame, table: DataFrame, value: Column, name: str, parts: Column | None = None) -> DataFrame:
+    """Cues with ``value`` of all rows of ``table(_norm, ...)`` whose word is in the text, as an array; null for none.
 
-    Both tests look tokens up in a hash set.  The first is made on the normalised text as a whole and settles almost all
-    cues; offsets are worked out only in cues that pass it.  Tokens hold no look-alike characters but digits.  Two
-    characters change their number or kind in lower case; texts with them take the long way.
+    Only distinct words of distinct texts are shuffled, under a hash of the text.  Should two hashes be equal, both texts get
+    the rows of both, of which only those of their own words count.
     """
-    if not words:
-        return [("_w", _nothing())]
-    digits = "".join(c for c in fv.LOOKALIKE_FROM if c.isdigit())
-    letters = "".join(t for c, t in zip(fv.LOOKALIKE_FROM, fv.LOOKALIKE_TO) if c.isdigit())
-    low, listed = F.lower(text), _sql_set(words)
-    plain = F.when(text.rlike(f"[{digits}]"), F.translate(low, digits, letters)).otherwise(low)
-
-    def locate(z):
-        steps = F.arrays_zip(F.slice(z["g"], F.lit(1), F.size(z["w"])).alias("g"), z["w"].alias("w"), z["h"].alias("h"))
-
-        def walk(acc, s):
-            at = acc["at"] + F.length(s["g"])
-            end = at + F.length(s["w"])
-            grown = F.concat(acc["out"], F.array(F.struct(s["w"].alias("word"), at.alias("start_idx"), end.alias("end_idx"))))
-            return F.struct(end.alias("at"), F.when(s["h"], grown).otherwise(acc["out"]).alias("out"))
-
-        hits = F.aggregate(
-            steps, F.struct(F.lit(0).alias("at"), F.array().cast(T.SPAN_TYPE).alias("out")), walk, lambda acc: acc["out"])
-        return F.transform(hits, lambda s: _match(
-            text, s["word"], s["start_idx"], s["end_idx"], "exact", fv.EXACT_CONFIDENCE, F.lower(s["word"])))
-
-    found = T.let(F.struct(T.words(text).alias("w"), F.split(text, T.TOKEN, -1).alias("g"), F.col("_hit").alias("h")), locate)
-    return [
-        ("_low", T.words(plain)),
-        ("_any", F.expr(f"exists(_low, w -> w IN {listed})") | text.rlike(f"[{chr(0x130)}{chr(0x212A)}]")),
-        ("_norm", F.when(F.col("_any"), F.transform(T.words(text), T.normalize_text))),
-        ("_hit", F.expr(f"transform(_norm, w -> w IN {listed})")),
-        ("_w", F.when(F.col("_any"), found).otherwise(_nothing())),
-    ]
-
-
-def _phrase_pieces(phrase: str) -> tuple[str, int, str, str]:
-    """Canonical text of a phrase, its number of pieces, first and last piece."""
-    import re
-
-    pieces = [" " if re.fullmatch(rf"[{T.WS}\-]+", p) else p for p in re.findall(_PIECE, phrase)]
-    return "".join(pieces), len(pieces), pieces[0], pieces[-1]
-
-
-def phrase_steps(text: Column, phrases: list[str]) -> list[tuple[str, Column]]:
-    """All places of listed phrases in column ``_p``, whatever their number.
-
-    The text is cut into letter runs, gaps and single other characters; a run of
-    pieces is looked up in a hash set, so the cost does not grow with the list.
-    Only texts that hold some phrase's first piece are cut.
-    The pieces are columns of their own, so that they are cut only once.
-    """
-    if not phrases:
-        return [("_p", _nothing())]
-    known = [_phrase_pieces(p.strip()) for p in phrases]
-    raw, plain = F.col("_raw"), F.col("_plain")
-    firsts = sorted({k[2] for k in known})
-    low, runs = F.lower(text), [f for f in firsts if _is_letter(f[0])]
-    # a letter run is whole between other characters, so tokens of letters show it; other first pieces are one character
-    any_of = F.exists(F.regexp_extract_all(low, F.lit(f"[{_LETTERS}]+"), F.lit(0)), lambda w: w.isin(runs)) if runs else F.lit(False)
-    for f in firsts:
-        if not _is_letter(f[0]):
-            any_of = any_of | low.contains(f)
-    pieces = F.when(any_of, F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = []
-    for size in sorted({k[1] for k in known}):
-        of_size = [k for k in known if k[1] == size]
-        found.append(_places(text, raw, plain, size, [k[0] for k in of_size], sorted({k[2] for k in of_size})))
-    all_found = F.concat(*found)
-    if any(not (_is_letter(k[2][0]) and _is_letter(k[3][-1])) for k in known):
-        all_found = F.filter(all_found, lambda m: _touches_no_letter(text, m["word"], m["start_idx"], m["end_idx"]))
-    return [
-        ("_raw", pieces),
-        ("_plain", F.transform("_raw", lambda p: F.when(p.rlike(_GAP), " ").otherwise(F.lower(p)))),
-        ("_p", all_found),
-    ]
-
-
-def _places(text: Column, raw: Column, plain: Column, size: int, known: list[str], firsts: list[str]) -> Column:
-    """Matches of all phrases that consist of ``size`` pieces."""
-
-    def is_phrase(i):
-        return F.element_at(plain, i).isin(firsts) & F.array_join(F.slice(plain, i, size), "").isin(known)
-
-    def as_match(i):
-        start = F.length(F.array_join(F.slice(raw, F.lit(1), i - 1), ""))
-        word = F.array_join(F.slice(raw, i, size), "")
-        return _match(text, word, start, start + F.length(word), "exact", fv.EXACT_CONFIDENCE,
-                      F.array_join(F.slice(plain, i, size), ""))
-
-    places = F.filter(F.sequence(F.lit(1), F.size(raw) - size + 1), is_phrase)
-    return F.when(F.size(raw) >= size, F.transform(places, as_match)).otherwise(_nothing())
-
-
-def _is_letter(ch: str) -> bool:
-    return ch == "'" or (ch.isascii() and ch.isalpha())
-
-
-def _touches_no_letter(text: Column, word: Column, start: Column, end: Column) -> Column:
-    """A phrase that begins or ends with another character must not touch a letter."""
-    letter = rf"\A[{_LETTERS}]\z"
-    before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
-    after = F.substring(text, end + 1, F.lit(1))
-    return ~(before.rlike(letter) & ~F.substring(word, 1, 1).rlike(letter)) & ~(
-        after.rlike(letter) & ~F.substring(word, -1, 1).rlike(letter))
+    texts = cues.select("text").filter("text is not null").distinct()
+    rows = texts.select(F.xxhash64("text").alias("_text"), F.explode(H.norms(F.col("text")) if parts is None else parts).alias("_norm"))
+    met = skew.split_join(rows, table, ["_norm"], spread=["_text"]).groupBy("_text").agg(F.collect_list(value).alias(name))
+    return skew.split_join(cues.withColumn("_text", F.xxhash64("text")), met, ["_text"], "left").drop("_text")
 
 
 def pattern_steps(text: Column, patterns: list[tuple[str, str, str | None]]) -> list[tuple[str, Column]]:
@@ -296,10 +201,9 @@ def _exempt_condition(exempt: list[str]):
     return lambda m: T.normalize_text(m["term"]).isin(exempt)
 
 
-def detect_columns(text: Column, rules: Rules, sensitivity: str, use_context: bool, fuzzy: Column | None = None) -> list[tuple[str, Column]]:
-    """Steps of detection as named columns; each step reads the ones before it."""
-    tokens = F.col("_w") if fuzzy is None else F.concat("_w", F.coalesce(fuzzy, _nothing()))
-    steps = phrase_steps(text, rules.phrases) + pattern_steps(text, rules.patterns) + word_steps(text, rules.words) + [("_t", tokens)]
+def detect_columns(text: Column, rules: Rules, sensitivity: str, use_context: bool, listed: Column) -> list[tuple[str, Column]]:
+    """Steps of detection as named columns; each step reads the ones before it.  ``listed`` holds the matches of words and phrases."""
+    steps = [("_listed", listed)] + pattern_steps(text, rules.patterns) + [("_t", F.col("_listed.t")), ("_p", F.col("_listed.p"))]
     dropped = []
     if sensitivity == "low" and rules.exempt:
         dropped.append(_exempt_condition(rules.exempt))
@@ -325,12 +229,16 @@ def detect_matches(
     fuzzy_threshold: float | None = None,
 ) -> DataFrame:
     """Cues with ``matches ARRAY<STRUCT>``, ``score`` and ``has_profanity``."""
-    found = read_rules(lexicon, patterns, rules, exempt)
-    out, fuzzy = cues, None
+    # a stream cannot be grouped by its texts
+    found = read_rules(lexicon, patterns, rules, exempt, MOST_RULES if cues.isStreaming else MOST_FOLDED)
+    out, own = cues, {}
+    if found.words is None:
+        out, own["found"] = _meeting(out, _words_of(lexicon), F.col("_norm"), "_found"), F.col("_found")
     if fuzzy_threshold is not None:
-        out = _with_fuzzy(cues, lexicon, found.words, fuzzy_threshold)
-        fuzzy = F.col("_fuzzy")
-    out = _with_steps(out, detect_columns(F.col("text"), found, sensitivity, use_context, fuzzy))
+        out, near = _with_close(out, close_words(cues, lexicon, fuzzy_threshold))
+        own |= near
+    listed = H.hits(F.col("text"), found.words or [], found.phrases, **own)
+    out = _with_steps(out, detect_columns(F.col("text"), found, sensitivity, use_context, listed))
     return score_columns(_settled(out.select(*cues.columns, "matches"), "matches"), sensitivity)
 
 
@@ -354,33 +262,19 @@ def tokens(cues: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "pos", "t.word", "t.start_idx", "t.end_idx")
 
 
-def _token_rows(cues: DataFrame) -> DataFrame:
-    """Tokens without offsets: position and words only, cheap to explode and to join."""
-    return cues.select(*KEYS, "text", F.posexplode_outer(T.words(F.col("text"))).alias("pos", "word")).filter(
-        F.col("pos").isNotNull())
-
-
-def _located(rows: DataFrame, kind: str) -> DataFrame:
-    """Give hits (text, pos, word) their offsets; only rows that matched get here."""
-    before = F.length(F.array_join(F.slice(F.split("text", T.TOKEN, -1), F.lit(1), F.col("pos") + 1), "")) + F.length(
-        F.array_join(F.slice(T.words(F.col("text")), F.lit(1), F.col("pos")), ""))
-    rows = rows.withColumn("start_idx", before).withColumn("end_idx", F.col("start_idx") + F.length("word"))
-    return rows.withColumn("type", F.lit(kind)).withColumn("term", F.lower("word")).withColumn(
-        "context", _around(F.col("text"), F.col("start_idx"), F.col("end_idx")))
-
-
-def exact_matches(cues: DataFrame, lexicon: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
-    """Tokens whose normalised form is in the lexicon, by hash join; beyond ``most_broadcast`` terms frequent tokens are split."""
-    terms = lexicon.filter("kind = 'word'").select(F.col("norm_term").alias("_norm"))
-    rows = _token_rows(cues).withColumn("_norm", T.normalize_text(F.col("word")))
-    hits = skew.checked_join(rows, terms, ["_norm"], [*KEYS, "pos"], most_broadcast)
-    return _located(hits, "exact").withColumn("confidence", F.lit(fv.EXACT_CONFIDENCE)).select(*KEYS, *MATCH_FIELDS)
+def exact_matches(cues: DataFrame, lexicon: DataFrame, most_broadcast: int = MOST_FOLDED) -> DataFrame:
+    """Tokens whose normalised form is in the lexicon; beyond ``most_broadcast`` terms texts meet it in a join, frequent words split."""
+    slim, words = cues.select(*KEYS, "text"), L.rows_up_to(_words_of(lexicon), most_broadcast)
+    if words is None:
+        slim = _meeting(slim, _words_of(lexicon), F.col("_norm"), "_found")
+        return _explode_matches(slim, H.hits(F.col("text"), found=F.col("_found"))["t"])
+    return _explode_matches(slim, H.hits(F.col("text"), [r[0] for r in words])["t"])
 
 
 def phrase_matches(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every place of every listed phrase; overlaps are left to ``drop_overlaps``."""
-    found = read_rules(lexicon.filter("kind = 'phrase'"))
-    return _explode_matches(_with_steps(cues, phrase_steps(F.col("text"), found.phrases)), F.col("_p"))
+    found = read_rules(lexicon.filter("kind = 'phrase'"), most=MOST_RULES)
+    return _explode_matches(cues.select(*KEYS, "text"), H.hits(F.col("text"), phrases=found.phrases)["p"])
 
 
 def obfuscated_matches(cues: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -442,26 +336,28 @@ def fuzzy_vocabulary(vocabulary: DataFrame, lexicon: DataFrame, threshold: float
                        (100.0 - F.col("_b._d") / F.col("_b.max_len") * 100.0).alias("fuzzy_confidence"))
 
 
+def close_words(cues: DataFrame, lexicon: DataFrame, threshold: float) -> DataFrame:
+    """Stored (_norm, confidence) of the words in the cues that are not in the lexicon, but close to an entry."""
+    vocabulary = cues.select(F.explode(H.norms(F.col("text"))).alias("norm")).distinct()
+    vocabulary = vocabulary.join(lexicon.select(F.col("norm_term").alias("norm")).distinct(), "norm", "left_anti")
+    return O.materialize(fuzzy_vocabulary(vocabulary, lexicon, threshold).select(F.col("norm").alias("_norm"), F.col("fuzzy_confidence").alias("confidence")))
+
+
+def _with_close(cues: DataFrame, close: DataFrame) -> tuple[DataFrame, dict]:
+    """The cues, and close words as an argument for ``listed.hits``: for all rows, or, if there are many, as a column of the cues."""
+    rows = L.rows_up_to(close, MOST_FOLDED)
+    if rows is not None:
+        return cues, {"near": {r[0]: r[1] for r in rows}}
+    return _meeting(cues, close, F.struct("_norm", "confidence"), "_close"), {"close": F.map_from_entries("_close")}
+
+
 def fuzzy_matches(cues: DataFrame, lexicon: DataFrame, threshold: float) -> DataFrame:
     """Tokens without an exact hit that are close to a lexicon entry.
 
-    The cues are read once and stored.  Token rows carry no text; it is joined
-    back to the hits alone.
+    The cues are read for their distinct words, which are judged once each, and again for the places of the close ones.
     """
-    base = O.materialize(cues.select(*KEYS, "text"))
-    rows = base.select(*KEYS, F.posexplode(T.words(F.col("text"))).alias("pos", "word")).withColumn("norm", T.normalize_text(F.col("word")))
-    vocabulary = rows.select("norm").distinct().join(lexicon.select(F.col("norm_term").alias("norm")).distinct(), "norm", "left_anti")
-    close = O.materialize(fuzzy_vocabulary(vocabulary, lexicon, threshold))
-    # frequent words are hot keys of this join; the close list is broadcast when it is small, else they are split
-    hits = skew.checked_join(rows, close, ["norm"], [*KEYS, "pos"]).join(base, KEYS)
-    return _located(hits, "fuzzy").withColumn("confidence", F.col("fuzzy_confidence")).select(*KEYS, *MATCH_FIELDS)
-
-
-def _with_fuzzy(cues: DataFrame, lexicon: DataFrame, words: list[str], threshold: float) -> DataFrame:
-    """Cues with an array of fuzzy matches."""
-    rows = fuzzy_matches(cues, lexicon, threshold)
-    per_cue = rows.groupBy(*KEYS).agg(F.collect_list(F.struct(*MATCH_FIELDS)).alias("_fuzzy"))
-    return cues.join(per_cue, KEYS, "left")
+    slim, near = _with_close(cues.select(*KEYS, "text"), close_words(cues, lexicon, threshold))
+    return _explode_matches(slim, H.hits(F.col("text"), **near)["t"])
 
 
 def drop_overlaps(matches: DataFrame) -> DataFrame:
@@ -535,26 +431,23 @@ def detect_by_joins(
     return score_columns(out, sensitivity)
 
 
-def phrase_matches_joined(cues: DataFrame, lexicon: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
-    """Phrase places by a join on the canonical text of every run of pieces.
+def phrase_matches_joined(cues: DataFrame, lexicon: DataFrame, most_broadcast: int = MOST_FOLDED) -> DataFrame:
+    """Phrase places for lists of any length: beyond ``most_broadcast`` phrases, runs of pieces meet the list in a join.
 
-    Used for phrase lists of any length; run lengths come from the list itself.  Beyond ``most_broadcast`` phrases,
-    frequent first pieces are split by their size.
+    Of each distinct text only its distinct runs are shuffled, those that begin as a phrase does if the first pieces are few
+    enough to be handed to the tasks; frequent runs are split by their size.
     """
-    phrases = lexicon.filter("kind = 'phrase'").select(T.trim_space(F.col("norm_term")).alias("_phrase"))
-    raw_of = lambda c: F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
-    plain_of = lambda a: F.transform(a, lambda p: F.when(p.rlike(_GAP), " ").otherwise(F.lower(p)))
-    pieces = plain_of(raw_of(F.col("_phrase")))
-    known = phrases.select(F.array_join(pieces, "").alias("_plain"), F.size(pieces).alias("_n"), pieces[0].alias("_first")).distinct()
-    rows = cues.select(*KEYS, "text", F.posexplode_outer(plain_of(raw_of(F.col("text")))).alias("_i", "_first"))
-    cand = rows.filter(F.col("_i").isNotNull())
-    cand = skew.checked_join(cand, known, ["_first"], [*KEYS, "_i"], most_broadcast)
-    raw = raw_of(F.col("text"))
-    cand = cand.filter(F.array_join(F.slice(plain_of(raw), F.col("_i") + 1, F.col("_n")), "") == F.col("_plain"))
-    cand = cand.withColumn("word", F.array_join(F.slice(raw, F.col("_i") + 1, F.col("_n")), ""))
-    cand = cand.withColumn("start_idx", F.length(F.array_join(F.slice(raw, F.lit(1), F.col("_i")), "")))
-    cand = cand.withColumn("end_idx", F.col("start_idx") + F.length("word"))
-    cand = cand.filter(_touches_no_letter(F.col("text"), F.col("word"), F.col("start_idx"), F.col("end_idx")))
-    return cand.select(*KEYS, "word", "start_idx", "end_idx", F.lit("exact").alias("type"),
-                       F.lit(fv.EXACT_CONFIDENCE).alias("confidence"), F.col("_plain").alias("term"),
-                       _around(F.col("text"), F.col("start_idx"), F.col("end_idx")).alias("context"))
+    slim = cues.select(*KEYS, "text")
+    terms = lexicon.filter("kind = 'phrase'").select("norm_term")
+    listed = L.rows_up_to(terms, most_broadcast)
+    if listed is not None:
+        return _explode_matches(slim, H.hits(F.col("text"), phrases=[r[0] for r in listed])["p"])
+    known = O.materialize(terms.select(H.phrase_keys(F.col("norm_term")).alias("_k")).select(F.col("_k.key").alias("_norm"), "_k.first", "_k.n").distinct())
+    sizes = [r[0] for r in L.all_rows(known.select("n").distinct(), MOST_FOLDED)]
+    rows, firsts = L.rows_up_to(known.select("first", "n").distinct(), MOST_FOLDED), None
+    if rows is not None:
+        firsts = {}
+        for r in rows:
+            firsts.setdefault(r[0], []).append(r[1])
+    met = _meeting(slim, known.select("_norm"), F.col("_norm"), "_said", H.runs(F.col("text"), sizes, firsts))
+    return _explode_matches(met.filter("_said is not null"), H.hits(F.col("text"), said=F.col("_said"))["p"])

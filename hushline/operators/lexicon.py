@@ -9,12 +9,18 @@ from hushline.functions import fixed_values as fv, text as T
 
 def all_rows(df: DataFrame, most: int) -> list:
     """All rows of a small table on the driver; an error, never a cut, if it has more than ``most``."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
+    rows = rows_up_to(df, most)
+    if rows is None:
         raise ValueError(f"a table of at most {most} rows was expected")
     return rows
 
 
+def rows_up_to(df: DataFrame, most: int) -> list | None:
+    """All rows of a table, or nothing if it has more than ``most``; reads no more than that."""
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
 def fits(df: DataFrame, limit: int) -> bool:
     """Whether a table has at most ``limit`` rows; reads no more than that."""
     return df.limit(limit + 1).count() <= limit
