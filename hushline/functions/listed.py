@@ -1,4 +1,4 @@
-"""Listed words and phrases in texts, found in one walk over each text's tokens and pieces.
+"""Listed words, phrases and filler patterns in texts, found in one walk over each text's tokens and pieces.
 
 Spark has no expression that gives matches with their offsets; built-in ones cut and fold a text several times for them.  Here an
 Arrow function walks each text once.  Tokens hold ASCII characters only, so lower case and look-alikes are those of ``text.normalize_text``.
@@ -17,6 +17,7 @@ from hushline.functions import fixed_values as fv, text as T
 MATCH_TYPE = "array<struct<word:string,start_idx:int,end_idx:int,type:string,confidence:double,term:string,context:string>>"
 LETTERS = "A-Za-z'"
 PIECE = rf"[{LETTERS}]+|[{T.WS}\-]+|[^{LETTERS}{T.WS}\-]"
+FILLERS = "_-.*@#$&%!?"
 #: Remembered forms of tokens in a worker; it starts anew when it holds more.
 MOST_KNOWN = 300_000
 
@@ -69,15 +70,33 @@ def runs(text: Column, sizes: list[int], firsts: dict[str, list[int]] | None = N
     return F.arrow_udf(run, "array<string>")(text)
 
 
-def hits(text: Column, words: list[str] = (), phrases: list[str] = (), near: dict[str, float] | None = None, found: Column | None = None, close: Column | None = None, said: Column | None = None) -> Column:
-    """struct<t, p>: matches of tokens and of phrases, in the order of the text.
+def scanned(term: str, pattern: str, letters: str | None) -> tuple | None:
+    """(term, letters, expression over lower-case text) of a pattern of letters with filler, or nothing for any other pattern.
 
-    ``words``, ``near`` (norm to confidence) and ``phrases`` hold for all rows, ``found`` (array of norms), ``close`` (map) and
+    Only patterns whose meaning is the same here and in the JVM are taken: they begin with a plain character on a word boundary and use no
+    other escapes of letters or digits, no intersections, negations, look-around or possessive parts.  The first character leads, so that
+    the search can leap to it.
+    """
+    w = T.WORD_CHARS
+    if not letters or not pattern.isascii() or not re.match(r"\\b[A-Za-z0-9](?![?*+{])", pattern) or re.search(r"\\[A-Zac-z0-9]|&&|\[[\^\[\]]|\(\?|[+*?}]\+|#.*\n", pattern):
+        return None
+    low = pattern[2:].lower()
+    tail = rf"(?![{w}])" if re.search(r"[a-z0-9]\\b\Z", low) else None
+    body = T.ascii_pattern(low[1:-2], True) + tail if tail else T.ascii_pattern(low[1:], True)
+    return term, letters.lower(), rf"{low[0]}(?<![{w}]{low[0]}){body}"
+
+
+def hits(text: Column, words: list[str] = (), phrases: list[str] = (), near: dict[str, float] | None = None, found: Column | None = None, close: Column | None = None, said: Column | None = None,
+         patterns: list[tuple] = ()) -> Column:
+    """struct<t, p, r>: matches of tokens, phrases and patterns.
+
+    ``patterns`` are those that ``scanned`` takes.  ``words``, ``near`` (norm to confidence) and ``phrases`` hold for all rows, ``found`` (array of norms), ``close`` (map) and
     ``said`` (array of phrase keys) for their own row.
     """
     token, piece, gap = T.TOKEN, PIECE, re.compile(rf"[{T.WS}\-]")
     looks, around = str.maketrans(fv.LOOKALIKE_FROM, fv.LOOKALIKE_TO), fv.CONTEXT_CHARS
-    sure_at, most = fv.EXACT_CONFIDENCE, MOST_KNOWN
+    sure_at, filled_at, most = fv.EXACT_CONFIDENCE, fv.PATTERN_CONFIDENCE, MOST_KNOWN
+    no_fillers, ascii_low = str.maketrans("", "", FILLERS), {c: c + 32 for c in range(65, 91)}
     letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'")
     listed, nearby = frozenset(words), dict(near or {})
     split = phrase_pieces
@@ -136,7 +155,19 @@ def hits(text: Column, words: list[str] = (), phrases: list[str] = (), near: dic
                         continue
                     out.append((t[a:b], a, b, "exact", sure_at, term, t[max(0, a - around):b + around]))
 
-        ends, rows = ([0], [0]), ([], [])
+        scans = [(s[0], s[1], re.compile(s[2]).finditer) for s in patterns]
+
+        def filled(t, out):
+            bare = t.translate(no_fillers).lower()
+            some = [s for s in scans if s[1] in bare]
+            if some:
+                low = t.lower() if t.isascii() else t.translate(ascii_low)
+                for term, _, walk in some:
+                    for m in walk(low):
+                        a, b = m.span()
+                        out.append((t[a:b], a, b, "regex", filled_at, term, t[max(0, a - around):b + around]))
+
+        ends, rows = ([0], [0], [0]), ([], [], [])
         for t, mine, far, told in zip(text.to_pylist(), found.to_pylist(), close.to_pylist(), said.to_pylist(), strict=True):
             if t:
                 keys, sizes = index((w, int(n), cut(w)[0], None) for n, w in (k.split(":", 1) for k in told)) if told else all_said
@@ -145,16 +176,18 @@ def hits(text: Column, words: list[str] = (), phrases: list[str] = (), near: dic
                     tokens(t, rows[0], own, far)
                 if sizes:
                     places(t, rows[1], keys, sizes)
-            for k in (0, 1):
+                if scans:
+                    filled(t, rows[2])
+            for k in range(3):
                 ends[k].append(len(rows[k]))
         types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()]
         names = ["word", "start_idx", "end_idx", "type", "confidence", "term", "context"]
         made = []
-        for k in (0, 1):
+        for k in range(3):
             columns = zip(*rows[k], strict=True) if rows[k] else [[]] * len(types)
             made.append(pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), pa.StructArray.from_arrays([pa.array(c, d) for c, d in zip(columns, types, strict=True)], names)))
-        return pa.StructArray.from_arrays(made, ["t", "p"])
+        return pa.StructArray.from_arrays(made, ["t", "p", "r"])
 
     none = lambda c, kind: F.lit(None).cast(kind) if c is None else c
-    return F.arrow_udf(run, f"struct<t:{MATCH_TYPE},p:{MATCH_TYPE}>")(
+    return F.arrow_udf(run, f"struct<t:{MATCH_TYPE},p:{MATCH_TYPE},r:{MATCH_TYPE}>")(
         text, none(found, "array<string>"), none(close, "map<string,double>"), none(said, "array<string>"))

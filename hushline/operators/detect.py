@@ -40,7 +40,8 @@ class Rules:
 
     words: list[str] | None = field(default_factory=list)  # None: too many, they stay a table
     phrases: list[str] = field(default_factory=list)
-    patterns: list[tuple[str, str, str | None]] = field(default_factory=list)
+    patterns: list[tuple[str, str, str | None]] = field(default_factory=list)  # those that Spark's own expressions look up
+    scans: list[tuple[str, str, str]] = field(default_factory=list)  # those that ``listed.hits`` looks up
     exempt: list[str] = field(default_factory=list)
     context: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
@@ -56,7 +57,12 @@ def read_rules(lexicon: DataFrame | None = None, patterns: DataFrame | None = No
             (out.phrases if r.kind == "phrase" else out.words).append(r.norm_term)
     by_ord = lambda df: sorted(L.all_rows(df, MOST_RULES), key=lambda r: r.ord)
     if patterns is not None:
-        out.patterns = [(r.term, T.ascii_pattern(r.pattern), r.letters) for r in by_ord(patterns)]
+        for r in by_ord(patterns):
+            scan = H.scanned(r.term, r.pattern, r.letters)
+            if scan:
+                out.scans.append(scan)
+            else:
+                out.patterns.append((r.term, T.ascii_pattern(r.pattern), r.letters))
     if rules is not None:
         for r in by_ord(rules):
             of = out.context.setdefault(r.term.lower(), {"allowed": [], "profane": []})
@@ -120,8 +126,9 @@ def pattern_steps(text: Column, patterns: list[tuple[str, str, str | None]]) ->
     A pattern that only puts filler between letters can match only where the
     text without fillers holds these letters, which is cheap to look up.
     """
-    fillers = "_-.*@#$&%!?"
-    bare = F.lower(F.translate(text, fillers, "")) if any(p[2] for p in patterns) else F.lit("")
+    if not patterns:
+        return [("_r", _nothing())]
+    bare = F.lower(F.translate(text, H.FILLERS, "")) if any(p[2] for p in patterns) else F.lit("")
 
     def of(term, pattern, letters):
         maybe = F.col("_bare").contains(letters) if letters else F.lit(True)
@@ -130,7 +137,7 @@ def pattern_steps(text: Column, patterns: list[tuple[str, str, str | None]]) ->
 
     none = F.array().cast("array<struct<word:string,start_idx:int,end_idx:int,term:string>>")
     as_match = lambda s: _match(text, s["word"], s["start_idx"], s["end_idx"], "regex", fv.PATTERN_CONFIDENCE, s["term"])
-    found = F.transform(F.concat(*[of(*p) for p in patterns]), as_match) if patterns else _nothing()
+    found = F.transform(F.concat(*[of(*p) for p in patterns]), as_match)
     return [("_bare", F.when(text.rlike(f"[_\\-.*@#$&%!?]"), bare).otherwise(F.lower(text))), ("_r", found)]
 
 
@@ -203,7 +210,7 @@ def _exempt_condition(exempt: list[str]):
 
 def detect_columns(text: Column, rules: Rules, sensitivity: str, use_context: bool, listed: Column) -> list[tuple[str, Column]]:
     """Steps of detection as named columns; each step reads the ones before it.  ``listed`` holds the matches of words and phrases."""
-    steps = [("_listed", listed)] + pattern_steps(text, rules.patterns) + [("_t", F.col("_listed.t")), ("_p", F.col("_listed.p"))]
+    steps = [("_listed", listed)] + pattern_steps(text, rules.patterns) + [("_r", F.concat("_listed.r", "_r")), ("_t", F.col("_listed.t")), ("_p", F.col("_listed.p"))]
     dropped = []
     if sensitivity == "low" and rules.exempt:
         dropped.append(_exempt_condition(rules.exempt))
@@ -237,7 +244,7 @@ def detect_matches(
     if fuzzy_threshold is not None:
         out, near = _with_close(out, close_words(cues, lexicon, fuzzy_threshold))
         own |= near
-    listed = H.hits(F.col("text"), found.words or [], found.phrases, **own)
+    listed = H.hits(F.col("text"), found.words or [], found.phrases, patterns=found.scans, **own)
     out = _with_steps(out, detect_columns(F.col("text"), found, sensitivity, use_context, listed))
     return score_columns(_settled(out.select(*cues.columns, "matches"), "matches"), sensitivity)
 
@@ -278,7 +285,9 @@ def phrase_matches(cues: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def obfuscated_matches(cues: DataFrame, patterns: DataFrame) -> DataFrame:
-    return _explode_matches(_with_steps(cues, pattern_steps(F.col("text"), read_rules(patterns=patterns).patterns)), F.col("_r"))
+    found = read_rules(patterns=patterns)
+    steps = pattern_steps(F.col("text"), found.patterns) + [("_r", F.concat(H.hits(F.col("text"), patterns=found.scans)["r"], "_r"))]
+    return _explode_matches(_with_steps(cues, steps), F.col("_r"))
 
 
 def _parts(size: Column, edits: Column, part: Column) -> tuple[Column, Column]:

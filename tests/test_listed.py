@@ -41,3 +41,14 @@ def test_joined_phrase_rows_carry_no_text(spark):
         got = sorted((r.cue_id, r.word, r.start_idx) for r in D.phrase_matches_joined(table(spark), lex, most_broadcast=limit).collect())
         want = sorted((r.cue_id, r.word, r.start_idx) for r in D.phrase_matches(table(spark), lex).collect())
         assert got == want and want
+
+
+def test_patterns_in_the_walk_equal_those_of_the_engine(spark):
+    texts = ["F_u.c-k fUcks efuck fuck_ fuck's İfuck Kfuck ſhit", "s-h_i.t!s shits? shitty éshit", "f*u*c*k fuck", None, "", "d.a.m.n damn_ ndamn damn9"]
+    df = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "track_id string, cue_id int, text string")
+    patterns = L.obfuscation_patterns(spark)
+    taken = D.read_rules(patterns=patterns)
+    assert len(taken.scans) > 5 and taken.patterns  # both ways are used
+    steps = D.pattern_steps(D.F.col("text"), [(r.term, D.T.ascii_pattern(r.pattern), r.letters) for r in sorted(patterns.collect(), key=lambda r: r.ord)])
+    want = sorted(map(tuple, D._explode_matches(D._with_steps(df, steps), D.F.col("_r")).collect()))
+    assert want and sorted(map(tuple, D.obfuscated_matches(df, patterns).collect())) == want
