@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hushline.llm.common import salted_join, stored, text_of
 from hushline.llm.simhash import SEED, bits_of, merged, shingle_hashes
+from hushline.operators import skew
 
 SHINGLE = 5
 #: A similarity of 4 / 5.
@@ -181,6 +182,15 @@ def _rest(members: DataFrame) -> DataFrame:
     return some.unionByName(found).distinct()
 
 
+def _with_grams(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(sid, leader, ga, gb): pairs with both sets.  Sets are large, so only those of leaders of more than a task's share of pairs are repeated."""
+    hot = skew.heavy(pairs, ["leader"])
+    dealt = pairs.withColumn("_piece", F.pmod(F.xxhash64("sid"), skew.pieces(hot, ["leader"])))
+    leaders = grams.select(F.col("sid").alias("leader"), F.col("grams").alias("gb")).join(pairs.select("leader").distinct(), "leader", "left_semi")
+    leaders = leaders.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), skew.pieces(hot, ["leader"]) - 1)))
+    return dealt.join(grams.withColumnRenamed("grams", "ga"), "sid").join(leaders, ["leader", "_piece"]).drop("_piece")
+
+
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, sid, fp, group) of every row; ``group`` is the key of one of the group's sets."""
     rows = stored(shingle_sets(docs, repeats(docs, text), id, text), "shingles")
@@ -189,12 +199,12 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     buckets = _buckets(sets)
     of = lambda name, end: slim.select(F.col("sid").alias(name), F.col("fp").alias(f"fp_{end}"), F.col("n").alias(f"n_{end}"))
     pairs = buckets.where("sid <> leader").select("sid", "leader").distinct().join(of("sid", "a"), "sid")
-    pairs = salted_join(pairs, of("leader", "b"), ["leader"], F.col("sid"), "inner").where(_close("fp_a", "fp_b", "n_a", "n_b"))
+    pairs = skew.split_join(pairs, of("leader", "b"), ["leader"], spread=["sid"]).where(_close("fp_a", "fp_b", "n_a", "n_b"))
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs.select("sid", "leader"), f"{name}_pairs")
         grams = _grams(docs, rows, pairs.select("sid").union(pairs.select("leader")).distinct(), id, text)
-        both = salted_join(pairs.join(grams.withColumnRenamed("grams", "ga"), "sid"), grams.select(F.col("sid").alias("leader"), F.col("grams").alias("gb")), ["leader"], F.col("sid"), "inner")
+        both = _with_grams(pairs, grams)
         return stored(both.where(F.pandas_udf(_similar, "boolean")("ga", "gb")).select(F.col("sid").alias("u"), F.col("leader").alias("v")), name)
 
     links = checked(pairs, "stars")
