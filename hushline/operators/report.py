@@ -26,13 +26,19 @@ def word_counts(matches: DataFrame, by: list[str] = ()) -> DataFrame:
     return matches.groupBy(*by, T.normalize_text(F.col("word")).alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def track_stats(scored: DataFrame, windows: DataFrame) -> DataFrame:
-    """Cue counts, duration (end of the last cue) and number of mute windows per track."""
-    cues = scored.groupBy("track_id").agg(
-        F.count(F.lit(1)).alias("cues"), F.count_if("has_profanity").alias("flagged"),
-        F.max_by("end_ms", F.struct("start_ms", "cue_id")).alias("duration_ms"))
+def track_stats(scored: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """Cue counts, duration (end of the last cue) and number of mute windows per track.
+
+    Without ``windows``, ``scored`` has ``matches``, and each match of a flagged cue counts as one, which is what
+    ``timing.mute_windows`` makes of it (high sensitivity aside): one pass over the cues, without their timing and a join.
+    """
+    aggs = [F.count(F.lit(1)).alias("cues"), F.count_if("has_profanity").alias("flagged"),
+            F.max_by("end_ms", F.struct("start_ms", "cue_id")).alias("duration_ms")]
+    if windows is None:
+        own = F.when(F.col("has_profanity"), F.size("matches")).otherwise(0)
+        return scored.groupBy("track_id").agg(*aggs, F.sum(own).alias("windows"))
     per_track = windows.groupBy("track_id").agg(F.count(F.lit(1)).alias("windows"))
-    return cues.join(per_track, "track_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0).cast("bigint")))
+    return scored.groupBy("track_id").agg(*aggs).join(per_track, "track_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0).cast("bigint")))
 
 
 def session_status(frames: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
+from hushline.functions.spoken import spoken
 from hushline.operators import ordered
 from hushline.operators.detect import KEYS
 
@@ -20,22 +21,14 @@ def word_timing(detected: DataFrame) -> DataFrame:
     the match, all syllables count as spoken before it.  All work is done inside
     the row of the cue.
     """
-    spoken = F.transform(T.spans("text", f"[^{T.WS}]+"), lambda s: F.struct(
-        s["start_idx"].alias("at"), T.syllables(s["word"]).alias("n")))
-    add = lambda a, w: a + w["n"]
-    df = detected.filter(F.size("matches") > 0).withColumn("_w", spoken)
-    df = df.withColumn("_total", F.aggregate("_w", F.lit(0), add))
-
-    def timed(m):
-        at = m["start_idx"]
-        earlier = F.aggregate(F.filter("_w", lambda w: w["at"] < at), F.lit(0), add)
-        before = F.when(F.exists("_w", lambda w: w["at"] == at), earlier).otherwise(F.col("_total"))
-        return F.struct(m["word"].alias("word"), at.alias("start_idx"), m["end_idx"].alias("end_idx"),
-                        before.alias("syllables_before"), T.syllables(m["word"]).alias("word_syllables"))
-
+    of = lambda name: F.transform("matches", lambda m: m[name])
+    df = detected.filter(F.size("matches") > 0).withColumn("_s", spoken(F.col("text"), of("start_idx"), of("word")))
+    timed = F.zip_with("matches", "_s.m", lambda m, s: F.struct(
+        m["word"].alias("word"), m["start_idx"].alias("start_idx"), m["end_idx"].alias("end_idx"),
+        s["before"].alias("syllables_before"), s["own"].alias("word_syllables")))
     rows = df.select(
         *KEYS, F.col("start_ms").alias("cue_start_ms"), F.col("end_ms").alias("cue_end_ms"),
-        F.length("text").alias("text_length"), "_total", F.inline_outer(F.transform("matches", timed)))
+        F.length("text").alias("text_length"), F.col("_s.total").alias("_total"), F.inline_outer(timed))
     length = F.col("cue_end_ms") - F.col("cue_start_ms")
     per = length / F.col("_total")
     start = F.when(F.col("_total") == 0, F.col("cue_start_ms") + length * F.col("start_idx") / F.col("text_length")).otherwise(

@@ -306,8 +306,7 @@ def _(spark, sf):
 SELECT s.track_id, CAST(count(*) AS BIGINT) AS cues, CAST(count(*) FILTER (has_profanity) AS BIGINT) AS flagged, arg_max(end_ms, start_ms) AS duration_ms,
  CAST(coalesce(any_value(w.n), 0) AS BIGINT) AS windows FROM scored s LEFT JOIN (SELECT track_id, count(*) AS n FROM windows GROUP BY track_id) w USING (track_id) GROUP BY s.track_id"""))
 def _(spark, sf):
-    d = detected(spark, sf)
-    return R.track_stats(d, W.mute_windows(d))
+    return R.track_stats(detected(spark, sf))
 
 
 @case("speaking_rate", S.with_(S.CUES, S.SPACE_WORDS, then="""
