@@ -20,7 +20,7 @@ BLOCK = 200_000
 
 
 @cache
-def _space_table() -> np.ndarray:
+def space_table() -> np.ndarray:
     """Whether a code point below 65,536 is white space; none above is."""
     space = re.compile(f"[{T.WS}]")
     return np.array([space.match(chr(c)) is not None for c in range(65_536)])
@@ -48,7 +48,7 @@ def spoken(text: Column, starts: Column, words: Column) -> Column:
     ``total`` counts the syllables of all white-space words, ``before`` those of the words ahead of the one that begins at the
     match (all, if none does), ``own`` those of the matched words themselves.
     """
-    space, ranges, ws = _space_table(), block_ranges(BLOCK), T.WS
+    space, ranges, ws = space_table(), block_ranges(BLOCK), T.WS
     vowel = np.isin(np.arange(128), [ord(c) for c in "aeiouy"])
 
     def run(text: pa.Array, starts: pa.Array, words: pa.Array) -> pa.Array:

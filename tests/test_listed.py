@@ -52,3 +52,41 @@ def test_patterns_in_the_walk_equal_those_of_the_engine(spark):
     steps = D.pattern_steps(D.F.col("text"), [(r.term, D.T.ascii_pattern(r.pattern), r.letters) for r in sorted(patterns.collect(), key=lambda r: r.ord)])
     want = sorted(map(tuple, D._explode_matches(D._with_steps(df, steps), D.F.col("_r")).collect()))
     assert want and sorted(map(tuple, D.obfuscated_matches(df, patterns).collect())) == want
+
+
+def test_texts_taken_together_give_what_each_gives_alone(spark, monkeypatch):
+    """All ways of cutting a table into blocks, and the walk over one text at a time, find the same."""
+    rnd = random.Random(7)
+    parts = ["of", "the", "THE", " ", "\t", "-", "'", "K", "É", "Σ", "ς", "mart", "k", "a b", "that", "Th4t", "o'that", "''", "_", "　the", "f.u*ck", "of the", "\U0001f600", "\n"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(14))) for _ in range(400)] + [None, "", "the", "of", "the", "".join(map(chr, range(10, 32))) + "of the"]
+    df = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "track_id string, cue_id int, text string").coalesce(1)
+    lex = L.build_lexicon(L.terms_df(spark, ["that", "the", "of the", "k mart", "é of", "the of", "a b a", "'s", "ς the"]))
+    seen = []
+    for together, block in ((2_000_000, 200_000), (2_000_000, 1), (2_000_000, 40), (0, 200_000)):
+        monkeypatch.setattr(D.H, "MOST_TOGETHER", together)
+        monkeypatch.setattr(D.H, "BLOCK", block)
+        seen.append(shown(D.detect_matches(df, lex, L.obfuscation_patterns(spark), fuzzy_threshold=0.25)))
+    assert sum(map(len, seen[0])) > 200 and all(s == seen[0] for s in seen)
+
+
+def test_plain_texts_are_not_walked_one_by_one(spark, monkeypatch):
+    """A batch of plain texts costs no regular expression per text, but few array operations."""
+    runs = []
+    monkeypatch.setattr(D.H.F, "arrow_udf", lambda run, kind: runs.append(run) or (lambda *c: None))
+    D.H.hits(None, ["that"], ["of the"])
+    import pyarrow as pa
+
+    compiled = []
+
+    class Counting:
+        def __init__(self, pattern):
+            self.of = re.compile(pattern)
+
+        def __getattr__(self, name):
+            return lambda *a: compiled.append(name) or getattr(self.of, name)(*a)
+
+    monkeypatch.setattr(D.H, "re", type("R", (), {"compile": staticmethod(Counting), "fullmatch": re.fullmatch, "findall": re.findall}))
+    none = pa.nulls(500)
+    out = runs[0](pa.array(["nothing listed in here, but words and gaps"] * 499 + ["that of the day"]), none, none, none)
+    assert [len(out[499][k].as_py()) for k in "tp"] == [1, 1]
+    assert len(compiled) < 5
