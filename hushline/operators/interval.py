@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
-from hushline.operators import ordered, skew
+from hushline.operators import lexicon as L, ordered, skew
 
 #: A ``salt`` that splits hot nodes alone.
 BY_SIZE = 0
@@ -81,6 +81,17 @@ def filed_intervals(intervals: DataFrame, start: Column, end: Column, bucket_ms:
     return rows.withColumn("_b", F.explode(F.when(start.isNotNull() & end.isNotNull(), F.sequence(first, F.greatest(_node(end, bucket_ms, F.col("_level")), first)))))
 
 
+def reachable(cues: DataFrame, positions: DataFrame, ahead_ms: int = 0) -> DataFrame:
+    """The cues that begin no later than ``ahead_ms`` after the last position of their track; those of other tracks are left out.
+
+    What is shown, muted or coming up at any of the positions begins no earlier than its cue does, so a cue that is left out
+    here can be part of no answer, and need not be judged.
+    """
+    last = positions.groupBy("track_id").agg(F.max("position_ms").alias("_last")).filter("_last is not null")
+    side = L.bounded_broadcast(last.withColumnRenamed("track_id", "_track"))
+    return cues.join(side, (F.col("track_id") == F.col("_track")) & (F.col("start_ms") <= F.col("_last") + ahead_ms), "left_semi")
+
+
 def _rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
 
@@ -203,10 +214,17 @@ def only_flagged(scored: DataFrame) -> DataFrame:
 
 
 def positions_to_cues(heartbeats: DataFrame, scored: DataFrame, position_key: list[str], offset_ms: int = 0, flagged_only: bool = False, bucket_ms: int = 10_000) -> DataFrame:
-    """Text shown at every heartbeat."""
+    """Text shown at every heartbeat.
+
+    The judged cues are stored once; times and row numbers alone take part in the search, and the texts are joined to what it picks.
+    """
     side = scored.filter("has_profanity") if flagged_only else scored
     side = side.withColumn("shown_text", display_text(F.col("has_profanity"), F.col("censored_text"), F.col("text")))
-    return active_cue(side, heartbeats, position_key, offset_ms, bucket_ms, extra=["has_profanity", "shown_text"])
+    side = ordered.materialize(side.select("track_id", "cue_id", "start_ms", "end_ms", "has_profanity", "shown_text", F.monotonically_increasing_id().alias("_row")))
+    picked = active_cue(side.drop("has_profanity", "shown_text"), heartbeats, position_key, offset_ms, bucket_ms, extra=["_row"])
+    shown = picked.join(side.select("_row", "has_profanity", "shown_text"), "_row")
+    keep = [c for c in heartbeats.columns if c not in position_key]
+    return shown.select(*position_key, "cue_id", "cue_start_ms", "cue_end_ms", "has_profanity", "shown_text", *keep)
 
 
 def asof_position(events: DataFrame, heartbeats: DataFrame, key: list[str] = ("session_id",), duration_ms: Column | None = None, chunk_seconds: int = 86_400, split_hot: bool = True) -> DataFrame:

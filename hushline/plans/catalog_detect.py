@@ -19,9 +19,9 @@ def case(name: str, sql: str | None = None):
     return add
 
 
-def detected(spark, sf, sensitivity="medium", fuzzy=None):
+def detected(spark, sf, sensitivity="medium", fuzzy=None, cues=None):
     r = C.corpus_rules(spark)
-    return D.detect_matches(C.document_cues(spark, sf), r["lexicon"], r["patterns"], r["rules"], r["exempt"], sensitivity, True, fuzzy)
+    return D.detect_matches(C.document_cues(spark, sf) if cues is None else cues, r["lexicon"], r["patterns"], r["rules"], r["exempt"], sensitivity, True, fuzzy)
 
 
 def all_candidates(spark, sf):

@@ -26,6 +26,11 @@ def positions(spark, sf):
     return C.heartbeats(spark, sf).select("event_id", "track_id", "position_ms")
 
 
+def detected_near(spark, sf, sensitivity="medium", ahead_ms=0):
+    """Detected cues, without those that no heartbeat can reach."""
+    return detected(spark, sf, sensitivity, cues=I.reachable(C.document_cues(spark, sf), positions(spark, sf), ahead_ms))
+
+
 ACTIVE = "FROM hb h JOIN cues c ON c.track_id = h.track_id AND c.start_ms <= h.position_ms AND h.position_ms <= c.end_ms"
 
 
@@ -59,7 +64,7 @@ states AS (SELECT h.*, p.cue_id AS mute_cue_id, p.word AS mute_word, p.start_ms
 
 
 def _states(spark, sf):
-    d = detected(spark, sf)
+    d = detected_near(spark, sf, ahead_ms=fv.MUTE_EARLY_MS)
     return I.mute_state(C.heartbeats(spark, sf), d.filter("has_profanity"), W.mute_windows(d), KEY)
 
 
@@ -72,7 +77,7 @@ def _(spark, sf):
 SELECT h.event_id, count(c.cue_id) > 0 AS should_mute, arg_min(c.cue_id, c.start_ms) AS mute_cue_id FROM hb h LEFT JOIN scored c ON c.has_profanity AND c.track_id = h.track_id
  AND h.position_ms >= c.start_ms - {fv.MUTE_EARLY_MS} AND h.position_ms < c.end_ms + {fv.MUTE_LATE_MS} GROUP BY h.event_id"""))
 def _(spark, sf):
-    d = detected(spark, sf, "high").filter("has_profanity")
+    d = detected_near(spark, sf, "high", fv.MUTE_EARLY_MS).filter("has_profanity")
     return I.mute_state(positions(spark, sf), d, None, KEY, "high").select("event_id", "should_mute", "mute_cue_id")
 
 
@@ -94,14 +99,14 @@ def _(spark, sf):
 @case("upcoming_flagged", S.with_(*S.ALL, S.detected(), S.HEARTBEATS, then="""
 SELECT h.event_id, c.cue_id, c.start_ms AS item_start_ms FROM hb h JOIN scored c ON c.has_profanity AND c.track_id = h.track_id AND c.start_ms >= h.position_ms AND c.start_ms <= h.position_ms + 15000"""))
 def _(spark, sf):
-    items = detected(spark, sf).filter("has_profanity").select("track_id", "cue_id", "start_ms", "end_ms")
+    items = detected_near(spark, sf, ahead_ms=15_000).filter("has_profanity").select("track_id", "cue_id", "start_ms", "end_ms")
     return I.upcoming_flagged(items, positions(spark, sf), 15_000).select("event_id", "cue_id", "item_start_ms")
 
 
 @case("upcoming_windows", S.with_(*_W, S.HEARTBEATS, then="""
 SELECT h.event_id, w.cue_id, w.word, round(w.start_ms, 3) AS item_start_ms FROM hb h JOIN windows w ON w.track_id = h.track_id AND w.start_ms >= h.position_ms AND w.start_ms <= h.position_ms + 5000"""))
 def _(spark, sf):
-    items = W.mute_windows(detected(spark, sf)).select("track_id", "cue_id", "word", "start_ms", "end_ms")
+    items = W.mute_windows(detected_near(spark, sf, ahead_ms=5_000)).select("track_id", "cue_id", "word", "start_ms", "end_ms")
     return I.upcoming_flagged(items, positions(spark, sf), 5_000).select("event_id", "cue_id", "word", F.round("item_start_ms", 3).alias("item_start_ms"))
 
 
@@ -109,7 +114,7 @@ def _(spark, sf):
 SELECT event_id, cue_id, has_profanity, shown_text FROM (SELECT h.event_id, c.cue_id, c.has_profanity, {S.sanitize('CASE WHEN c.has_profanity THEN c.censored_text ELSE c.text END')} AS shown_text,
  row_number() OVER (PARTITION BY h.event_id ORDER BY c.start_ms DESC, c.cue_id) AS rn {ACTIVE.replace('JOIN cues', 'JOIN censored')}) WHERE rn = 1"""))
 def _(spark, sf):
-    out = I.positions_to_cues(positions(spark, sf), X.censor(detected(spark, sf)), KEY)
+    out = I.positions_to_cues(positions(spark, sf), X.censor(detected_near(spark, sf)), KEY)
     return out.select("event_id", "cue_id", "has_profanity", "shown_text")
 
 

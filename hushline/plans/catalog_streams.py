@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hushline.functions import fixed_values as fv
 from hushline.operators import playback as P, timing as W
 from hushline.plans import corpus as C, reference_sql as S
-from hushline.plans.catalog_detect import _W, detected
-from hushline.plans.catalog_playback import SEGMENTS, _STATE, segments_of
+from hushline.plans.catalog_detect import _W
+from hushline.plans.catalog_playback import SEGMENTS, _STATE, detected_near, segments_of
 from hushline.streaming import jobs as J
 
 CASES: dict[str, tuple] = {}
@@ -129,7 +130,7 @@ SELECT event_id, session_id, ts_ms, CASE WHEN should_mute THEN 'MUTE' ELSE 'UNMU
 def _(spark, sf):
     from hushline.operators.ordered import materialize
 
-    windows = materialize(W.mute_windows(detected(spark, sf)))
+    windows = materialize(W.mute_windows(detected_near(spark, sf, ahead_ms=fv.MUTE_EARLY_MS)))
     return J.replayed(C.heartbeats(spark, sf), lambda s, delay: J.mute_transitions_stream(s, windows, delay=delay, idle_ms=UNENDING), "transitions")
 
 
