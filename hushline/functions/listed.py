@@ -146,7 +146,7 @@ def hits(text: Column, words: list[str] = (), phrases: list[str] = (), near: dic
     said_sizes = sorted({len(p) for p in pieces_of})
     said_table, said_shift = _marked([_summed([_summed(map(ord, piece), CHAR) for piece in p], PIECES) for p in pieces_of])
 
-    def run(text: pa.Array, found: pa.Array, close: pa.Array, said: pa.Array) -> pa.Array:
+    def run(text: pa.Array, *sent: pa.Array) -> pa.Array:
         find, walk, cut = re.compile(token).findall, re.compile(token).finditer, re.compile(piece).findall
         norm_of, plain_of = {}, {}
 
@@ -310,7 +310,9 @@ def hits(text: Column, words: list[str] = (), phrases: list[str] = (), near: dic
 
         powers, said_of, rows, owner = {}, {}, ([], [], []), ([], [], [])
         texts = text.to_pylist()
-        lists = [None if c.null_count == len(c) else c.to_pylist() for c in (found, close, said)]
+        lists = [None, None, None]
+        for k, c in zip(given, sent):
+            lists[k] = c.to_pylist()
         alone = {i for i, t in enumerate(texts) if t and (len(t) > together or "\u0130" in t or any(c and c[i] for c in lists))}
         for a, b in ranges([len(t or "") for t in texts]):
             many(a, ["" if i in alone else texts[i] or "" for i in range(a, b)])
@@ -333,6 +335,9 @@ def hits(text: Column, words: list[str] = (), phrases: list[str] = (), near: dic
             made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, d) for c, d in zip(columns, types, strict=True)], names)))
         return pa.StructArray.from_arrays(made, ["t", "p", "r"])
 
-    none = lambda c, kind: F.lit(None).cast(kind) if c is None else c
-    return F.arrow_udf(run, f"struct<t:{MATCH_TYPE},p:{MATCH_TYPE},r:{MATCH_TYPE}>")(
-        text, none(found, "array<string>"), none(close, "map<string,double>"), none(said, "array<string>"))
+    # no nulls are sent for lists: after each row Spark asks for the size of its batch, which for a list is a walk over all nulls since the last value
+    none = F.array().cast("array<string>")
+    empty = none, F.map_from_arrays(none, F.array().cast("array<double>")), none
+    own = {k: F.coalesce(c, empty[k]) for k, c in enumerate((found, close, said)) if c is not None}
+    given = list(own)
+    return F.arrow_udf(run, f"struct<t:{MATCH_TYPE},p:{MATCH_TYPE},r:{MATCH_TYPE}>")(text, *own.values())

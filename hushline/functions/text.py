@@ -6,6 +6,8 @@ shuffle.  Offsets are 0-based code points, ends are exclusive.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from hushline.functions import fixed_values as fv
@@ -14,6 +16,10 @@ WS = fv.WHITESPACE
 WORD_CHARS = "0-9A-Za-z_"
 # ASCII word boundary.  The plain \b of the JVM also knows non-ASCII letters.
 BOUNDARY = rf"(?:(?<=[{WORD_CHARS}])(?![{WORD_CHARS}])|(?<![{WORD_CHARS}])(?=[{WORD_CHARS}]))"
+# What begins with a word character: one that must be there, or a group of such alternatives.
+_FIRST = r"[A-Za-z0-9](?![?*{])"
+_WAY = rf"{_FIRST}(?:\\[bs]|[^()\[\]\\|])*"
+_OPENS = re.compile(rf"({_FIRST})|\((?:\?:)?({_WAY}(?:\|{_WAY})*)\)(?![?*{{])")
 # Same language as \b[\w']+\b under the ASCII rule, without look-around.
 TOKEN = rf"[{WORD_CHARS}]+(?:'+[{WORD_CHARS}]+)*"
 SPAN_TYPE = "array<struct<word:string,start_idx:int,end_idx:int>>"
@@ -25,7 +31,10 @@ def ascii_pattern(pattern: str, case_sensitive: bool = False) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not in_class:
-            out.append(BOUNDARY)
+            # where a word character follows, it is looked at first, and the one before it only then
+            opens = _OPENS.match(pattern, i + 2)
+            firsts = "".join(sorted({way[0] for way in (opens[1] or opens[2]).split("|")})) if opens else ""
+            out.append(rf"(?=[{firsts}])(?<![{WORD_CHARS}])" if opens else BOUNDARY)
             i += 2
         elif two == r"\s":
             out.append(WS if in_class else f"[{WS}]")

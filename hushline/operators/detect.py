@@ -230,6 +230,24 @@ def score_columns(df: DataFrame, sensitivity: str) -> DataFrame:
     return df.withColumn("has_profanity", (n > 0) & (F.col("score") >= fv.FLAG_AT[sensitivity]))
 
 
+def _listed(cues: DataFrame, lexicon: DataFrame, found: Rules, fuzzy_threshold: float | None) -> tuple[DataFrame, Column]:
+    """The cues, and the column of their matches of words, phrases and scanned patterns, before any rule."""
+    out, own = cues, {}
+    if found.words is None:
+        out, own["found"] = _meeting(out, _words_of(lexicon), F.col("_norm"), "_found"), F.col("_found")
+    if fuzzy_threshold is not None:
+        out, near = _with_close(out, close_words(cues, lexicon, fuzzy_threshold))
+        own |= near
+    return out, H.hits(F.col("text"), found.words or [], found.phrases, patterns=found.scans, **own)
+
+
+def with_any_match(cues: DataFrame, lexicon: DataFrame, name: str, fuzzy_threshold: float | None = None) -> DataFrame:
+    """The cues with ``name``: whether any term of the lexicon is found in them.  Which matches overlap does not matter for that."""
+    out, listed = _listed(cues, lexicon, read_rules(lexicon), fuzzy_threshold)
+    out = out.withColumn("_listed", listed)
+    return out.select(*cues.columns, (F.size("_listed.t") + F.size("_listed.p") > 0).alias(name))
+
+
 def detect_matches(
     cues: DataFrame, lexicon: DataFrame, patterns: DataFrame | None = None, rules: DataFrame | None = None,
     exempt: DataFrame | None = None, sensitivity: str = "medium", use_context: bool = True,
@@ -238,13 +256,7 @@ def detect_matches(
     """Cues with ``matches ARRAY<STRUCT>``, ``score`` and ``has_profanity``."""
     # a stream cannot be grouped by its texts
     found = read_rules(lexicon, patterns, rules, exempt, MOST_RULES if cues.isStreaming else MOST_FOLDED)
-    out, own = cues, {}
-    if found.words is None:
-        out, own["found"] = _meeting(out, _words_of(lexicon), F.col("_norm"), "_found"), F.col("_found")
-    if fuzzy_threshold is not None:
-        out, near = _with_close(out, close_words(cues, lexicon, fuzzy_threshold))
-        own |= near
-    listed = H.hits(F.col("text"), found.words or [], found.phrases, patterns=found.scans, **own)
+    out, listed = _listed(cues, lexicon, found, fuzzy_threshold)
     out = _with_steps(out, detect_columns(F.col("text"), found, sensitivity, use_context, listed))
     return score_columns(_settled(out.select(*cues.columns, "matches"), "matches"), sensitivity)
 

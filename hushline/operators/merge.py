@@ -129,15 +129,12 @@ def resolve_profile(rows: DataFrame, stored: DataFrame | None, overrides: DataFr
 def touched_cues(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, fuzzy_threshold: float | None = None) -> DataFrame:
     """The cues with ``touched``: whether any changed term is found in them.
 
-    The changed terms are a lexicon of their own, and detection with it, by the same rules of tokens, phrases and
+    The changed terms are a lexicon of their own, and a search for it, by the same rules of tokens, phrases and
     distances, tells where results may differ.
     """
     known = lexicon_old.unionByName(lexicon_new).groupBy("norm_term").agg(F.min_by("term", "ord").alias("term"), F.min("kind").alias("kind"), F.min("ord").alias("ord"))
     changed = L.lexicon_diff(lexicon_old, lexicon_new).select("norm_term").distinct().join(known, "norm_term").select("term", "norm_term", "kind", "ord")
-    held = {c: f"_old_{c}" for c in ("matches", "score", "has_profanity")}
-    found = D.detect_matches(detected.withColumnsRenamed(held), changed, use_context=False, fuzzy_threshold=fuzzy_threshold)
-    found = found.withColumn("touched", F.size("matches") > 0).drop(*held)
-    return found.withColumnsRenamed({v: k for k, v in held.items()})
+    return D.with_any_match(detected, changed, "touched", fuzzy_threshold)
 
 
 def redetect(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, detect, fuzzy_threshold: float | None = None) -> DataFrame:
