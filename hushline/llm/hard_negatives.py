@@ -7,15 +7,17 @@ centers are found), so that the centers of a level are at least as far apart as
 child, and each child keeps the radius that covers its rows.  A center's inner product and its radius bound the inner
 products of all rows below it.
 
-An anchor asks for the best rows of a window of scores.  It descends best-first, by the bound cut to its windows, leaves out
-nodes whose bounds lie outside all windows or cannot better what was found, and scores the rows of leaves exactly.  All
-windows of an anchor share one descent.
+An anchor asks for the best rows of a window of scores.  Many anchors descend together: each goes to its most promising leaf
+first, then to all other nodes, those of the greatest bounds first, that its bounds allow; left out are nodes whose bounds lie
+outside all of its windows or cannot better what it found.  The rows of a leaf are scored exactly, for all anchors that reach
+it at once; so are those of a small node whose leaves most of its anchors would reach.  All windows of an anchor share one descent.
 
 On Spark: ``PIVOTS`` centers, picked by farthest-first traversal from the ``SAMPLE`` rows of the lowest hashes, deal all rows
 into cells, and large cells into blocks of about ``BLOCK`` rows.  The radius of a cell tells which anchors need it.  An anchor
-meets every block that may answer it, in tasks of one block and at most about ``ANCHORS`` anchors; the best of each block are
-then merged by a window that keeps only as many rows for each map task.  Nothing is left out: an index only skips what
-its bounds exclude.
+meets every block that may answer it, in tasks of a few neighbouring blocks (``COMPONENTS`` numbers in all, one tree for each
+block) and at most about ``ANCHORS`` anchors.  What an anchor found in one tree bounds its search of the next; the best of each
+task are then merged by a window that keeps only as many rows for each map task.  Nothing is left out: an index only skips
+what its bounds exclude.
 
 Scores are exact: vectors are whole numbers, ``floor(scale * x)``.  Components and scores beyond 64 bits become the largest or
 smallest number of 64 bits.
@@ -28,7 +30,6 @@ of one id and score look alike in the result); other columns are ignored; an emp
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,12 @@ PIVOTS = 64
 SAMPLE = 4_096
 BLOCK = 4_096
 ANCHORS = 2_048
+#: Components of the vectors that a task holds, unless one block has more.
+COMPONENTS = 2**21
 FAN = 16
 LEAF = 64
+#: Rows that are scored at once, of a leaf or, where bounds leave out little, of a larger node.
+STRIP = 512
 _MIN, _MAX = -(2**63), 2**63 - 1
 
 
@@ -62,17 +67,88 @@ def matrix(vectors: list) -> np.ndarray:
     return out
 
 
-def scores(rows: np.ndarray, one: np.ndarray, exact: bool) -> np.ndarray:
-    """Inner products; ``exact`` tells that doubles hold them."""
-    width = min(rows.shape[1], len(one))
+def scores(rows: np.ndarray, many: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products, one line for each of many vectors; ``exact`` tells that doubles hold them, and then they are doubles."""
     if exact:
-        return (rows[:, :width] @ one[:width]).astype(np.int64)
-    whole = rows[:, :width].astype(np.int64).astype(object) @ one[:width].astype(object) if width else [0] * len(rows)
-    return np.array([min(max(int(x), _MIN), _MAX) for x in whole], np.int64)
+        return many @ rows.T
+    whole = many.astype(object) @ rows.astype(object).T if rows.shape[1] else np.zeros((len(many), len(rows)), object)
+    return np.clip(whole, _MIN, _MAX).astype(np.int64)
 
 
-def _fits(largest: int, other: int, width: int) -> bool:
-    return width * largest * other < 2**53
+def fitted(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows cut or filled up with zeros to a width; what is cut meets zeros alone."""
+    return np.pad(rows[:, :width], ((0, 0), (0, max(0, width - rows.shape[1]))))
+
+
+def largest_of(rows: np.ndarray) -> np.ndarray:
+    """The greatest absolute component of each row."""
+    return np.abs(rows.astype(np.float64)).max(1, initial=0)
+
+
+def _fits(largest: float, other: np.ndarray, width: int) -> np.ndarray:
+    return width * float(largest) * other < 2**53
+
+
+# --- what was found ---
+
+class Best:
+    """Many anchors that search together: for each window of each the best ``k`` (score, id) so far.
+
+    ``least`` and ``high`` have a line for each anchor: what a score must reach, and may reach, to count in a window.
+    """
+
+    def __init__(self, vectors: np.ndarray, labels: np.ndarray, own: np.ndarray, lows: np.ndarray, highs: np.ndarray, k: int, exact: bool):
+        kind = np.float64 if exact else np.int64
+        self.whole, self.labels, self.own, self.k, self.exact = vectors, labels, own, k, exact
+        self.plain = vectors.astype(np.float64)
+        self.least, self.high = lows.astype(kind), highs.astype(kind)
+        self.full = lows > highs  # windows that hold ``k``, or can hold none
+        self.reach = np.sqrt((self.plain * self.plain).sum(1))
+        self.bit = np.left_shift(np.uint64(1), (labels % 64).astype(np.uint64))
+        self.pair, self.score, self.id = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64)
+        self.waiting, self.n_waiting = [], 0
+
+    def alive(self, who: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of the anchors ``who`` may still find something between two bounds each."""
+        return ((high[:, None] >= self.least[who]) & (low[:, None] <= self.high[who])).any(1)
+
+    def offer(self, who: np.ndarray, got: np.ndarray, fits: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some rows, a line for each of the anchors ``who``; ``fits`` tells which of them may count."""
+        least, high = self.least[who], self.high[who]
+        fits &= got >= least.min(1)[:, None]
+        fits &= got <= high.max(1)[:, None]
+        at = np.flatnonzero(fits)
+        q, r = np.divmod(at, got.shape[1])
+        score, named, windows = got.reshape(-1)[at], ids[r], least.shape[1]
+        other = named != self.own[who[q]]
+        for w in range(windows):
+            take = np.flatnonzero((score >= least[q, w]) & (score <= high[q, w]) & other)
+            if len(take):
+                self.waiting.append((who[q[take]] * windows + w, score[take], named[take]))
+                self.n_waiting += len(take)
+        # sorting seldom is cheaper than the few more scores that wait for it
+        if self.n_waiting > self.least.size * self.k // 2:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        pair, score, named = (np.concatenate(c) for c in zip((self.pair, self.score, self.id), *self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
+        turn = np.lexsort((named, -score if self.exact else ~score, pair))  # ~s falls as s grows, without overflow
+        pair, score, named = pair[turn], score[turn], named[turn]
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        rank = np.arange(len(pair)) - np.repeat(starts, np.diff(np.append(starts, len(pair))))
+        last, kept = rank == self.k - 1, rank < self.k
+        self.least.reshape(-1)[pair[last]] = score[last]
+        self.full.reshape(-1)[pair[last]] = True
+        self.pair, self.score, self.id = pair[kept], score[kept], named[kept]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, window, score, id) in order, the best of a window first."""
+        self.settle()
+        windows = max(1, self.least.shape[1])
+        return self.pair // windows, self.pair % windows, self.score.astype(np.int64), self.id
 
 
 # --- the tree ---
@@ -120,57 +196,103 @@ class CoverTree:
         angle = 2 * np.arcsin(np.minimum(self.radius / (2 * self.norm), 1)) + 1e-7
         self.cos, self.sin = np.cos(np.minimum(angle, np.pi)), np.sin(np.minimum(angle, np.pi))
         bits = np.left_shift(np.uint64(1), (self.labels % 64).astype(np.uint64))
-        self.mask = [int(np.bitwise_or.reduce(bits[s:e], initial=np.uint64(0))) for s, e in rows]
-        self.only = [int(self.labels[s]) if e > s and (self.labels[s:e] == self.labels[s]).all() else None for s, e in rows]
-
-    def bounds(self, one: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest inner product of the rows below some nodes with a vector."""
-        reach = self.norm * float(np.sqrt(one @ one))
-        s, cos, sin = self.centers[first:last] @ one, self.cos[first:last], self.sin[first:last]
+        self.mask = np.array([np.bitwise_or.reduce(bits[s:e], initial=np.uint64(0)) for s, e in rows], np.uint64)
+        # the label of a node's rows, where all have the same
+        self.alone = np.array([e > s and bool((self.labels[s:e] == self.labels[s]).all()) for s, e in rows], bool)
+        self.only = np.array([self.labels[s] if e > s else 0 for s, e in rows], np.int64)
+
+    def bounds(self, many: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest inner product of the rows below some nodes with a vector, or with each of many (a line each)."""
+        reach = self.norm * np.sqrt((many * many).sum(-1, keepdims=True))
+        s, cos, sin = many @ self.centers[first:last].T, self.cos[first:last], self.sin[first:last]
         side, slack = np.sqrt(np.maximum(reach**2 - s * s, 0)) * sin, 1e-7 * reach + 1e-6
         high = np.where(s >= reach * cos, reach, s * cos + side) + slack
         low = np.where(s <= -reach * cos, -reach, s * cos - side) - slack
         return low, high
 
-    def descend(self, one: np.ndarray, label: int, same: bool, windows: list[tuple[int, int]], k: int, ids: np.ndarray, own: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each window of scores the best ``k`` (scores, ids) among rows of the same label, or of others; ``own`` is left out."""
-        width = self.vectors.shape[1]
-        query = np.zeros(width)
-        query[:min(width, len(one))] = one[:width]
-        exact = _fits(self.largest, int(np.abs(one).max(initial=0)), width)
-        rows = self.vectors if exact else self.whole
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
-        least = [lo for lo, _ in windows]  # what a score must reach to count
-        top, bit = max((hi for _, hi in windows), default=_MIN), 1 << (label % 64)
-        heap = [(-float(top), 0, -np.inf, np.inf)] if len(rows) else []
-        while heap:
-            cut, node, low, high = heapq.heappop(heap)
-            if -cut < min(least) - 1:
-                break  # no node left can better any window
-            if not any(high >= t and low <= hi for t, (_, hi) in zip(least, windows, strict=True)):
+    def _may_fit(self, best: Best, who: np.ndarray, same: bool, first: int, last: int) -> np.ndarray:
+        """Whether some nodes hold rows of an anchor's label, or of others."""
+        if same:
+            return (best.bit[who, None] & self.mask[None, first:last]) != 0
+        return ~(self.alone[first:last] & (self.only[first:last] == best.labels[who, None]))
+
+    def _score(self, best: Best, who: np.ndarray, same: bool, node: int, ids: np.ndarray, seen: np.ndarray | None = None) -> None:
+        """Offer all rows below a node; ``seen`` names the leaf that each anchor has looked at before."""
+        start, end = self.rows[node]
+        rows, many = (self.vectors, best.plain) if best.exact else (self.whole, best.whole)
+        many, labels = (many, best.labels) if len(who) == len(many) else (many[who], best.labels[who])
+        for s in range(start, end, STRIP):
+            e = min(end, s + STRIP)
+            fits = (self.labels[None, s:e] == labels[:, None]) == same
+            if seen is not None:
+                for leaf in np.unique(seen[who]).tolist():
+                    a, b = self.rows[leaf] if leaf >= 0 else (0, 0)
+                    if a < e and b > s:
+                        fits[seen[who] == leaf, max(a, s) - s:min(b, e) - s] = False
+            best.offer(who, scores(rows[s:e], many, best.exact), fits, ids[s:e])
+
+    def _promising(self, best: Best, who: np.ndarray, same: bool) -> np.ndarray:
+        """For each anchor the leaf at the end of the greatest bounds, cut to its windows; -1 for none and for those not in ``who``."""
+        top, out = best.high.max(1), np.full(len(best.plain), -1)
+        todo = [(0, who[self._may_fit(best, who, same, 0, 1)[:, 0]])]
+        while todo:
+            node, who = todo.pop()
+            first, last = self.child[node]
+            if last == first:
+                out[who] = node
                 continue
-            if not self.mask[node] & bit if same else self.only[node] == label:
+            low, high = self.bounds(best.plain[who], first, last)
+            able = self._may_fit(best, who, same, first, last) & (low <= top[who, None])
+            high = np.where(able, np.minimum(high, top[who, None]), -np.inf)
+            to, some = high.argmax(1), able.any(1)
+            todo += [(first + c, who[some & (to == c)]) for c in np.unique(to[some]).tolist()]
+        return out
+
+    def search(self, best: Best, same: bool, ids: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Look among rows of the anchors' labels, or of others, for what betters their best; ``who`` names those that ask."""
+        who = np.arange(len(best.plain)) if who is None else who
+        if not len(self.vectors) or not len(who) or not best.least.shape[1]:
+            return
+        # an anchor that has found enough is bounded by that already
+        seen = self._promising(best, who[~best.full[who].all(1)], same)
+        for leaf in np.unique(seen[seen >= 0]).tolist():
+            self._score(best, np.flatnonzero(seen == leaf), same, leaf, ids)
+        best.settle()
+        todo = [(0, who, np.full(len(who), -np.inf), np.full(len(who), np.inf))]
+        while todo:
+            node, who, low, high = todo.pop()
+            who = who[best.alive(who, low, high)]  # more was found since the node was put down
+            if not len(who):
                 continue
             first, last = self.child[node]
-            if last > first:
-                lows, highs = self.bounds(query, first, last)
-                for n in range(first, last):
-                    lo, hi = float(lows[n - first]), float(highs[n - first])
-                    if hi >= min(least) and lo <= top:
-                        heapq.heappush(heap, (-min(hi, float(top)), n, lo, hi))
+            if last == first:
+                who = who[seen[who] != node]
+                if len(who):
+                    self._score(best, who, same, node, ids)
                 continue
-            start, end = self.rows[node]
-            got, named = scores(rows[start:end], one if not exact else query, exact), ids[start:end]
-            fits = ((self.labels[start:end] == label) == same) & (named != own)
-            for w, (_, hi) in enumerate(windows):
-                take = fits & (got >= least[w]) & (got <= hi)
-                if take.any():
-                    s, i = np.r_[found[w][0], got[take]], np.r_[found[w][1], named[take]]
-                    best = np.lexsort((i, ~s))[:k]  # ~s falls as s grows, without overflow
-                    found[w] = s[best], i[best]
-                    if len(best) == k:
-                        least[w] = int(s[best[-1]])
-        return found
+            lows, highs = self.bounds(best.plain[who], first, last)
+            able = self._may_fit(best, who, same, first, last)
+            sizes = np.array([e - s for s, e in self.rows[first:last]])
+            if sizes.sum() <= STRIP:
+                for c in range(last - first):
+                    able[:, c] &= best.alive(who, lows[:, c], highs[:, c])
+                # where bounds leave out little, one product of all rows is cheaper than many of few
+                if 2 * (able @ sizes).sum() > len(who) * sizes.sum():
+                    self._score(best, who, same, node, ids, seen)
+                    continue
+            for c in np.argsort(np.minimum(highs, best.high[who].max(1)[:, None]).mean(0), kind="stable").tolist():
+                if able[:, c].any():
+                    todo.append((first + c, who[able[:, c]], lows[able[:, c], c], highs[able[:, c], c]))
+
+    def descend(self, one: np.ndarray, label: int, same: bool, windows: list[tuple[int, int]], k: int, ids: np.ndarray, own: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each window of scores the best ``k`` (scores, ids) among rows of the same label, or of others; ``own`` is left out."""
+        lows, highs = ([np.array([[w[side] for w in windows]], np.int64).reshape(1, -1) for side in (0, 1)])
+        vector = fitted(one[None, :], self.vectors.shape[1])
+        exact = bool(_fits(self.largest, largest_of(vector), self.vectors.shape[1])[0])
+        best = Best(vector, np.array([label]), np.array([own]), lows, highs, k, exact)
+        self.search(best, same, ids)
+        _, window, score, named = best.found()
+        return [(score[window == w], named[window == w]) for w in range(len(windows))]
 
 
 # --- tables ---
@@ -207,11 +329,13 @@ class Cells:
 
         self.rows = stored(rows.mapInPandas(nearest, "id bigint, label bigint, v array<bigint>, cell int, away double"), "cells")
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("label", F.lit(64)).cast("int"))
-        sizes = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away"), F.bit_or(bit).alias("mask")).collect()
+        sizes = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away"), F.bit_or(bit).alias("mask"), F.max(F.size("v")).alias("width")).collect()
         self.radius, self.blocks, self.mask = np.zeros(len(picked)), np.zeros(len(picked), np.int64), [0] * len(picked)
         for r in sizes:
             self.radius[r.cell], self.blocks[r.cell], self.mask[r.cell] = r.away, -(-r.n // block), r.mask & (2**64 - 1)
         self.first = np.cumsum(self.blocks) - self.blocks
+        #: blocks that go to one task
+        self.together = max(1, COMPONENTS // (block * max((r.width for r in sizes), default=1) or 1))
 
     def dealt(self) -> DataFrame:
         """(block, id, label, v): large cells are cut by a hash of the id, which keeps equal rows together."""
@@ -224,49 +348,78 @@ class Cells:
 _ASKED = "anchor bigint, id bigint, label bigint, v array<bigint>, ids array<bigint>, lows array<bigint>, highs array<bigint>"
 
 
+def _padded(lists: list, value: int) -> np.ndarray:
+    out = np.full((len(lists), max((len(x) for x in lists), default=0)), value, np.int64)
+    for k, x in enumerate(lists):
+        out[k, :len(x)] = x
+    return out
+
+
 def search(cells: Cells, asked: DataFrame, same: bool, k: int, anchors: int = ANCHORS) -> DataFrame:
     """(anchor, id, window, found, score, rank): for each window of each anchor its best ``k`` rows, ``rank`` from 1.
 
     ``asked`` is stored and has one row per anchor: its number, id, label and vector, and the windows' ids, least and greatest scores.
     """
-    pivots, radius, first, blocks, masks = cells.pivots, cells.radius, cells.first, cells.blocks, cells.mask
+    pivots, radius, first, blocks, masks, together = cells.pivots, cells.radius, cells.first, cells.blocks, cells.mask, cells.together
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell_of = np.repeat(np.arange(len(blocks)), blocks)
         for b in batches:
             m = matrix(b["v"].tolist()).astype(float)
             width = max(m.shape[1], pivots.shape[1])
             m, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (m, pivots))
             mid, reach = m @ c.T, np.sqrt((m * m).sum(1))[:, None] * radius[None, :] * (1 + 1e-9) + 1e-6
-            out = []
-            for r, (lows, highs, label) in enumerate(zip(b["lows"], b["highs"], b["label"], strict=True)):
-                for cell in range(len(blocks)):
-                    if same and not masks[cell] >> (label % 64) & 1:
-                        continue
-                    if any(mid[r, cell] - reach[r, cell] <= hi and mid[r, cell] + reach[r, cell] >= lo for lo, hi in zip(lows, highs, strict=True)):
-                        out += [(r, int(first[cell]) + n) for n in range(int(blocks[cell]))]
-            where = pd.DataFrame(out, columns=["r", "block"], dtype="int64")
-            yield b.iloc[where["r"]].assign(block=where["block"].to_numpy())
+            lows, highs = _padded(b["lows"].tolist(), _MAX), _padded(b["highs"].tolist(), _MIN)
+            able = np.zeros(mid.shape, bool)
+            for w in range(lows.shape[1]):
+                able |= (mid - reach <= highs[:, w, None]) & (mid + reach >= lows[:, w, None]) & (lows[:, w, None] <= highs[:, w, None])
+            if same:
+                bits = np.left_shift(np.uint64(1), (b["label"].to_numpy(np.int64) % 64).astype(np.uint64))
+                able &= (bits[:, None] & np.array(masks, np.uint64)[None, :]) != 0
+            wanted = able[:, cell_of]
+            for task in range(-(-len(cell_of) // together)):
+                mine = wanted[:, task * together:(task + 1) * together]
+                some = np.flatnonzero(mine.any(1))
+                if len(some):
+                    yield b.iloc[some].assign(task=task, wanted=[(np.flatnonzero(row) + task * together).tolist() for row in mine[some]])
 
     tasks = max(1, -(-asked.count() // anchors))
     share = lambda c: F.pmod(F.xxhash64(c), F.lit(tasks)).cast("int")
-    sent = asked.mapInPandas(route, f"{_ASKED}, block bigint").withColumn("share", share("anchor"))
-    held = cells.dealt().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    sent = asked.mapInPandas(route, f"{_ASKED}, task bigint, wanted array<bigint>").withColumn("share", share("anchor"))
+    held = cells.dealt().withColumn("task", F.floor(F.col("block") / together)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
     def answer(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            key = pd.DataFrame({"id": rows["id"], "label": rows["label"], "v": [np.asarray(v).tobytes() for v in rows["v"]]})
-            rows = rows[~key.duplicated().to_numpy()]
-            tree = CoverTree(matrix(rows["v"].tolist()), rows["label"].to_numpy(np.int64))
-            ids = rows["id"].to_numpy(np.int64)[tree.order]
-            for q in queries.itertuples(index=False):
-                windows = [(int(a), int(b)) for a, b in zip(q.lows, q.highs, strict=True)]
-                found = tree.descend(np.asarray(q.v, np.int64), int(q.label), same, windows, k, ids, int(q.id))
-                for w, (s, i) in zip(q.ids, found, strict=True):
-                    out += [(q.anchor, q.id, w, b, a) for a, b in zip(s.tolist(), i.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["anchor", "id", "window", "found", "score"], dtype="int64")
-
-    best = held.groupBy("block", "share").cogroup(sent.groupBy("block", "share")).applyInPandas(answer, "anchor bigint, id bigint, window bigint, found bigint, score bigint")
+            vectors, block, label, id = matrix(rows["v"].tolist()), rows["block"].to_numpy(), rows["label"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
+            key = pd.DataFrame({"id": id, "label": label, "v": [v.tobytes() for v in vectors]})
+            once = ~key.duplicated().to_numpy()
+            vectors, block, label, id = vectors[once], block[once], label[once], id[once]
+            asking = fitted(matrix(queries["v"].tolist()), vectors.shape[1])
+            fits = _fits(largest_of(vectors).max(initial=0), largest_of(asking), vectors.shape[1])
+            anchor, own, of = (queries[c].to_numpy(np.int64) for c in ("anchor", "id", "label"))
+            names, lows, highs = _padded(queries["ids"].tolist(), 0), _padded(queries["lows"].tolist(), _MAX), _padded(queries["highs"].tolist(), _MIN)
+            needs = {}
+            for q, wanted in enumerate(queries["wanted"]):
+                for n in wanted:
+                    needs.setdefault(int(n), []).append(q)
+            parts = [(p, Best(asking[p], of[p], own[p], lows[p], highs[p], k, exact)) for exact in (True, False) if len(p := np.flatnonzero(fits == exact))]
+            for n in np.unique(block).tolist():
+                if n not in needs:
+                    continue
+                tree, ids = CoverTree(vectors[block == n], label[block == n]), id[block == n]
+                for part, best in parts:
+                    tree.search(best, same, ids[tree.order], np.flatnonzero(np.isin(part, needs[n])))
+            for part, best in parts:
+                q, w, score, named = best.found()
+                q = part[q]
+                out.append(pd.DataFrame({"anchor": anchor[q], "id": own[q], "window": names[q, w], "found": named, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("anchor", "id", "window", "found", "score")})
+
+    # few large groups: left to sizes in bytes, many of them would share a partition
+    groups = max(1, -(-int(blocks.sum()) // together) * tasks)
+    held, sent = (side.repartition(groups, "task", "share") for side in (held, sent))
+    best = held.groupBy("task", "share").cogroup(sent.groupBy("task", "share")).applyInPandas(answer, "anchor bigint, id bigint, window bigint, found bigint, score bigint")
     order = Window.partitionBy("anchor", "window").orderBy(F.desc("score"), "found")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hushline.llm import hard_negatives as H
@@ -82,6 +83,48 @@ def test_tree_covers_and_bounds():
     assert list(zip((-best[0]).tolist(), best[1].tolist(), strict=True)) == want and sum(seen) < 1500
 
 
+@pytest.mark.parametrize(("scale", "exact"), [(1, True), (2**20, False)])
+def test_many_anchors_descend_together(monkeypatch, scale, exact):
+    """One walk over each tree serves all anchors, what one tree gave bounds the next, and each window gets its exact best."""
+    rng = np.random.default_rng(8)
+    loose, close = rng.normal(size=(900, 8)) * 200, rng.normal(size=(300, 8)) * 3 + np.repeat(rng.normal(size=(10, 8)) * 300, 30, 0)
+    rows = np.concatenate([np.floor(loose), np.floor(close), np.tile(np.floor(loose[:1]), (200, 1))]).astype(np.int64) * scale
+    labels, ids = rng.integers(0, 70, len(rows)), np.arange(len(rows)) // 2 * 2  # two rows share an id
+    asking, k = rng.choice(len(rows), 150, replace=False), 4
+    product = [[clip(sum(int(x) * int(y) for x, y in zip(rows[a], r, strict=True))) for r in rows] for a in asking]
+    lows, highs = (np.array([[clip(int(f * s)) for f in fs] for s in map(max, product)], np.int64) for fs in ((0.1, -0.9, 1), (0.5, 0.9, 0)))  # the last one holds nothing
+    for same in (True, False):
+        calls, real = [], H.scores
+        monkeypatch.setattr(H, "scores", lambda *x: calls.append(len(x[0])) or real(*x))  # noqa: B023
+        best = H.Best(rows[asking], labels[asking], ids[asking], lows, highs, k, exact)
+        for part in (slice(0, 700), slice(700, None)):
+            tree = H.CoverTree(rows[part], labels[part])
+            tree.search(best, same, ids[part][tree.order])
+        monkeypatch.setattr(H, "scores", real)
+        got, want = [x.tolist() for x in best.found()], []
+        for q, a in enumerate(asking):
+            for w in range(3):
+                fit = [(-s, i) for s, i, other in zip(product[q], ids.tolist(), labels, strict=True) if i != ids[a] and (other == labels[a]) == same and lows[q, w] <= s <= highs[q, w]]
+                want += [(q, w, -s, i) for s, i in sorted(fit)[:k]]
+        assert list(zip(*got, strict=True)) == want and len(want) > 150
+        assert len(calls) < 10 * len(asking)  # not one for each anchor and leaf
+
+
+def test_neighbouring_blocks_share_a_task(spark, monkeypatch):
+    """A task hands on the best of all its trees, not of each; blocks of more numbers than a task holds stay alone."""
+    rng = np.random.default_rng(2)
+    frame = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate((rng.normal(size=(400, 5))).tolist())], "vec_id long, label int, embedding array<double>")
+    prepared, sizes, got = H.prepared(frame), [], []
+    for components in (H.COMPONENTS, 1):
+        monkeypatch.setattr(H, "COMPONENTS", components)
+        cells = H.Cells(prepared, 4, 400, 40)
+        sizes.append((cells.together, int(cells.blocks.sum())))
+        monkeypatch.setattr(H.Cells.__init__, "__defaults__", (4, 400, 40))
+        got.append(sorted(map(tuple, H.mine(prepared, every=10).collect())))
+    assert sizes[0][0] > sizes[0][1] > 8 and sizes[1] == (1, sizes[0][1])
+    assert got[0] == got[1] and len(got[0]) > 500
+
+
 def test_label_of_the_query_is_moved(spark):
     from hushline.llm.queries import op12_hard_negatives
 
