@@ -13,7 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hushline.functions import fixed_values as fv, text as T
 from hushline.functions.spoken import BLOCK, block_ranges, space_table
@@ -64,6 +64,30 @@ def norms(text: Column) -> Column:
     return F.arrow_udf(run, "array<string>")(text)
 
 
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(norm): the normalised tokens of all texts in column ``text``, each seldom more than once for each task.
+
+    Tokens hold ASCII characters only, so bytes are folded by one table and cut at all others; no UTF-8 byte above 127 is ASCII.
+    """
+    most, ranges = MOST_KNOWN, block_ranges(BLOCK)
+    looks = str.maketrans(fv.LOOKALIKE_FROM, fv.LOOKALIKE_TO)
+    table = bytes(ord(chr(c).lower().translate(looks)) if re.fullmatch(f"[{T.WORD_CHARS}]", chr(c)) and c < 128 else 39 if c == 39 else 32 for c in range(256))
+
+    def run(batches):
+        known = set()
+        for b in batches:
+            texts = [t for t in b.column(0).cast(pa.binary()).to_pylist() if t]
+            for first, last in ranges([len(t) for t in texts]):
+                # apostrophes join words, but do not begin or end one
+                words = {w.strip(b"'") for w in {*b"\n".join(texts[first:last]).translate(table).split()}} - known - {b""}
+                if len(known) > most:
+                    known.clear()
+                known |= words
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string())], ["norm"])
+
+    return texts.select("text").mapInArrow(run, "norm string")
+
+
 def run_key(n, term):
     """Key of a run of ``n`` pieces: two runs of equal text may differ in pieces where lower case has more characters."""
     return f"{n}:{term}"

@@ -28,6 +28,8 @@ KEYS = ["track_id", "cue_id"]
 MOST_RULES = 1_000_000
 #: Words of a lexicon that the driver reads; a larger one is joined.
 MOST_FOLDED = 50_000
+#: Entries that each word is compared with by length; more are found by their pieces.
+MOST_COMPARED = 200
 
 
 def _nothing() -> Column:
@@ -230,20 +232,20 @@ def score_columns(df: DataFrame, sensitivity: str) -> DataFrame:
     return df.withColumn("has_profanity", (n > 0) & (F.col("score") >= fv.FLAG_AT[sensitivity]))
 
 
-def _listed(cues: DataFrame, lexicon: DataFrame, found: Rules, fuzzy_threshold: float | None) -> tuple[DataFrame, Column]:
+def _listed(cues: DataFrame, lexicon: DataFrame, found: Rules, fuzzy_threshold: float | None, words: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """The cues, and the column of their matches of words, phrases and scanned patterns, before any rule."""
     out, own = cues, {}
     if found.words is None:
         out, own["found"] = _meeting(out, _words_of(lexicon), F.col("_norm"), "_found"), F.col("_found")
     if fuzzy_threshold is not None:
-        out, near = _with_close(out, close_words(cues, lexicon, fuzzy_threshold))
+        out, near = _with_close(out, close_words(cues, lexicon, fuzzy_threshold, words))
         own |= near
     return out, H.hits(F.col("text"), found.words or [], found.phrases, patterns=found.scans, **own)
 
 
-def with_any_match(cues: DataFrame, lexicon: DataFrame, name: str, fuzzy_threshold: float | None = None) -> DataFrame:
+def with_any_match(cues: DataFrame, lexicon: DataFrame, name: str, fuzzy_threshold: float | None = None, words: DataFrame | None = None) -> DataFrame:
     """The cues with ``name``: whether any term of the lexicon is found in them.  Which matches overlap does not matter for that."""
-    out, listed = _listed(cues, lexicon, read_rules(lexicon), fuzzy_threshold)
+    out, listed = _listed(cues, lexicon, read_rules(lexicon), fuzzy_threshold, words)
     out = out.withColumn("_listed", listed)
     return out.select(*cues.columns, (F.size("_listed.t") + F.size("_listed.p") > 0).alias(name))
 
@@ -251,12 +253,15 @@ def with_any_match(cues: DataFrame, lexicon: DataFrame, name: str, fuzzy_thresho
 def detect_matches(
     cues: DataFrame, lexicon: DataFrame, patterns: DataFrame | None = None, rules: DataFrame | None = None,
     exempt: DataFrame | None = None, sensitivity: str = "medium", use_context: bool = True,
-    fuzzy_threshold: float | None = None,
+    fuzzy_threshold: float | None = None, words: DataFrame | None = None,
 ) -> DataFrame:
-    """Cues with ``matches ARRAY<STRUCT>``, ``score`` and ``has_profanity``."""
+    """Cues with ``matches ARRAY<STRUCT>``, ``score`` and ``has_profanity``.
+
+    ``words`` is the ``vocabulary`` of these cues, or of more; without it, fuzzy terms have the cues read once more for it.
+    """
     # a stream cannot be grouped by its texts
     found = read_rules(lexicon, patterns, rules, exempt, MOST_RULES if cues.isStreaming else MOST_FOLDED)
-    out, listed = _listed(cues, lexicon, found, fuzzy_threshold)
+    out, listed = _listed(cues, lexicon, found, fuzzy_threshold, words)
     out = _with_steps(out, detect_columns(F.col("text"), found, sensitivity, use_context, listed))
     return score_columns(_settled(out.select(*cues.columns, "matches"), "matches"), sensitivity)
 
@@ -318,10 +323,19 @@ def fuzzy_candidates(vocabulary: DataFrame, lexicon: DataFrame, threshold: float
     the parts before and after are taken together; so a word asks for few pieces.
     The number of edits follows from the lengths of both, so a piece is looked up
     under (length of the entry, edits, part).
+
+    A word has dozens of pieces, so a list of up to ``MOST_COMPARED`` entries is
+    met by length alone.
     """
     if not 0 <= threshold < 1:
         raise ValueError("a threshold of 1 or more fits every word")
     edits = lambda a, b: F.floor(threshold * F.greatest(a, b) + 1e-9).cast("int")
+    few = L.rows_up_to(lexicon.select("norm_term", "ord").distinct(), MOST_COMPARED)
+    if few is not None:
+        entries = lexicon.sparkSession.createDataFrame(few, lexicon.select("norm_term", "ord").schema).filter("length(norm_term) > 0")
+        longer = F.greatest(F.length("norm"), F.length("norm_term"))
+        near = F.abs(F.length("norm") - F.length("norm_term")) <= F.floor(threshold * longer + 1e-9)
+        return vocabulary.select("norm").distinct().join(F.broadcast(entries), near).select("norm", "norm_term", "ord", longer.alias("max_len"))
     i = F.col("_i")
     entry_start, entry_size = _parts(F.col("_len"), F.col("_d"), i)
     longest = F.floor(F.col("_len") / (1 - threshold) + 1).cast("int")
@@ -357,11 +371,16 @@ def fuzzy_vocabulary(vocabulary: DataFrame, lexicon: DataFrame, threshold: float
                        (100.0 - F.col("_b._d") / F.col("_b.max_len") * 100.0).alias("fuzzy_confidence"))
 
 
-def close_words(cues: DataFrame, lexicon: DataFrame, threshold: float) -> DataFrame:
-    """Stored (_norm, confidence) of the words in the cues that are not in the lexicon, but close to an entry."""
-    vocabulary = cues.select(F.explode(H.norms(F.col("text"))).alias("norm")).distinct()
-    vocabulary = vocabulary.join(lexicon.select(F.col("norm_term").alias("norm")).distinct(), "norm", "left_anti")
-    return O.materialize(fuzzy_vocabulary(vocabulary, lexicon, threshold).select(F.col("norm").alias("_norm"), F.col("fuzzy_confidence").alias("confidence")))
+def vocabulary(cues: DataFrame) -> DataFrame:
+    """Stored (norm): the distinct normalised words of the cues, for several searches for close words."""
+    return O.materialize(H.vocabulary(cues).distinct())
+
+
+def close_words(cues: DataFrame, lexicon: DataFrame, threshold: float, words: DataFrame | None = None) -> DataFrame:
+    """Stored (_norm, confidence) of the words in the cues, or in ``words``, that are not in the lexicon, but close to an entry."""
+    words = H.vocabulary(cues).distinct() if words is None else words
+    words = words.join(lexicon.select(F.col("norm_term").alias("norm")).distinct(), "norm", "left_anti")
+    return O.materialize(fuzzy_vocabulary(words, lexicon, threshold).select(F.col("norm").alias("_norm"), F.col("fuzzy_confidence").alias("confidence")))
 
 
 def _with_close(cues: DataFrame, close: DataFrame) -> tuple[DataFrame, dict]:

@@ -126,7 +126,7 @@ def resolve_profile(rows: DataFrame, stored: DataFrame | None, overrides: DataFr
     return out.drop(*[c for c in out.columns if c.startswith("_o_")], "_site")
 
 
-def touched_cues(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, fuzzy_threshold: float | None = None) -> DataFrame:
+def touched_cues(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, fuzzy_threshold: float | None = None, words: DataFrame | None = None) -> DataFrame:
     """The cues with ``touched``: whether any changed term is found in them.
 
     The changed terms are a lexicon of their own, and a search for it, by the same rules of tokens, phrases and
@@ -134,15 +134,16 @@ def touched_cues(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataF
     """
     known = lexicon_old.unionByName(lexicon_new).groupBy("norm_term").agg(F.min_by("term", "ord").alias("term"), F.min("kind").alias("kind"), F.min("ord").alias("ord"))
     changed = L.lexicon_diff(lexicon_old, lexicon_new).select("norm_term").distinct().join(known, "norm_term").select("term", "norm_term", "kind", "ord")
-    return D.with_any_match(detected, changed, "touched", fuzzy_threshold)
+    return D.with_any_match(detected, changed, "touched", fuzzy_threshold, words)
 
 
-def redetect(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, detect, fuzzy_threshold: float | None = None) -> DataFrame:
+def redetect(detected: DataFrame, lexicon_old: DataFrame, lexicon_new: DataFrame, detect, fuzzy_threshold: float | None = None, words: DataFrame | None = None) -> DataFrame:
     """Detect again only where a changed term is found; other rows are kept as they are.
 
-    ``detect`` maps plain cues to detected cues under the new lexicon, with the same ``fuzzy_threshold``.
+    ``detect`` maps plain cues to detected cues under the new lexicon, with the same ``fuzzy_threshold``.  ``words`` is the
+    vocabulary of the cues; without it, fuzzy terms have ``detected`` read once more, and made once more if it is not stored.
     """
-    marked = ordered.materialize(touched_cues(detected, lexicon_old, lexicon_new, fuzzy_threshold))
+    marked = ordered.materialize(touched_cues(detected, lexicon_old, lexicon_new, fuzzy_threshold, words))
     again = detect(marked.filter("touched").drop("touched", "matches", "score", "has_profanity"))
     return marked.filter("not touched").select(*detected.columns).unionByName(again.select(*detected.columns))
 

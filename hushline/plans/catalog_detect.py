@@ -19,9 +19,9 @@ def case(name: str, sql: str | None = None):
     return add
 
 
-def detected(spark, sf, sensitivity="medium", fuzzy=None, cues=None):
+def detected(spark, sf, sensitivity="medium", fuzzy=None, cues=None, words=None):
     r = C.corpus_rules(spark)
-    return D.detect_matches(C.document_cues(spark, sf) if cues is None else cues, r["lexicon"], r["patterns"], r["rules"], r["exempt"], sensitivity, True, fuzzy)
+    return D.detect_matches(C.document_cues(spark, sf) if cues is None else cues, r["lexicon"], r["patterns"], r["rules"], r["exempt"], sensitivity, True, fuzzy, words)
 
 
 def all_candidates(spark, sf):
@@ -255,8 +255,10 @@ _redetected_fuzzy = S.with_(S.CUES, S.TOKENS, S.lexicon(NEW_WORDS + C.PHRASES),
 def _(spark, sf):
     r = C.corpus_rules(spark)
     new = L.build_lexicon(L.terms_df(spark, NEW_WORDS + C.PHRASES))
-    again = lambda cues: D.detect_matches(cues, new, r["patterns"], r["rules"], r["exempt"], fuzzy_threshold=0.25)
-    out = M.redetect(detected(spark, sf, fuzzy=0.25), r["lexicon"], new, again, fuzzy_threshold=0.25)
+    # the words of the cues are gathered once for the three searches for close ones
+    words = D.vocabulary(C.document_cues(spark, sf))
+    again = lambda cues: D.detect_matches(cues, new, r["patterns"], r["rules"], r["exempt"], fuzzy_threshold=0.25, words=words)
+    out = M.redetect(detected(spark, sf, fuzzy=0.25, words=words), r["lexicon"], new, again, fuzzy_threshold=0.25, words=words)
     return out.select("track_id", "cue_id", F.size("matches").cast("bigint").alias("n_matches"), F.round("score", 3).alias("score"), "has_profanity")
 
 

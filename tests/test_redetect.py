@@ -57,3 +57,35 @@ def test_boundaries_mean_the_same_when_the_next_character_is_known(spark, patter
 def test_listed_rules_seldom_test_for_a_boundary_at_each_place():
     rules = [T.ascii_pattern(p, c) for _, _, p, c in fv.CONTEXT_RULES]
     assert sum(not r.removeprefix("(?i)").startswith(T.BOUNDARY) for r in rules) * 3 > len(rules)
+
+
+def test_vocabulary_is_that_of_the_texts(spark):
+    """Words, apostrophes, look-alikes, non-ASCII letters, nulls, also when a worker forgets and over many blocks."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("aBZz019_' '-\n\téKİ𝒳$@", k=rnd.randrange(30))) for _ in range(3_000)] + [None, "", "'", "''a''b'", "x" * 300_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {r[0] for r in df.select(D.F.explode(D.H.norms(D.F.col("text")))).collect()}
+    assert {r[0] for r in D.H.vocabulary(df).collect()} == want and len(want) > 500
+    repeated = D.H.vocabulary(spark.createDataFrame([("one two one",)] * 5_000, "text string").coalesce(1)).collect()
+    assert sorted(r[0] for r in repeated) == ["one", "two"]
+
+
+def test_fuzzy_redetection_gathers_words_once_and_compares_short_lists_by_length(spark, monkeypatch):
+    cues = spark.createDataFrame([("t", i, f"that thaat {i} wodr with") for i in range(20)] + [("t", 20, "nothing")], "track_id string, cue_id int, text string")
+    old, new = (L.build_lexicon(L.terms_df(spark, t)) for t in (["thats", "word"], ["word", "withs"]))
+    read, real = [], D.H.vocabulary
+    monkeypatch.setattr(D.H, "vocabulary", lambda texts: read.append(1) or real(texts))
+    words = D.vocabulary(cues)
+    again = lambda c: D.detect_matches(c, new, fuzzy_threshold=0.5, words=words)
+    got = M.redetect(D.detect_matches(cues, old, fuzzy_threshold=0.5, words=words), old, new, again, 0.5, words)
+    plain = lambda df: sorted((r.cue_id, [m.word for m in r.matches], r.score) for r in df.collect())
+    rows = plain(got)
+    assert len(read) == 1 and rows == plain(D.detect_matches(cues, new, fuzzy_threshold=0.5)) and len(rows[0][1]) > 1
+    pairs = D.fuzzy_candidates(words.withColumnRenamed(words.columns[0], "norm"), old, 0.25)
+    assert "_piece" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    for most in (0, 200):
+        monkeypatch.setattr(D, "MOST_COMPARED", most)
+        close = D.fuzzy_vocabulary(words.unionAll(spark.createDataFrame([("",), (None,), ("thats",)], "norm string")), old.unionAll(spark.createDataFrame([("", "", "word", 9)], old.schema)), 0.5)
+        rows = sorted(map(tuple, close.collect()))
+        assert (most == 0 or rows == before) and len(rows) >= 4
+        before = rows
