@@ -22,6 +22,11 @@ def read_subtitle_files(spark: SparkSession, path: str, glob: str = "*", max_byt
     The file source itself leaves out files without content.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path))
+    return decoded(raw, max_bytes)
+
+
+def decoded(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """files(path, content, n_bytes, error) of raw files(path, length, content)."""
     # too large a file is judged by its length; its content is not decoded
     fits = F.col("length") <= max_bytes
     text = F.decode(F.when(fits, F.col("content")), "UTF-8")

@@ -79,6 +79,24 @@ def test_named_files(spark, tmp_path):
     assert V.read_vtt_files(spark, str(tmp_path)).count() == len(back) + 1
 
 
+def test_named_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver's plan holds no list of files; rows are those of Spark's own source, whatever the folders."""
+    from hushline.sources import vtt_files as V
+
+    (tmp_path / "a" / "b c").mkdir(parents=True)
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / ".too").mkdir()
+    for name in ("top.vtt", "a/x%2Fy.vtt", "a/b c/z.vtt", "a/b c/Zoë.vtt", "_hidden/no.vtt", ".too/no.vtt", "a/_no.vtt", "a/.no.vtt", "a/other.srt", "a/vtt"):
+        (tmp_path / name).write_bytes(chr(0xFEFF).encode() + b"WEBVTT\n\n00:00:00.000 --> 00:00:01.000\nx\n")
+    (tmp_path / "a" / "empty.vtt").write_bytes(b"")
+    (tmp_path / "a" / "large.vtt").write_bytes(b"x" * (I.MAX_BYTES + 1))
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        files = V.read_vtt_files(spark, path)
+        assert files.inputFiles() == [] and "binaryFile" not in files._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.path, r.content, r.n_bytes, r.error) for r in files.collect())
+        assert got == sorted((r.path, r.content, r.n_bytes, r.error) for r in I.read_subtitle_files(spark, path, "*.vtt").collect()) and len(got) == 5
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     import pytest
 
