@@ -330,9 +330,8 @@ def fuzzy_candidates(vocabulary: DataFrame, lexicon: DataFrame, threshold: float
     if not 0 <= threshold < 1:
         raise ValueError("a threshold of 1 or more fits every word")
     edits = lambda a, b: F.floor(threshold * F.greatest(a, b) + 1e-9).cast("int")
-    few = L.rows_up_to(lexicon.select("norm_term", "ord").distinct(), MOST_COMPARED)
-    if few is not None:
-        entries = lexicon.sparkSession.createDataFrame(few, lexicon.select("norm_term", "ord").schema).filter("length(norm_term) > 0")
+    entries = lexicon.select("norm_term", "ord").filter("length(norm_term) > 0").distinct()
+    if L.fits(entries, MOST_COMPARED):
         longer = F.greatest(F.length("norm"), F.length("norm_term"))
         near = F.abs(F.length("norm") - F.length("norm_term")) <= F.floor(threshold * longer + 1e-9)
         return vocabulary.select("norm").distinct().join(F.broadcast(entries), near).select("norm", "norm_term", "ord", longer.alias("max_len"))
